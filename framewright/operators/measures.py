@@ -48,51 +48,93 @@ PIXEL_STATS: tuple[tuple[str, T.DataType], ...] = (
 )
 
 
-def _measure(bgr: np.ndarray, p: QualityParams) -> dict:
+# Which part of the pixel pass each measure needs; parts nobody asks for are not computed.
+PARTS = {
+    "laplacian_variance": ("laplacian",),
+    "sobel_variance": ("gradient",),
+    "sobel_var_x": ("gradient",),
+    "sobel_var_y": ("gradient",),
+    "sobel_aniso": ("gradient",),
+    "tenengrad": ("gradient",),
+    "gradient_p95": ("gradient",),
+    "edge_density": ("edges",),
+    "noise_level": ("residual",),
+    "contrast": ("histograms",),
+    "brightness": ("histograms",),
+    "saturation": ("saturation",),
+    "feature_density": ("corners",),
+    "feature_uniformity": ("corners",),
+    "vignetting": ("patches",),
+    "clip_high": ("extremes",),
+    "clip_low": ("extremes",),
+    "luma_median": ("histograms",),
+    "dynamic_range": ("histograms",),
+    "wb_kelvin": ("histograms",),
+    "wb_gain_rg": ("histograms",),
+    "wb_gain_bg": ("histograms",),
+    "mb_delta_conc": ("spectrum",),
+    "mb_lag_aniso": ("lags", "laplacian"),
+}
+MEASURES = tuple(PARTS)
+
+
+def _needed_parts(wanted, p: QualityParams) -> set[str]:
+    parts = {part for name in wanted for part in PARTS.get(name, ("laplacian",))}
+    off = set()
+    off |= set() if p.clip_check else {"extremes"}
+    off |= set() if p.feature_check else {"corners"}
+    off |= set() if p.motion_blur_check else {"spectrum", "lags"}
+    return parts - off
+
+
+def _measure(bgr: np.ndarray, parts: set[str], p: QualityParams) -> dict:
     bgr = px.area_downsample(bgr, p.analysis_dim)
     green = np.ascontiguousarray(bgr[:, :, 1])
-    lap = px.laplacian(green)
-    gx, gy = px.sobel(green)
-    squares = gx.astype(np.int64) ** 2 + gy.astype(np.int64) ** 2
-    norm = np.sqrt(squares)
-    mu, sigma = float(green.mean()), float(green.std())
-    corners, centre = px.corner_means(green)
-    out = {
-        "is_error": False,
-        "stat_height": green.shape[0],
-        "stat_width": green.shape[1],
-        "cdf_green": px.cumulative_counts(green),
-        "cdf_blue": px.cumulative_counts(bgr[:, :, 0]),
-        "cdf_red": px.cumulative_counts(bgr[:, :, 2]),
-        "cdf_residual": px.cumulative_counts(px.blur_residual(green)),
-        "saturation_total": px.saturation_total(bgr),
-        "lap_total": int(lap.sum(dtype=np.int64)),
-        "lap_squares": int((lap.astype(np.int64) ** 2).sum()),
-        "blocks": px.block_variances(lap, max(2, p.grid_size)),
-        "grad_totals": [float(gx.sum()), float((gx.astype(np.int64) ** 2).sum()), float(gy.sum()),
-                        float((gy.astype(np.int64) ** 2).sum()), float(norm.sum())],
-        "gradient_p95": float(np.percentile(norm, 95)),
-        "edge_pixels": px.edge_pixels(green, max(0, int(mu - sigma)), min(255, int(mu + sigma))),
-        "corner_mean": corners,
-        "centre_mean": centre,
-    }
-    if p.clip_check:
+    out = {"is_error": False, "stat_height": green.shape[0], "stat_width": green.shape[1]}
+    if "histograms" in parts:
+        for name, channel in (("blue", 0), ("green", 1), ("red", 2)):
+            out[f"cdf_{name}"] = px.cumulative_counts(bgr[:, :, channel])
+    if "extremes" in parts:
         out["cdf_highest"] = px.cumulative_counts(bgr.max(axis=2))
         out["cdf_lowest"] = px.cumulative_counts(bgr.min(axis=2))
-    if p.feature_check:
+    if "residual" in parts:
+        out["cdf_residual"] = px.cumulative_counts(px.blur_residual(green))
+    if "saturation" in parts:
+        out["saturation_total"] = px.saturation_total(bgr)
+    if "laplacian" in parts:
+        lap = px.laplacian(green)
+        out["lap_total"] = int(lap.sum(dtype=np.int64))
+        out["lap_squares"] = int((lap.astype(np.int64) ** 2).sum())
+        out["blocks"] = px.block_variances(lap, max(2, p.grid_size))
+        if "lags" in parts:
+            out["lag_blocks"] = px.block_variances(lap, px.LAG_GRID)
+            out["lag_energy"] = px.lag_energies(green)
+    if "gradient" in parts:
+        gx, gy = (g.astype(np.int64) for g in px.sobel(green))
+        xx, yy = gx * gx, gy * gy
+        norm = np.sqrt(xx + yy)
+        out["grad_totals"] = [float(a.sum()) for a in (gx, xx, gy, yy, norm)]
+        out["gradient_p95"] = float(np.percentile(norm, 95))
+    if "edges" in parts:
+        mu, sigma = float(green.mean()), float(green.std())
+        out["edge_pixels"] = px.edge_pixels(green, max(0, int(mu - sigma)), min(255, int(mu + sigma)))
+    if "patches" in parts:
+        out["corner_mean"], out["centre_mean"] = px.corner_means(green)
+    if "corners" in parts:
         out["corners"], out["corner_cells"] = px.corner_counts(green, p.corner_response_min)
-    if p.motion_blur_check:
+    if "spectrum" in parts:
         out["band_low"], out["band_high"] = px.band_energies(green)
-        out["lag_blocks"] = px.block_variances(lap, px.LAG_GRID)
-        out["lag_energy"] = px.lag_energies(green)
     return out
 
 
-def pixel_stats(df: DataFrame, carry: list[str], orientation: str | None = None, p: QualityParams = DEFAULTS) -> DataFrame:
+def pixel_stats(
+    df: DataFrame, carry: list[str], orientation: str | None = None, p: QualityParams = DEFAULTS, wanted=MEASURES
+) -> DataFrame:
     """Rasters (columns height, width, n_channels, data) -> carried columns and PIXEL_STATS.
 
     Rows without pixels become error rows. The pixels are dropped in the same stage.
     """
+    parts = _needed_parts(wanted, p)
     columns = [*carry, *RASTER] + ([orientation] if orientation else [])
     schema = T.StructType(
         [df.schema[c] for c in carry] + [T.StructField(name, kind) for name, kind in PIXEL_STATS]
@@ -109,7 +151,7 @@ def pixel_stats(df: DataFrame, carry: list[str], orientation: str | None = None,
                     turn = getattr(row, orientation) if orientation else None
                     if turn is not None and turn == turn and turn != 1:
                         image = px.orient(image, int(turn))
-                    rows.append(_measure(image, p))
+                    rows.append(_measure(image, parts, p))
                 else:
                     rows.append({"is_error": True})
             stats = pd.DataFrame(rows, columns=names).astype(object)
@@ -233,19 +275,12 @@ def derive_measures(stats: DataFrame, p: QualityParams = DEFAULTS) -> DataFrame:
     )
 
 
-MEASURES = (
-    "laplacian_variance", "sobel_variance", "sobel_var_x", "sobel_var_y", "sobel_aniso", "tenengrad",
-    "gradient_p95", "edge_density", "noise_level", "contrast", "brightness", "saturation",
-    "feature_density", "feature_uniformity", "vignetting", "clip_high", "clip_low", "luma_median",
-    "dynamic_range", "wb_kelvin", "wb_gain_rg", "wb_gain_bg", "mb_delta_conc", "mb_lag_aniso",
-)
-
-
-def image_measures(df: DataFrame, carry: list[str], orientation: str | None = None, p: QualityParams = DEFAULTS) -> DataFrame:
-    """Rasters -> carried columns, is_error, analysis size, block array and all MEASURES."""
-    return derive_measures(pixel_stats(df, carry, orientation, p), p).select(
-        *carry, "is_error", "stat_height", "stat_width", "blocks", *MEASURES
-    )
+def image_measures(
+    df: DataFrame, carry: list[str], orientation: str | None = None, p: QualityParams = DEFAULTS, wanted=MEASURES
+) -> DataFrame:
+    """Rasters -> carried columns, is_error, analysis size and the wanted measures ('blocks' is one, too)."""
+    stats = pixel_stats(df, carry, orientation, p, wanted)
+    return derive_measures(stats, p).select(*carry, "is_error", "stat_height", "stat_width", *wanted)
 
 
 def score_rows(df: DataFrame, p: QualityParams = DEFAULTS) -> DataFrame:

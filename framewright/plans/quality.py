@@ -16,12 +16,12 @@ def quality_rows(rasters: DataFrame, carry: list[str], p: QualityParams = DEFAUL
     source = rasters
     if "exif" not in source.columns:
         source = source.withColumn("exif", F.lit(None).cast(EXIF))
-    orientation = source.withColumn("__turn", F.col("exif.orientation"))
-    width, height = measures.visible_size("width", "height", "__turn")
-    shown = orientation.withColumns({"__w": width, "__h": height})
-    carried = [*dict.fromkeys([*carry, "exif"]), "__w", "__h"]
-    measured = measures.image_measures(shown, carried, "__turn", p)
-    scored = measures.score_rows(measured, p).withColumnsRenamed({"__w": "width", "__h": "height"})
+    orientation = source.withColumn("turn_tag", F.col("exif.orientation"))
+    width, height = measures.visible_size("width", "height", "turn_tag")
+    shown = orientation.withColumns({"shown_w": width, "shown_h": height})
+    carried = [*dict.fromkeys([*carry, "exif"]), "shown_w", "shown_h"]
+    measured = measures.image_measures(shown, carried, "turn_tag", p, wanted=("blocks", *measures.MEASURES))
+    scored = measures.score_rows(measured, p).withColumnsRenamed({"shown_w": "width", "shown_h": "height"})
     return with_missing_defaults(with_error_defaults(scored.drop("blocks", "stat_height", "stat_width")))
 
 

@@ -11,6 +11,7 @@ from framewright.schemas import EXIF
 
 import rasters
 
+WANTED = ("blocks", *measures.MEASURES)
 RASTER = "name string, height int, width int, n_channels int, data binary"
 
 
@@ -23,7 +24,7 @@ def frame(spark, images):
 def measured(spark):
     images = rasters.named()
     df = frame(spark, images).union(spark.createDataFrame([("broken", -1, -1, -1, None)], RASTER))
-    df = measures.image_measures(df, ["name"]).withColumn("exif", F.lit(None).cast(EXIF))
+    df = measures.image_measures(df, ["name"], wanted=WANTED).withColumn("exif", F.lit(None).cast(EXIF))
     return {r.name: r for r in measures.score_rows(df).collect()}
 
 
@@ -158,14 +159,14 @@ def test_measures_against_numpy(spark, measured):
 
 def test_switched_off_checks_are_neutral(spark):
     off = QualityParams(clip_check=False, feature_check=False, motion_blur_check=False)
-    df = measures.image_measures(frame(spark, {"clipped": rasters.named()["clipped"]}), ["name"], p=off)
+    df = measures.image_measures(frame(spark, {"clipped": rasters.named()["clipped"]}), ["name"], p=off, wanted=WANTED)
     r = measures.score_rows(df.withColumn("exif", F.lit(None).cast(EXIF)), off).first()
     assert (r.clip_high, r.clip_low, r.feature_density, r.feature_uniformity, r.mb_lag_aniso) == (0, 0, 0, 1, 1)
     assert r.clipping_ok and not r.low_features
 
 
 def test_partitioning_changes_nothing(spark, measured):
-    df = measures.image_measures(frame(spark, rasters.named()).repartition(5), ["name"])
+    df = measures.image_measures(frame(spark, rasters.named()).repartition(5), ["name"], wanted=WANTED)
     for r in df.collect():
         assert r.blocks == measured[r.name].blocks and r.wb_kelvin == measured[r.name].wb_kelvin
 
