@@ -2,6 +2,7 @@
 
 A histogram arrives as its cumulative counts: 256 numbers, entry v = how many pixels are <= v.
 That is enough for exact means, deviations, shares and interpolated percentiles without any pixel.
+Histogram functions take a column name and return one SQL expression.
 """
 
 from __future__ import annotations
@@ -14,45 +15,32 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def pixel_count(cumulative) -> Column:
-    return F.element_at(_col(cumulative), -1)
-
-
-def _value_at_rank(cumulative: Column, rank: Column) -> Column:
-    return F.size(F.filter(cumulative, lambda c: c <= rank)).cast("double")
-
-
-def percentile(cumulative, q: float) -> Column:
+def percentile(cumulative: str, q: float) -> Column:
     """Linear-interpolated percentile, the definition of Spark's exact `percentile`."""
-    c = _col(cumulative)
-    position = (pixel_count(c) - 1) * F.lit(q)
-    below = F.floor(position)
-    low = _value_at_rank(c, below)
-    return low + (_value_at_rank(c, F.ceil(position)) - low) * (position - below)
-
-
-def mean(cumulative) -> Column:
-    c, n = _col(cumulative), pixel_count(cumulative)
-    total = F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, x: acc + (n - x))
-    return total / n
+    position = f"((element_at({cumulative}, -1) - 1) * {q}D)"
+    low = f"size(filter({cumulative}, c -> c <= floor({position})))"
+    high = f"size(filter({cumulative}, c -> c <= ceil({position})))"
+    return F.expr(f"{low} + ({high} - {low}) * ({position} - floor({position}))")
 
 
-def _mean_square(cumulative) -> Column:
-    c, n = _col(cumulative), pixel_count(cumulative)
-    terms = F.transform(c, lambda x, v: (n - x) * (2 * v + 1))
-    return F.aggregate(terms, F.lit(0).cast("bigint"), lambda acc, x: acc + x) / n
+def mean(cumulative: str) -> Column:
+    c = cumulative
+    return F.expr(f"aggregate({c}, 0L, (total, x) -> total + element_at({c}, -1) - x) / element_at({c}, -1)")
 
 
-def deviation(cumulative) -> Column:
-    m = mean(cumulative)
-    return F.sqrt(F.greatest(F.lit(0.0), _mean_square(cumulative) - m * m))
+def deviation(cumulative: str) -> Column:
+    c = cumulative
+    squares = f"""aggregate(transform({c}, (x, v) -> (element_at({c}, -1) - x) * (2 * v + 1)), 0L, (total, x) -> total + x)
+        / element_at({c}, -1)"""
+    average = f"aggregate({c}, 0L, (total, x) -> total + element_at({c}, -1) - x) / element_at({c}, -1)"
+    return F.expr(f"sqrt(greatest(0D, {squares} - power({average}, 2)))")
 
 
-def share_at_most(cumulative, level: int) -> Column:
-    return F.element_at(_col(cumulative), level + 1) / pixel_count(cumulative)
+def share_at_most(cumulative: str, level: int) -> Column:
+    return F.expr(f"element_at({cumulative}, {level + 1}) / element_at({cumulative}, -1)")
 
 
-def share_at_least(cumulative, level: int) -> Column:
+def share_at_least(cumulative: str, level: int) -> Column:
     return 1 - share_at_most(cumulative, level - 1) if level > 0 else F.lit(1.0)
 
 

@@ -200,79 +200,67 @@ def analysis_size(width, height, p: QualityParams = DEFAULTS) -> tuple[Column, C
     return fit(w), fit(h)
 
 
-def _field(name: str):
-    return lambda x: x[name]
-
-
 def _lag_anisotropy() -> Column:
     """Weakest over strongest direction, pooled over the sharpest tenth of 64 cells."""
     k = max(2, round(px.LAG_GRID**2 * 0.10))
     n = len(px.LAGS)
-    ranked = F.transform(
-        F.col("lag_blocks"),
-        lambda sharp, i: F.struct(
-            sharp.alias("sharp"),
-            *[F.element_at(F.col("lag_energy"), i * n + d + 1).alias(f"d{d}") for d in range(n)],
-        ),
+    fields = ", ".join(f"'d{d}', element_at(lag_energy, i * {n} + {d + 1})" for d in range(n))
+    top = f"slice(sort_array(transform(lag_blocks, (s, i) -> named_struct('sharp', s, {fields})), false), 1, {k})"
+    pooled = ", ".join(f"aggregate(top, 0D, (total, x) -> total + x.d{d})" for d in range(n))
+    directions = f"transform(array({top}), top -> array({pooled}))[0]"
+    return F.expr(
+        f"transform(array({directions}), d -> if(array_max(d) < 1e-6, 1D, array_min(d) / array_max(d)))[0]"
     )
-    top = F.slice(F.sort_array(ranked, asc=False), 1, k)
-    pooled = [sc.array_total(F.transform(top, _field(f"d{d}"))) for d in range(n)]
-    return F.when(F.greatest(*pooled) < 1e-6, 1.0).otherwise(F.least(*pooled) / F.greatest(*pooled))
 
 
 def _dominant_share(band: str) -> Column:
-    total = sc.array_total(F.col(band))
-    return F.when(total > 0, F.array_max(band) / total).otherwise(0.0)
+    total = f"aggregate({band}, 0D, (total, x) -> total + x)"
+    return F.expr(f"if({total} > 0, array_max({band}) / {total}, 0D)")
 
 
-def derive_measures(stats: DataFrame, p: QualityParams = DEFAULTS) -> DataFrame:
-    """Statistics of the pixel pass -> the per-image measures (blocks stay for the score)."""
+def _derived(p: QualityParams) -> dict:
+    """How each measure follows from the statistics; built only when asked for."""
     n = F.col("stat_height") * F.col("stat_width")
-    g = [F.element_at("grad_totals", i) for i in range(1, 6)]
-    var_x, var_y = ph.variance(g[0], g[1], n), ph.variance(g[2], g[3], n)
-    share = lambda c, none: F.coalesce(c, F.lit(none))
-    # Cell counts are one pass, the white point feeds three measures: name them first.
-    first = stats.withColumns(
-        {
-            "sobel_var_x": var_x,
-            "sobel_var_y": var_y,
-            "white_red": ph.percentile("cdf_red", 0.95),
-            "white_green": ph.percentile("cdf_green", 0.95),
-            "white_blue": ph.percentile("cdf_blue", 0.95),
-            "green_p05": ph.percentile("cdf_green", 0.05),
-        }
-    )
-    gain_rg, gain_bg = ph.white_gains("white_red", "white_green", "white_blue")
-    lost = {"cdf_highest": 0.0, "cdf_lowest": 0.0} if p.clip_check else {}
-    return first.withColumns(
-        {
-            "laplacian_variance": ph.variance("lap_total", "lap_squares", n),
-            "sobel_variance": ph.variance(g[4], g[1] + g[3], n),
-            "sobel_aniso": ph.smaller_over_larger("sobel_var_x", "sobel_var_y"),
-            "tenengrad": (g[1] + g[3]) / n,
-            "edge_density": F.col("edge_pixels") / n,
-            "noise_level": ph.percentile("cdf_residual", 0.5),
-            "contrast": ph.deviation("cdf_green"),
-            "brightness": ph.mean("cdf_green"),
-            "saturation": F.col("saturation_total") / n,
-            "feature_density": share(F.col("corners") / (n / 1000.0), 0.0),
-            "feature_uniformity": share(
-                F.when(F.array_max("corner_cells") > 0, F.array_min("corner_cells") / F.array_max("corner_cells")), 1.0
-            ),
-            "vignetting": F.when(F.col("centre_mean") < 1.0, 1.0).otherwise(F.col("corner_mean") / F.col("centre_mean")),
-            "clip_high": share(ph.share_at_least("cdf_highest", 253), 0.0) if lost else F.lit(0.0),
-            "clip_low": share(ph.share_at_most("cdf_lowest", 2), 0.0) if lost else F.lit(0.0),
-            "luma_median": ph.percentile("cdf_green", 0.5),
-            "dynamic_range": F.col("white_green") - F.col("green_p05"),
-            "wb_kelvin": ph.kelvin("white_red", "white_green", "white_blue"),
-            "wb_gain_rg": gain_rg,
-            "wb_gain_bg": gain_bg,
-            "mb_delta_conc": share(_dominant_share("band_high") - _dominant_share("band_low"), 0.0)
-            if p.motion_blur_check
-            else F.lit(0.0),
-            "mb_lag_aniso": share(_lag_anisotropy(), 1.0) if p.motion_blur_check else F.lit(1.0),
-        }
-    )
+    total = lambda i: F.element_at("grad_totals", i)
+    return {
+        "laplacian_variance": lambda: ph.variance("lap_total", "lap_squares", n),
+        "sobel_variance": lambda: ph.variance(total(5), total(2) + total(4), n),
+        "sobel_var_x": lambda: ph.variance(total(1), total(2), n),
+        "sobel_var_y": lambda: ph.variance(total(3), total(4), n),
+        "sobel_aniso": lambda: ph.smaller_over_larger(
+            ph.variance(total(1), total(2), n), ph.variance(total(3), total(4), n)
+        ),
+        "tenengrad": lambda: (total(2) + total(4)) / n,
+        "edge_density": lambda: F.col("edge_pixels") / n,
+        "noise_level": lambda: ph.percentile("cdf_residual", 0.5),
+        "contrast": lambda: ph.deviation("cdf_green"),
+        "brightness": lambda: ph.mean("cdf_green"),
+        "saturation": lambda: F.col("saturation_total") / n,
+        "feature_density": lambda: F.coalesce(F.col("corners") / (n / 1000.0), F.lit(0.0)),
+        "feature_uniformity": lambda: F.expr(
+            "coalesce(array_min(corner_cells) / nullif(array_max(corner_cells), 0), 1D)"
+        ),
+        "vignetting": lambda: F.expr("if(centre_mean < 1, 1D, corner_mean / centre_mean)"),
+        "clip_high": lambda: F.coalesce(ph.share_at_least("cdf_highest", 253), F.lit(0.0)),
+        "clip_low": lambda: F.coalesce(ph.share_at_most("cdf_lowest", 2), F.lit(0.0)),
+        "luma_median": lambda: ph.percentile("cdf_green", 0.5),
+        "dynamic_range": lambda: ph.percentile("cdf_green", 0.95) - ph.percentile("cdf_green", 0.05),
+        "wb_kelvin": lambda: ph.kelvin("white_red", "white_green", "white_blue"),
+        "wb_gain_rg": lambda: ph.white_gains("white_red", "white_green", "white_blue")[0],
+        "wb_gain_bg": lambda: ph.white_gains("white_red", "white_green", "white_blue")[1],
+        "mb_delta_conc": lambda: F.coalesce(_dominant_share("band_high") - _dominant_share("band_low"), F.lit(0.0)),
+        "mb_lag_aniso": lambda: F.coalesce(_lag_anisotropy(), F.lit(1.0)),
+    }
+
+
+def derive_measures(stats: DataFrame, p: QualityParams = DEFAULTS, wanted=MEASURES) -> DataFrame:
+    """Statistics of the pixel pass -> the wanted measures, added as columns."""
+    out = stats
+    if any(name.startswith("wb_") for name in wanted):
+        # The white point feeds three measures: name it first.
+        out = out.withColumns({f"white_{c}": ph.percentile(f"cdf_{c}", 0.95) for c in ("red", "green", "blue")})
+    derived = _derived(p)
+    return out.withColumns({name: derived[name]() for name in wanted if name in derived})
 
 
 def image_measures(
@@ -280,7 +268,7 @@ def image_measures(
 ) -> DataFrame:
     """Rasters -> carried columns, is_error, analysis size and the wanted measures ('blocks' is one, too)."""
     stats = pixel_stats(df, carry, orientation, p, wanted)
-    return derive_measures(stats, p).select(*carry, "is_error", "stat_height", "stat_width", *wanted)
+    return derive_measures(stats, p, wanted).select(*carry, "is_error", "stat_height", "stat_width", *wanted)
 
 
 def score_rows(df: DataFrame, p: QualityParams = DEFAULTS) -> DataFrame:
