@@ -42,7 +42,7 @@ def _compare(df: DataFrame, set_cols: list[str], path_col: str, measures: dict[s
     named = {f"__{k}": v for k, v in measures.items()}
     stats = set_medians(df, set_cols, named)
     # Sets too small for every check are left out: they have nothing to compare with.
-    stats = stats.filter(F.greatest(*[F.col(f"n_{m}") for m in named]) >= MIN_SET_ROWS)
+    stats = stats.filter(F.array_max(F.array(*[F.col(f"n_{m}") for m in named])) >= MIN_SET_ROWS)
     outputs: dict[str, Column] = {}
     for make in out:
         outputs.update(make)
@@ -110,12 +110,11 @@ def aperture_drift(df, set_cols, aperture="aperture", path_col="path", p: Qualit
     return _compare(df, set_cols, path_col, {"aperture": _positive(aperture)}, [_aperture(aperture, p)])
 
 
-def set_consistency(
+def set_drift(
     df: DataFrame,
     set_cols: list[str],
     *,
     path_col="path",
-    hash_col="md5",
     ev="ev",
     luma="luma_median",
     rg="wb_gain_rg",
@@ -125,7 +124,7 @@ def set_consistency(
     is_error=None,
     p: QualityParams = DEFAULTS,
 ) -> DataFrame:
-    """Duplicates and all drift checks; every median of the set comes from one pass and one join."""
+    """All drift checks that are switched on; every median of the set comes from one pass and one join."""
     measures: dict[str, Column] = {}
     outputs = []
     if p.exposure_consistency:
@@ -140,5 +139,9 @@ def set_consistency(
     if p.aperture_consistency:
         measures["aperture"] = _positive(aperture)
         outputs.append(_aperture(aperture, p))
-    marked = mark_duplicates(df, hash_col, path_col)
-    return _compare(marked, set_cols, path_col, measures, outputs) if measures else marked
+    return _compare(df, set_cols, path_col, measures, outputs) if measures else df
+
+
+def set_consistency(df: DataFrame, set_cols: list[str], *, path_col="path", hash_col="md5", **columns) -> DataFrame:
+    """Duplicates and all drift checks (keyword columns as in `set_drift`)."""
+    return set_drift(mark_duplicates(df, hash_col, path_col), set_cols, path_col=path_col, **columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scores", "rasters")
+MODULES = ("scores", "rasters", "sets", "reports")
 
 
 def load():

@@ -178,10 +178,11 @@ r AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS composite_score, l_ret
 """
 
 
-def result_rows(spark, sf):
+def result_rows(spark, sf, extra=()):
     q = F.col
     return table(spark, sf, "lineitem").select(
         *KEYS,
+        *extra,
         (q("l_discount") * 10).alias("composite_score"),
         ((q("l_returnflag") == "R") & (q("l_linenumber") == 1)).alias("is_error"),
         sc.is_blurry(q("l_discount") * 10).alias("is_blurry"),
@@ -253,5 +254,6 @@ def c17(spark, sf):
     return quality_rows(embedding_rasters(spark, sf), ["path"]).drop("exif")
 
 
-def labelled_results(spark, sf):
-    return with_missing_defaults(result_rows(spark, sf))
+def labelled_results(rows):
+    """Complete rows that carry only some of the result columns."""
+    return with_missing_defaults(rows)
