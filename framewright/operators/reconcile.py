@@ -119,7 +119,7 @@ def metadata_cache_upsert(cache: DataFrame, fresh: DataFrame, keys=("scan_key",
 def capture_date(tags: list, mtime) -> tuple[Column, Column]:
     """(date text, source): first valid yyyy-MM-dd of `tags`, else the modification day, else unknown."""
     valid = [
-        F.when(F.col(t).rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") & F.try_to_date(F.col(t), F.lit("yyyy-M-d")).isNotNull(), F.col(t))
+        F.when(F.col(t).rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") & F.try_to_date(F.col(t), "yyyy-M-d").isNotNull(), F.col(t))
         for t in tags
     ]
     exif = F.coalesce(*valid)
@@ -292,14 +292,14 @@ def plan_transfer(missing: DataFrame, records: DataFrame, listing: DataFrame, pl
     """Missing files (path, size, mtime) -> metadata, destination and status 'missing' or 'present'."""
     described = file_metadata(missing.select("path", "size", "mtime"), records)
     resolved = resolve_destination(destination_request(described, plan), listing, ["path"])
-    return resolved.withColumn("status", F.when("already", "present").otherwise("missing")).select(*PLAN)
+    return resolved.withColumn("status", F.when(F.col("already"), "present").otherwise("missing")).select(*PLAN)
 
 
 def replan_diff(old_plan: DataFrame, listing: DataFrame, plan: TransferPlan) -> DataFrame:
     """Plan the kept rows again (only missing and present ones) and tell which rows changed."""
     open_rows = old_plan.filter(F.col("status").isin("missing", "present"))
     request = destination_request(open_rows.withColumnsRenamed({"dest_path": "old_dest", "status": "old_status"}), plan)
-    again = resolve_destination(request, listing, ["path"]).withColumn("status", F.when("already", "present").otherwise("missing"))
+    again = resolve_destination(request, listing, ["path"]).withColumn("status", F.when(F.col("already"), "present").otherwise("missing"))
     return again.select(
         *PLAN,
         ((F.col("dest_path") != F.col("old_dest")) | (F.col("status") != F.col("old_status"))).alias("changed"),
@@ -326,7 +326,7 @@ def transfer_manifest(old_plan: DataFrame, listing: DataFrame, plan: TransferPla
     )
     return resolved.select(
         "path", "date_str", "date_source", F.col("__bytes").alias("size"), "dest_path",
-        F.when("already", "skipped").otherwise({"copy": "copied", "move": "moved"}[mode]).alias("status"),
+        F.when(F.col("already"), "skipped").otherwise({"copy": "copied", "move": "moved"}[mode]).alias("status"),
     )
 
 

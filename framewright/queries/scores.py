@@ -10,7 +10,9 @@ from framewright.queries.base import query, rounded, table
 from framewright.queries.rasters import embedding_rasters
 from framewright.schemas import with_error_defaults, with_missing_defaults
 
-BLOCKS = F.transform("embedding", lambda x: F.abs(x.cast("double")) * 1000)
+def blocks():
+    return F.transform("embedding", lambda x: F.abs(x.cast("double")) * 1000)
+
 
 # Embedding as an 8 x 8 grid of block variances; the longest side grows with the label.
 GRID_SQL = """
@@ -29,7 +31,7 @@ LOG_SCORE_SQL = """greatest(0.0, least(1.0, (log10(greatest(peak, 1e-6)) - log10
 
 def grid(spark, sf):
     return table(spark, sf, "embeddings").select(
-        "vec_id", "label", (512 * (1 + F.col("label") % 8)).alias("longest"), BLOCKS.alias("blocks")
+        "vec_id", "label", (512 * (1 + F.col("label") % 8)).alias("longest"), blocks().alias("blocks")
     )
 
 
@@ -55,12 +57,6 @@ def c4(spark, sf):
 
 
 # lineitem as measured rows: every measure is a scaled column.
-MEASURED = {
-    "score": F.col("l_discount") * 10,
-    "noise": F.col("l_quantity"),
-    "delta": F.col("l_tax") * 3,
-    "lag": F.col("l_quantity") / 100,
-}
 KEYS = ["l_orderkey", "l_linenumber"]
 MEASURED_SQL = """
 m AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS score, l_quantity AS noise, l_tax * 3 AS delta, l_quantity / 100 AS lag FROM lineitem),
@@ -72,7 +68,13 @@ p AS (SELECT *, CASE WHEN evidence > 0 THEN greatest(0.0, score * (1.0 - evidenc
 
 
 def measured(spark, sf):
-    return table(spark, sf, "lineitem").select(*KEYS, *[c.alias(n) for n, c in MEASURED.items()])
+    return table(spark, sf, "lineitem").select(
+        *KEYS,
+        (F.col("l_discount") * 10).alias("score"),
+        F.col("l_quantity").alias("noise"),
+        (F.col("l_tax") * 3).alias("delta"),
+        (F.col("l_quantity") / 100).alias("lag"),
+    )
 
 
 def judged(spark, sf):

@@ -9,7 +9,7 @@ from framewright.functions import scoring as sc
 from framewright.operators import consistency, overlap
 from framewright.queries.base import query, rounded, spread_scan, table
 from framewright.queries.rasters import page_rasters
-from framewright.queries.scores import BLOCKS, LOG_SCORE_SQL, STATUS_SQL
+from framewright.queries.scores import LOG_SCORE_SQL, STATUS_SQL, blocks
 from framewright.schemas import with_missing_defaults
 
 
@@ -365,7 +365,7 @@ def label_results(spark, sf):
     rows = table(spark, sf, "embeddings").select(
         "vec_id",
         "label",
-        BLOCKS.alias("blocks"),
+        blocks().alias("blocks"),
         (1.0 + F.element_at("embedding", 1).cast("double")).alias("wb_gain_rg"),
         (1.0 + F.element_at("embedding", 2).cast("double")).alias("wb_gain_bg"),
         F.array_max(size).alias("luma_median"),
