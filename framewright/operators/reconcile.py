@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import names
 from framewright.operators.spread import skew_join, with_running_total
+from framewright.sources.shared import materialise
 
 UNKNOWN_DATE = "1970-01-01"  # fixed value: date of a file without any
 
@@ -217,48 +218,53 @@ def build_name(stem: Column, plan: TransferPlan) -> Column:
     return F.when(name == "", stem).otherwise(name)
 
 
-def collision_number(requests: DataFrame, taken: DataFrame, order: list[str], number="number") -> DataFrame:
+def collision_number(
+    requests: DataFrame, taken: DataFrame, order: list[str], number="number", settled: str | None = None
+) -> DataFrame:
     """Number every request for a target (folder, stem, suffix) so that all final names differ.
 
     Requests count up from 0 in `order`; numbers whose name already exists in `taken` (folder, stem,
     suffix), or which another row asks for as its own natural name, are skipped. Names compare without
     case. Both counts run in range-partitioned chunks, so one popular name does not end in one task.
+    Rows whose boolean column `settled` is true keep number 0 and take no part.
     """
     key = ["__folder", "__stem", "__suffix"]
     lowered = lambda df: df.withColumns({k: F.lower(F.col(k.strip("_"))) for k in key})
-    asked = lowered(requests)
-    natural = asked.select(*key).distinct()
-    on_disk = lowered(taken).select(*key).distinct()
+    asked, on_disk = lowered(requests), lowered(taken)
     # A name 'x_3' occupies number 3 of 'x'; a name on disk also occupies number 0 of itself.
-    parsed = natural.unionByName(on_disk).select(
-        "__folder",
-        F.regexp_extract("__stem", r"^(.+)_([1-9][0-9]{0,17})$", 1).alias("__base"),
-        F.regexp_extract("__stem", r"^(.+)_([1-9][0-9]{0,17})$", 2).alias("__digits"),
-        "__suffix",
+    base, digits = (F.regexp_extract("__stem", r"^(.+)_([1-9][0-9]{0,17})$", i) for i in (1, 2))
+    numbered = lambda df: df.filter(digits != "").select(
+        "__folder", base.alias("__stem"), "__suffix", digits.cast("bigint").alias("__at")
     )
     occupied = (
-        parsed.filter("__digits <> ''")
-        .select("__folder", F.col("__base").alias("__stem"), "__suffix", F.col("__digits").cast("bigint").alias("__at"))
-        .unionByName(on_disk.select(*key, F.lit(0).cast("bigint").alias("__at")))
+        numbered(asked)
+        .unionAll(numbered(on_disk))
+        .unionAll(on_disk.select(*key, F.lit(0).cast("bigint").alias("__at")))
         .distinct()
     )
     columns = requests.columns
     none = lambda c: F.lit(None).cast(requests.schema[c].dataType).alias(c)
-    lined_up = asked.select(*columns, *key, F.lit(1).alias("__kind"), F.lit(0).cast("bigint").alias("__at")).unionByName(
+    kind = F.lit(1) if settled is None else F.when(F.col(settled), 2).otherwise(1)
+    lined_up = asked.select(*columns, *key, kind.alias("__kind"), F.lit(0).cast("bigint").alias("__at")).unionByName(
         occupied.select(*[none(c) for c in columns], *key, F.lit(0).alias("__kind"), "__at")
     )
     ranked = with_running_total(lined_up, [*key, "__kind"], ["__at", *order], F.lit(1).cast("bigint"), "__rank")
     # The i-th occupied number t leaves t - i free numbers below it: it pushes up every request from there on.
-    placed = ranked.withColumn("__place", F.when(F.col("__kind") == 1, F.col("__rank") - 1).otherwise(F.col("__at") - F.col("__rank") + 1))
-    pushed = with_running_total(placed, key, ["__place", "__kind", "__at", *order], 1 - F.col("__kind"), "__pushed")
-    return pushed.filter("__kind = 1").select(*columns, (F.col("__place") + F.col("__pushed")).alias(number))
+    placed = ranked.withColumn(
+        "__place", F.when(F.col("__kind") == 0, F.col("__at") - F.col("__rank") + 1).otherwise(F.col("__rank") - 1)
+    )
+    pushes = F.when(F.col("__kind") == 0, 1).otherwise(0)
+    pushed = with_running_total(placed, key, ["__place", "__kind", "__at", *order], pushes, "__pushed")
+    free = F.when(F.col("__kind") == 1, F.col("__place") + F.col("__pushed")).otherwise(0)
+    return pushed.filter("__kind > 0").select(*columns, free.alias(number))
 
 
 def resolve_destination(requests: DataFrame, listing: DataFrame, order: list[str]) -> DataFrame:
     """Requests (folder, stem, suffix, size, ...) -> dest_path and already.
 
     A natural target of the same size is already there; everything else gets its first free name.
-    `listing` has folder, stem, suffix and size of the files at the destination.
+    `listing` has folder, stem, suffix and size of the files at the destination. The marked requests
+    are written to the shared folder once, because the numbering reads them more than once.
     """
     key = ["__f", "__s", "__x"]
     lowered = lambda df: df.withColumns({"__f": F.lower("folder"), "__s": F.lower("stem"), "__x": F.lower("suffix")})
@@ -266,11 +272,9 @@ def resolve_destination(requests: DataFrame, listing: DataFrame, order: list[str
     marked = skew_join(lowered(requests), there, [*key, "size"], "left", order).select(
         *requests.columns, F.coalesce("__there", F.lit(False)).alias("already")
     )
-    columns = requests.columns
-    done = marked.filter("already").withColumn("number", F.lit(0).cast("bigint"))
-    todo = collision_number(marked.filter("not already"), listing.select("folder", "stem", "suffix"), order)
+    numbered = collision_number(materialise(marked, "requests"), listing.select("folder", "stem", "suffix"), order, settled="already")
     dest = names.join_path("folder", names.numbered("stem", "suffix", "number"))
-    return done.unionByName(todo).select(*columns, dest.alias("dest_path"), "already")
+    return numbered.select(*requests.columns, dest.alias("dest_path"), "already")
 
 
 def destination_request(files: DataFrame, plan: TransferPlan, path="path") -> DataFrame:
