@@ -15,6 +15,12 @@ VIDEO_EXTENSIONS = (".mp4", ".mov")
 FORBIDDEN_CHARACTERS = '<>:"/\\|?*'
 CAMERA_NAME_PATTERN = r"(?i)^(image\d+|IMG_\d+|DSC_\d+|_MG_\d+|P\d{4,}|\d{4,})"
 
+# What counts as white space at the ends of a text (ASCII controls and Unicode spaces).
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -23,16 +29,22 @@ def _col(c) -> Column:
 
 
 def base_name(path) -> Column:
-    return F.regexp_extract(_col(path), r"([^/\\]*)$", 1)
+    """Part after the last slash or backslash, found by delimiter and not by pattern (linear in the length)."""
+    return F.substring_index(F.substring_index(_col(path), "/", -1), "\\", -1)
 
 
 def folder(path) -> Column:
-    return F.regexp_replace(_col(path), r"[/\\]?[^/\\]*$", "")
+    kept = F.length(_col(path)) - F.length(base_name(path)) - 1
+    return F.substring(_col(path), F.lit(1), F.greatest(kept, F.lit(0)))
 
 
 def suffix(path) -> Column:
-    """Last extension with its dot, '' for none; a leading dot starts a hidden name, not a suffix."""
-    return F.regexp_extract(base_name(path), r"[^.].*?(\.[^.]+)$", 1)
+    """Last extension with its dot, '' for none; leading dots start a hidden name, not a suffix."""
+    name = base_name(path)
+    tail = F.substring_index(name, ".", -1)
+    head = F.substring(name, F.lit(1), F.greatest(F.length(name) - F.length(tail) - 1, F.lit(0)))
+    real = (tail != "") & (F.ltrim(head, F.lit(".")) != "")
+    return F.when(real, F.concat(F.lit("."), tail)).otherwise("")
 
 
 def stem(path) -> Column:
@@ -45,12 +57,12 @@ def has_extension(path, extensions) -> Column:
 
 
 def strip(text) -> Column:
-    return F.regexp_replace(_col(text), r"^\s+|\s+$", "")
+    return F.btrim(_col(text), F.lit(WHITE_SPACE))
 
 
 def sanitize_part(text) -> Column:
     safe = F.translate(F.coalesce(_col(text), F.lit("")), FORBIDDEN_CHARACTERS, "_" * len(FORBIDDEN_CHARACTERS))
-    return F.regexp_replace(strip(safe), r"\.+$", "")
+    return F.rtrim(strip(safe), F.lit("."))
 
 
 def format_focal(raw) -> Column:
@@ -75,8 +87,7 @@ def camera_base(name) -> Column:
     """Identity shared by the developed and the raw file of one exposure, in upper case."""
     bare = stem(name)
     known = F.regexp_extract(bare, CAMERA_NAME_PATTERN, 1)
-    two_parts = F.regexp_extract(bare, r"^([^_]*_[^_]*)", 1)
-    return F.upper(F.coalesce(F.nullif(known, F.lit("")), F.nullif(two_parts, F.lit("")), bare))
+    return F.upper(F.coalesce(F.nullif(known, F.lit("")), F.substring_index(bare, "_", 2)))
 
 
 def join_path(*parts) -> Column:

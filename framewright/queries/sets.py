@@ -171,10 +171,9 @@ def g8_single(spark, sf):
 
 @query("g9_detect_keypoints")
 def g9(spark, sf):
-    """Keypoints of whole pages as rasters, with the length of each descriptor as a check."""
+    """Keypoints of whole pages as rasters."""
     found = overlap.keypoint_table(overlap.detect_keypoints(page_rasters(spark, sf)))
-    norm = F.sqrt(F.aggregate("descriptor", F.lit(0.0), lambda total, v: total + v.cast("double") * v.cast("double")))
-    return found.select("path", "kp_id", "x", "y", F.size("descriptor").alias("dimensions"), rounded(norm, 3).alias("length"))
+    return found.select("path", "kp_id", "x", "y", F.octet_length("descriptor").alias("dimensions"))
 
 
 # 50 neighbouring embeddings stand for the keypoints of one image, consecutive images for pairs.
@@ -261,7 +260,7 @@ def g12(spark, sf):
         (o % 5) / 60.0, 0.9 + (o % 20) / 100.0, -(c % 200).cast("double"),
         (o % 3) / 100000.0, (c % 4) / 100000.0, F.lit(1.0),
     )
-    rows = table(spark, sf, "orders").select(
+    rows = spread_scan(table(spark, sf, "orders"), "o_orderkey").select(
         "o_orderkey", h.alias("h"), F.lit(640).alias("w1"), F.lit(480).alias("h1"), F.lit(800).alias("w2"), F.lit(600).alias("h2")
     )
     return rows.select("o_orderkey", rounded(overlap.grid_overlap("h", "w1", "h1", "w2", "h2")).alias("overlap"))
