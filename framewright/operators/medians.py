@@ -1,6 +1,7 @@
-"""Exact medians per set without holding a set in one task.
+"""Exact medians per set without holding a large set in one task.
 
-Values are counted first (equal values collapse on the map side), then the counts are placed in
+Sets that a sketch shows to be small use Spark's exact `median` in one shuffle. Otherwise values are
+counted first (equal values collapse on the map side), then the counts are placed in
 65,536 bins per binade; the bin that holds the middle ranks is found from bin totals, and only the
 distinct values of that bin are ordered. Every window here is over bins or over the values of
 one bin, so a set with a third of all rows is spread like any other.
@@ -12,7 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framewright.operators import spread
+
 _BINS = 65536
+ONE_TASK_VALUES = 200_000  # values per set that Spark's exact percentile may keep in memory
 
 
 def _bin(value: Column) -> Column:
@@ -29,6 +33,17 @@ def exact_medians(df: DataFrame, by: list[str], measures: dict[str, Column]) ->
 
     A measure is an expression; its NULL and NaN values are left out.
     """
+    if spread.needs_chunks(df, by, ONE_TASK_VALUES):
+        return binned_medians(df, by, measures)
+    known = {name: F.nullif(c.cast("double"), F.lit(float("nan"))) for name, c in measures.items()}
+    return df.groupBy(*by).agg(
+        *[F.median(c).alias(name) for name, c in known.items()],
+        *[F.count(c).alias(f"n_{name}") for name, c in known.items()],
+    )
+
+
+def binned_medians(df: DataFrame, by: list[str], measures: dict[str, Column]) -> DataFrame:
+    """`exact_medians` for sets of any size."""
     long = df.select(
         *by,
         F.explode(

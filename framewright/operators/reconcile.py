@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import names
-from framewright.operators.spread import skew_join, with_running_total
+from framewright.operators.spread import needs_chunks, skew_join, with_running_total
 from framewright.sources.shared import materialise
 
 UNKNOWN_DATE = "1970-01-01"  # fixed value: date of a file without any
@@ -225,7 +225,7 @@ def collision_number(
 
     Requests count up from 0 in `order`; numbers whose name already exists in `taken` (folder, stem,
     suffix), or which another row asks for as its own natural name, are skipped. Names compare without
-    case. Both counts run in range-partitioned chunks, so one popular name does not end in one task.
+    case. A popular name does not end in one task: both counts can run in range-partitioned chunks.
     Rows whose boolean column `settled` is true keep number 0 and take no part.
     """
     key = ["__folder", "__stem", "__suffix"]
@@ -248,13 +248,14 @@ def collision_number(
     lined_up = asked.select(*columns, *key, kind.alias("__kind"), F.lit(0).cast("bigint").alias("__at")).unionByName(
         occupied.select(*[none(c) for c in columns], *key, F.lit(0).alias("__kind"), "__at")
     )
-    ranked = with_running_total(lined_up, [*key, "__kind"], ["__at", *order], F.lit(1).cast("bigint"), "__rank")
+    chunked = needs_chunks(lined_up, key)
+    ranked = with_running_total(lined_up, [*key, "__kind"], ["__at", *order], F.lit(1).cast("bigint"), "__rank", chunked)
     # The i-th occupied number t leaves t - i free numbers below it: it pushes up every request from there on.
     placed = ranked.withColumn(
         "__place", F.when(F.col("__kind") == 0, F.col("__at") - F.col("__rank") + 1).otherwise(F.col("__rank") - 1)
     )
     pushes = F.when(F.col("__kind") == 0, 1).otherwise(0)
-    pushed = with_running_total(placed, key, ["__place", "__kind", "__at", *order], pushes, "__pushed")
+    pushed = with_running_total(placed, key, ["__place", "__kind", "__at", *order], pushes, "__pushed", chunked)
     free = F.when(F.col("__kind") == 1, F.col("__place") + F.col("__pushed")).otherwise(0)
     return pushed.filter("__kind > 0").select(*columns, free.alias(number))
 

@@ -23,7 +23,22 @@ def by_group(rows):
     return {g: sorted(x) for g, x in groups.items()}
 
 
-def test_successor_crosses_chunk_edges(skewed):
+@pytest.fixture(params=[10**6, 100], ids=["one-task", "chunks"])
+def limit(request, monkeypatch):
+    """Both ways of running a window: in one shuffle, and cut into chunks."""
+    monkeypatch.setattr(spread, "ONE_TASK_ROWS", request.param)
+    return request.param
+
+
+def test_the_check_finds_large_groups(skewed, monkeypatch):
+    _, df = skewed
+    assert not spread.needs_chunks(df, ["g"]) and not spread.needs_chunks(df, [])
+    monkeypatch.setattr(spread, "ONE_TASK_ROWS", 1500)
+    assert spread.needs_chunks(df, ["g"]) and spread.needs_chunks(df, [])
+    assert not spread.needs_chunks(df, ["path"])
+
+
+def test_successor_crosses_chunk_edges(skewed, limit):
     rows, df = skewed
     want = {}
     for g, items in by_group(rows).items():
@@ -34,7 +49,7 @@ def test_successor_crosses_chunk_edges(skewed):
     assert len(got) == len(rows)
 
 
-def test_running_total(skewed):
+def test_running_total(skewed, limit):
     rows, df = skewed
     want = {}
     for g, items in by_group(rows).items():
@@ -46,7 +61,7 @@ def test_running_total(skewed):
     assert {r.path: r.total for r in got} == want
 
 
-def test_a_single_group_is_split_into_chunks(spark, skewed):
+def test_a_single_group_is_split_into_chunks(spark, skewed, monkeypatch):
     _, df = skewed
     chunks = spread._in_chunks(df.filter("g = 'hot'"), ["g"], ["path"]).select("__chunk").distinct().count()
     assert chunks >= 1
@@ -54,8 +69,9 @@ def test_a_single_group_is_split_into_chunks(spark, skewed):
     try:
         chunks = spread._in_chunks(df.filter("g = 'hot'"), ["g"], ["path"]).select("__chunk").distinct().count()
         assert chunks == 8
-        test_successor_crosses_chunk_edges(skewed)
-        test_running_total(skewed)
+        monkeypatch.setattr(spread, "ONE_TASK_ROWS", 100)
+        test_successor_crosses_chunk_edges(skewed, 100)
+        test_running_total(skewed, 100)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
@@ -70,6 +86,16 @@ def test_skew_join_equals_plain_join(spark, skewed, how):
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
 
 
+@pytest.mark.parametrize("rows", [100_000, 1])
+def test_lookup_join_either_way(spark, skewed, rows, monkeypatch):
+    monkeypatch.setattr(spread, "MAX_BROADCAST_ROWS", rows)
+    _, df = skewed
+    right = spark.createDataFrame([("hot", 1), ("k3", 2)], "g string, w int")
+    got = spread.lookup_join(df, right, ["g"], "left", ["path"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.join(right, "g", "left").collect()))
+    assert ("BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()) or rows == 1
+
+
 def test_hot_key_is_spread_over_salts(skewed):
     _, df = skewed
     assert spread.hot_keys(df, ["g"]).count() <= spread.MAX_HOT_KEYS
@@ -77,7 +103,9 @@ def test_hot_key_is_spread_over_salts(skewed):
     assert hot in {r["__hot"] for r in spread.hot_keys(df, ["g"]).collect()}
 
 
-def test_exact_medians(spark):
+@pytest.mark.parametrize("values", [10**6, 100], ids=["built-in", "binned"])
+def test_exact_medians(spark, values, monkeypatch):
+    monkeypatch.setattr(medians, "ONE_TASK_VALUES", values)
     rng = random.Random(3)
     rows = []
     for i in range(4000):
