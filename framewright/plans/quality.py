@@ -6,46 +6,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.config import DEFAULTS, QualityParams
+from framewright.functions.names import IMAGE_EXTENSIONS, has_extension
 from framewright.operators import consistency, measures, overlap
+from framewright.operators.spread import lookup_join
 from framewright.schemas import EXIF, with_error_defaults, with_missing_defaults
 from framewright.sources import files, tags
+from framewright.sources.shared import materialise
 
 
-def quality_rows(rasters: DataFrame, carry: list[str], p: QualityParams = DEFAULTS) -> DataFrame:
-    """Rasters (with `path` and, if known, `exif`, `md5`, `file_size`) -> full result rows, one per image."""
-    source = rasters
-    if "exif" not in source.columns:
-        source = source.withColumn("exif", F.lit(None).cast(EXIF))
-    orientation = source.withColumn("turn_tag", F.col("exif.orientation"))
-    width, height = measures.visible_size("width", "height", "turn_tag")
-    shown = orientation.withColumns({"shown_w": width, "shown_h": height})
-    carried = [*dict.fromkeys([*carry, "exif"]), "shown_w", "shown_h"]
-    measured = measures.image_measures(shown, carried, "turn_tag", p, wanted=("blocks", *measures.MEASURES))
-    scored = measures.score_rows(measured, p).withColumnsRenamed({"shown_w": "width", "shown_h": "height"})
+def quality_rows(
+    rasters: DataFrame, carry: list[str], meta: DataFrame | None = None, orientation: str | None = None, p: QualityParams = DEFAULTS
+) -> DataFrame:
+    """Rasters -> full result rows, one per image.
+
+    `meta` (path, exif, md5, file_size, ...) is joined after the pixel stage, so only narrow rows travel.
+    `orientation` names a raster column with the tag 1-8 (NULL counts as upright).
+    """
+    if orientation:
+        width, height = measures.visible_size("width", "height", orientation)
+    else:
+        width, height = F.col("width"), F.col("height")
+    sized = rasters.withColumns({"shown_w": width, "shown_h": height})
+    wanted = ("blocks", *measures.MEASURES)
+    measured = measures.image_measures(sized, [*carry, "shown_w", "shown_h"], orientation, p, wanted)
+    described = measured if meta is None else measured.join(meta, "path")
+    if "exif" not in described.columns:
+        described = described.withColumn("exif", F.lit(None).cast(EXIF))
+    scored = measures.score_rows(described, p).withColumnsRenamed({"shown_w": "width", "shown_h": "height"})
     return with_missing_defaults(with_error_defaults(scored.drop("blocks", "stat_height", "stat_width")))
 
 
 def set_run(results: DataFrame, set_cols: list[str], p: QualityParams = DEFAULTS) -> DataFrame:
     """Result rows -> the same rows with duplicates and drift flags of their set."""
-    flat = results.withColumns({"__iso": F.col("exif.iso"), "__aperture": F.col("exif.aperture")})
+    flat = results.withColumns({"exif_iso": F.col("exif.iso"), "exif_aperture": F.col("exif.aperture")})
     return consistency.set_consistency(
-        flat, set_cols, iso="__iso", aperture="__aperture", is_error="is_error", p=p
-    ).drop("__iso", "__aperture")
+        flat, set_cols, iso="exif_iso", aperture="exif_aperture", is_error="is_error", p=p
+    ).drop("exif_iso", "exif_aperture")
+
+
+def file_facts(spark: SparkSession, paths, extensions=IMAGE_EXTENSIONS) -> DataFrame:
+    """path, file_size, md5 and exif of every wanted file, from one map-only pass over the bytes each."""
+    found = files.read_files(spark, paths).filter(has_extension("path", extensions))
+    prints = found.select("path", F.col("length").alias("file_size"), F.md5("content").alias("md5"))
+    exif = tags.normalise_metadata(tags.extract_tags(found))
+    return files.catalog_from_listing(prints, extensions).join(exif, "path", "left")
 
 
 def quality_run(spark: SparkSession, paths, p: QualityParams = DEFAULTS, with_overlap: bool = False) -> DataFrame:
-    """Files and folders -> checked result rows of one capture set."""
-    catalog = files.scan_media(spark, paths)
-    content = files.read_files(spark, paths).select("path", "content")
-    hashed = catalog.join(content, "path").select("path", F.col("length").alias("file_size"), "content")
-    prints = files.content_fingerprint(hashed.select("path", "file_size", "content")).select("path", "file_size", "md5")
-    exif = tags.normalise_metadata(tags.extract_tags(hashed))
-    rasters = (
-        files.load_rasters(spark, paths).drop("is_error").join(prints, "path").join(exif, "path", "left")
-    )
-    rows = quality_rows(rasters, ["path", "load_note", "md5", "file_size"], p).withColumn("set_id", F.lit(0))
+    """Files and folders -> checked result rows of one capture set.
+
+    Facts and measured rows are written to the shared folder: the set stage reads them several times
+    and must not decode an image again. Pixels are never shuffled: the few images with a rotation tag
+    are looked up by path.
+    """
+    facts = materialise(file_facts(spark, paths), "facts")
+    turned = facts.filter(F.col("exif.orientation") > 1).select("path", F.col("exif.orientation").alias("turn_tag"))
+    pictures = lookup_join(files.load_rasters(spark, paths).drop("is_error"), turned, ["path"], "left", ["path"])
+    rows = quality_rows(pictures, ["path", "load_note"], facts, "turn_tag", p).withColumn("set_id", F.lit(0))
+    rows = materialise(rows, "rows")
     checked = set_run(rows, ["set_id"], p)
     if not (with_overlap and p.overlap_check):
         return checked
     pairs = overlap.sequence_pairs(rows, ["set_id"], ["path"], is_error="is_error")
-    return overlap.attach_overlap(checked, overlap.pair_overlap(pairs, rasters, "path", p))
+    return overlap.attach_overlap(checked, overlap.pair_overlap(pairs, pictures, "path", p))

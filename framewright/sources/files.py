@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.names import IMAGE_EXTENSIONS, has_extension
+from framewright.operators.spread import lookup_join
+from framewright.sources.tags import extract_tags
 
 # Notes of rows that cannot be measured.
 NOTE_UNDECODABLE = "image could not be decoded"
@@ -45,39 +47,39 @@ def scan_media(spark: SparkSession, paths, recursive: bool = True, extensions=IM
     return catalog_from_listing(listing, extensions)
 
 
+def _deep_files(found: DataFrame) -> DataFrame:
+    """Paths of PNG and TIFF files with 16 bits per channel, told from their header bytes."""
+    head = F.hex(F.substring("content", 1, 4))
+    png = (head == "89504E47") & (F.hex(F.substring("content", 25, 1)) == "10")
+    return found.filter(png).select("path").unionByName(
+        extract_tags(found.filter(head.isin("49492A00", "4D4D002A")))
+        .filter((F.col("tag") == "bits") & F.col("value").rlike("^16"))
+        .select("path")
+    )
+
+
 def load_rasters(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
     """Files -> path, height, width, n_channels, data (BGR), is_error, load_note; never fails on a file.
 
-    16-bit files are marked as errors: the image source keeps only their low bytes.
+    16-bit files are marked as errors: the image source keeps only their low bytes. They are looked up
+    by path, so the pixels stay where they were decoded.
     """
     images = (
         spark.read.format("image")
         .option("recursiveFileLookup", str(recursive).lower())
         .load(paths)
         .select("image.*")
-        .select(
-            normal_path("origin").alias("path"),
-            "height",
-            "width",
-            F.col("nChannels").alias("n_channels"),
-            "data",
-        )
-    )
-    # PNG states its depth in byte 25, TIFF and others decode to 8 bits or not at all.
-    deep = read_files(spark, paths, recursive).select(
-        "path",
-        (
-            (F.hex(F.substring("content", 1, 4)) == "89504E47") & (F.hex(F.substring("content", 25, 1)) == "10")
-        ).alias("deep"),
+        .select(normal_path("origin").alias("path"), "height", "width", F.col("nChannels").alias("n_channels"), "data")
     )
+    deep_files = _deep_files(read_files(spark, paths, recursive)).withColumn("deep", F.lit(True))
     bad = F.col("height") < 0
-    deep_known = F.coalesce("deep", F.lit(False))
-    return images.join(deep, "path", "left").select(
+    deep = F.coalesce("deep", F.lit(False))
+    return lookup_join(images, deep_files, ["path"], "left", ["path"]).select(
         "path",
-        *[F.when(~bad & ~deep_known, F.col(c)).otherwise(F.lit(-1)).alias(c) for c in ("height", "width", "n_channels")],
-        F.when(~bad & ~deep_known, F.col("data")).alias("data"),
-        (bad | deep_known).alias("is_error"),
-        F.when(bad, NOTE_UNDECODABLE).when(deep_known, NOTE_DEPTH).otherwise("").alias("load_note"),
+        *[F.when(~bad & ~deep, F.col(c)).otherwise(F.lit(-1)).alias(c) for c in ("height", "width", "n_channels")],
+        F.when(~bad & ~deep, F.col("data")).alias("data"),
+        (bad | deep).alias("is_error"),
+        F.when(bad, NOTE_UNDECODABLE).when(deep, NOTE_DEPTH).otherwise("").alias("load_note"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from framewright.functions.names import strip
 
 # Tag numbers of the Exif standard that are read, and the folders (IFDs) that hold them.
-MAIN_TAGS = {0x010F: "make", 0x0110: "model", 0x0112: "orientation"}
+MAIN_TAGS = {0x0102: "bits", 0x010F: "make", 0x0110: "model", 0x0112: "orientation"}
 SHOT_TAGS = {0x829D: "aperture", 0x829A: "shutter", 0x8827: "iso", 0x920A: "focal_length", 0x9003: "datetime"}
 GPS_TAGS = {1: "lat_ref", 2: "lat", 3: "lon_ref", 4: "lon"}
 SHOT_FOLDER, GPS_FOLDER = 0x8769, 0x8825
