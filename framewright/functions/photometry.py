@@ -18,21 +18,21 @@ def _col(c) -> Column:
 def percentile(cumulative: str, q: float) -> Column:
     """Linear-interpolated percentile, the definition of Spark's exact `percentile`."""
     position = f"((element_at({cumulative}, -1) - 1) * {q}D)"
-    low = f"size(filter({cumulative}, c -> c <= floor({position})))"
-    high = f"size(filter({cumulative}, c -> c <= ceil({position})))"
+    low = f"size(filter({cumulative}, _n -> _n <= floor({position})))"
+    high = f"size(filter({cumulative}, _n -> _n <= ceil({position})))"
     return F.expr(f"{low} + ({high} - {low}) * ({position} - floor({position}))")
 
 
 def mean(cumulative: str) -> Column:
     c = cumulative
-    return F.expr(f"aggregate({c}, 0L, (total, x) -> total + element_at({c}, -1) - x) / element_at({c}, -1)")
+    return F.expr(f"aggregate({c}, 0L, (_sum, _n) -> _sum + element_at({c}, -1) - _n) / element_at({c}, -1)")
 
 
 def deviation(cumulative: str) -> Column:
     c = cumulative
-    squares = f"""aggregate(transform({c}, (x, v) -> (element_at({c}, -1) - x) * (2 * v + 1)), 0L, (total, x) -> total + x)
+    squares = f"""aggregate(transform({c}, (_n, _v) -> (element_at({c}, -1) - _n) * (2 * _v + 1)), 0L, (_sum, _n) -> _sum + _n)
         / element_at({c}, -1)"""
-    average = f"aggregate({c}, 0L, (total, x) -> total + element_at({c}, -1) - x) / element_at({c}, -1)"
+    average = f"aggregate({c}, 0L, (_sum, _n) -> _sum + element_at({c}, -1) - _n) / element_at({c}, -1)"
     return F.expr(f"sqrt(greatest(0D, {squares} - power({average}, 2)))")
 
 
