@@ -165,7 +165,7 @@ def test_histogram_statistics(spark):
 
 def test_grid_overlap_of_a_shift(spark):
     h = [[1.0, 0, -25.0, 0, 1, 0, 0, 0, 1], [1.0, 0, 0, 0, 1, 0, 0, 0, 0], [1.0, 0, 500.0, 0, 1, 0, 0, 0, 1]]
-    df = spark.createDataFrame([(i, m) for i, m in enumerate(h)], "i int, h array<double>").withColumns({k: F.lit(100) for k in ("w1", "h1", "w2", "h2")})
+    df = spark.createDataFrame([(i, [float(x) for x in m]) for i, m in enumerate(h)], "i int, h array<double>").withColumns({k: F.lit(100) for k in ("w1", "h1", "w2", "h2")})
     got = [r[0] for r in df.orderBy("i").select(overlap.grid_overlap("h", "w1", "h1", "w2", "h2")).collect()]
     assert got == [0.75, 0.0, 0.0]
 
