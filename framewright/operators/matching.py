@@ -34,17 +34,17 @@ def rename_unmatched(developed: DataFrame, raw: DataFrame, path="path") -> DataF
         "raw_without_developed": (_per_base(raw, path, F.min), _per_base(developed, path, F.min)),
         "developed_without_raw": (_per_base(developed, path, F.min), _per_base(raw, path, F.min)),
     }
-    out = None
+    lines = None
+    none = lambda kind: F.lit(None).cast(kind)
     for side, (mine, other) in bases.items():
         alone = mine.join(other, "base_name", "left_anti").select("base_name")
-        total = alone.agg(F.count(F.lit(1)).alias("unmatched"))
-        first = alone.orderBy("base_name").limit(SAMPLE_OF_UNMATCHED).agg(
-            F.array_join(F.array_sort(F.collect_list("base_name")), ", ").alias("sample")
-        )
-        # Two one-row tables, joined on the side's name.
-        line = total.withColumn("side", F.lit(side)).join(first.withColumn("side", F.lit(side)), "side")
-        out = line if out is None else out.unionByName(line)
-    return out.select("side", "unmatched", "sample")
+        total = alone.agg(F.count(F.lit(1)).alias("n")).select(F.lit(side).alias("side"), "n", none("string").alias("name"))
+        first = alone.orderBy("base_name").limit(SAMPLE_OF_UNMATCHED)
+        line = total.unionAll(first.select(F.lit(side).alias("side"), none("bigint").alias("n"), F.col("base_name").alias("name")))
+        lines = line if lines is None else lines.unionAll(line)
+    # One total and at most a handful of names per side.
+    sample = F.array_join(F.array_sort(F.collect_list("name")), ", ")
+    return lines.groupBy("side").agg(F.max("n").alias("unmatched"), F.nullif(sample, F.lit("")).alias("sample"))
 
 
 def rename_manifest(mappings: DataFrame, target_files: DataFrame, overwrite: bool, name="name") -> DataFrame:

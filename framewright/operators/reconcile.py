@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import names
-from framewright.operators.spread import needs_chunks, skew_join, with_running_total
+from framewright.operators.spread import counted, needs_chunks, skew_join, with_running_total
 from framewright.sources.shared import materialise
 
 UNKNOWN_DATE = "1970-01-01"  # fixed value: date of a file without any
@@ -56,8 +56,10 @@ def _renamed(df: DataFrame, columns: list[str], prefix: str, key="path") -> Data
 def incremental_hash(scan: DataFrame, index: DataFrame, contents: DataFrame | None) -> DataFrame:
     """Give every scanned row its hash: the stored one if size and mtime are unchanged, else a fresh one.
 
-    `contents` (path, content) is read only for rows that need it; None means hashing is off, then
-    unchanged rows keep their stored hash and the rest has none. `hash_reused` tells which is which.
+    `contents` is (path, content); None means hashing is off, then unchanged rows keep their stored
+    hash and the rest has none. `hash_reused` tells which is which. Up to a counted number of stale
+    files, only their bytes are hashed; beyond it (a first scan) all are hashed where they are read. In
+    neither case does content travel.
     """
     old = _renamed(index, ["size", "mtime", "sha256"], "old_").withColumn("__known", F.lit(True))
     unchanged = F.coalesce(F.col("__known") & (F.col("old_size") == F.col("size")) & (F.col("old_mtime") == F.col("mtime")), F.lit(False))
@@ -67,7 +69,9 @@ def incremental_hash(scan: DataFrame, index: DataFrame, contents: DataFrame | No
     if contents is None:
         return seen.select(*keep, F.col("stored").alias("sha256"), F.lit(False).alias("hash_reused"))
     reused = seen.filter(F.col("stored").isNotNull())
-    stale = seen.filter(F.col("stored").isNull()).select(*keep)
+    stale, small = counted(seen.filter(F.col("stored").isNull()).select(*keep), "stale")
+    if small:
+        contents = contents.join(F.broadcast(stale.select("path")), "path", "left_semi")
     fresh = stale.join(contents.select("path", F.sha2("content", 256).alias("sha256")), "path", "left")
     return reused.select(*keep, F.col("stored").alias("sha256"), F.lit(True).alias("hash_reused")).unionByName(
         fresh.select(*keep, "sha256", F.lit(False).alias("hash_reused"))
@@ -336,22 +340,23 @@ def transfer_manifest(old_plan: DataFrame, listing: DataFrame, plan: TransferPla
 
 
 def scan_summary(imported: DataFrame, backup: DataFrame, missing: DataFrame, described: DataFrame) -> DataFrame:
-    """Counts of a run as (counter, n) rows: files per tree, missing, reused hashes, dated by metadata."""
-    def line(df: DataFrame, counter: str, condition=None) -> DataFrame:
-        n = F.count(F.lit(1)) if condition is None else F.count_if(condition)
-        return df.agg(n.alias("n")).select(F.lit(counter).alias("counter"), "n")
-
-    lines = [
-        line(imported, "import_files"),
-        line(backup, "backup_files"),
-        line(missing, "missing_files"),
-        line(imported.select("hash_reused").unionAll(backup.select("hash_reused")), "reused_hashes", F.col("hash_reused")),
-        line(described, "dated_by_metadata", F.col("date_source") == "exif"),
-    ]
-    out = lines[0]
-    for more in lines[1:]:
-        out = out.unionAll(more)
-    return out
+    """Counts of a run as (counter, n) rows: files per tree, missing, reused hashes, dated by metadata.
+
+    Each input is read once.
+    """
+    rows, reused = F.count(F.lit(1)), F.count_if("hash_reused")
+
+    def counters(df: DataFrame, **found) -> DataFrame:
+        totals = df.agg(*[c.alias(name) for name, c in found.items()])
+        return totals.select(F.explode(F.array(*[F.struct(F.lit(n).alias("counter"), F.col(n).alias("n")) for n in found])).alias("x"))
+
+    lines = (
+        counters(imported, import_files=rows, reused_hashes=reused)
+        .unionAll(counters(backup, backup_files=rows, reused_hashes=reused))
+        .unionAll(counters(missing, missing_files=rows))
+        .unionAll(counters(described, dated_by_metadata=F.count_if(F.col("date_source") == "exif")))
+    )
+    return lines.groupBy("x.counter").agg(F.sum("x.n").alias("n"))
 
 
 def keep_reject_manifest(selected: DataFrame, target: str, listing: DataFrame, path="path") -> DataFrame:

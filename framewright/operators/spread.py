@@ -78,14 +78,20 @@ def skew_join(
     return salted_left.join(salted_right, [*on, "__salt"], how).drop("__salt")
 
 
+def counted(df: DataFrame, purpose: str) -> tuple[DataFrame, bool]:
+    """`df` written to the shared folder once, and whether it is small enough to be broadcast."""
+    table = materialise(df, purpose)
+    return table, table.count() <= MAX_BROADCAST_ROWS
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spread_on: list[str]) -> DataFrame:
     """Join with a usually small result that has one row per key.
 
     `right` is written to the shared folder once and counted there: a table within MAX_BROADCAST_ROWS
     is broadcast, a larger one is joined with its hot keys split.
     """
-    table = materialise(right, "lookup")
-    if table.count() <= MAX_BROADCAST_ROWS:
+    table, small = counted(right, "lookup")
+    if small:
         return left.join(F.broadcast(table), on, how)
     return skew_join(left, table, on, how, spread_on)
 

@@ -8,6 +8,7 @@ from framewright.functions import names
 from framewright.operators import reconcile as rc
 from framewright.queries.base import query, table
 from framewright.queries.numbering import numbering_sql
+from framewright.sources.shared import materialise
 
 # Documents as the backup tree; the import tree is what remains of it, under many shared names.
 TREE_SQL = """
@@ -452,6 +453,6 @@ def r19_hash(spark, sf):
 )
 def r20(spark, sf):
     index, body = stored_index(spark, sf), contents(spark, sf)
-    ours = rc.incremental_hash(imported(spark, sf), index, body)
-    theirs = rc.incremental_hash(tree(spark, sf), index, body)
+    ours = materialise(rc.incremental_hash(imported(spark, sf), index, body), "import")
+    theirs = materialise(rc.incremental_hash(tree(spark, sf), index, body), "backup")
     return rc.scan_summary(ours, theirs, rc.missing_files(theirs, ours), described(spark, sf))

@@ -214,7 +214,39 @@ def p6(spark, sf):
     return _columns(spark, sf, mb_delta_conc=5)
 
 
-@query("p7_lag_anisotropy")
+# Pages as grey rasters 64 pixels wide: bytes of the text, the last row filled up with blanks.
+PAGE_PIXELS_SQL = """
+bytes AS (SELECT page_id, hex(encode(html)) AS digits, octet_length(encode(html)) AS n, greatest(1, CAST(ceil(octet_length(encode(html)) / 64.0) AS BIGINT)) AS rows FROM pages),
+img AS (SELECT page_id, rows, regexp_extract_all(rpad(digits, CAST(rows * 128 AS INTEGER), '20'), '..') AS pairs FROM bytes),
+flat AS (SELECT page_id, rows, unnest(range(0, rows * 64)) AS i, unnest(pairs) AS pair FROM img),
+pos AS (SELECT page_id, rows, i // 64 AS y, i % 64 AS x, 16 * (strpos('0123456789ABCDEF', pair[1]) - 1) + strpos('0123456789ABCDEF', pair[2]) - 1 AS g FROM flat),
+dots AS (
+  SELECT *, coalesce(lag(g) OVER w_down, lead(g) OVER w_down, g) + coalesce(lead(g) OVER w_down, lag(g) OVER w_down, g)
+    + coalesce(lag(g) OVER w_across, lead(g) OVER w_across) + coalesce(lead(g) OVER w_across, lag(g) OVER w_across) - 4 * g AS lap
+  FROM pos WINDOW w_down AS (PARTITION BY page_id, x ORDER BY y), w_across AS (PARTITION BY page_id, y ORDER BY x))
+"""
+P7_SQL = f"""
+WITH {PAGE_PIXELS_SQL}, cells AS (
+  SELECT page_id, rows // 8 AS ch, y, x, y // (rows // 8) AS cy, x // 8 AS cx, g, lap FROM dots WHERE rows >= 8 AND y < rows // 8 * 8),
+sharp AS (SELECT page_id, cy, cx, var_pop(lap) AS s FROM cells GROUP BY ALL),
+steps AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 0), (2, 1, 1), (3, -1, 1)) o(d, dy, dx)),
+energy AS (
+  SELECT a.page_id, a.cy, a.cx, d, avg(power(a.g - b.g, 2)) AS e FROM steps, cells a, cells b
+  WHERE a.page_id = b.page_id AND a.cy = b.cy AND a.cx = b.cx AND b.y = a.y + dy AND b.x = a.x + dx AND a.ch - abs(dy) >= 2 GROUP BY ALL),
+picked AS (
+  SELECT s.page_id, s.cy, s.cx, row_number() OVER (PARTITION BY s.page_id ORDER BY s.s DESC, coalesce(e0.e, 0) DESC, coalesce(e1.e, 0) DESC, coalesce(e2.e, 0) DESC, coalesce(e3.e, 0) DESC) AS rank,
+    coalesce(e0.e, 0) AS d0, coalesce(e1.e, 0) AS d1, coalesce(e2.e, 0) AS d2, coalesce(e3.e, 0) AS d3
+  FROM sharp s LEFT JOIN energy e0 ON e0.page_id = s.page_id AND e0.cy = s.cy AND e0.cx = s.cx AND e0.d = 0
+    LEFT JOIN energy e1 ON e1.page_id = s.page_id AND e1.cy = s.cy AND e1.cx = s.cx AND e1.d = 1
+    LEFT JOIN energy e2 ON e2.page_id = s.page_id AND e2.cy = s.cy AND e2.cx = s.cx AND e2.d = 2
+    LEFT JOIN energy e3 ON e3.page_id = s.page_id AND e3.cy = s.cy AND e3.cx = s.cx AND e3.d = 3),
+pooled AS (SELECT page_id, sum(d0) AS d0, sum(d1) AS d1, sum(d2) AS d2, sum(d3) AS d3 FROM picked WHERE rank <= 6 GROUP BY page_id)
+SELECT printf('/pages/%08d.png', p.page_id) AS path, round(CASE WHEN d0 IS NULL OR greatest(d0, d1, d2, d3) < 1e-6 THEN 1.0 ELSE least(d0, d1, d2, d3) / greatest(d0, d1, d2, d3) END, 6) AS mb_lag_aniso
+FROM pages p LEFT JOIN pooled USING (page_id)
+"""
+
+
+@query("p7_lag_anisotropy", P7_SQL)
 def p7(spark, sf):
     """On rasters of whole pages; cells of 8 x 8 rasters have one pixel and no lag."""
     return measures.image_measures(page_rasters(spark, sf), ["path"], wanted=("mb_lag_aniso",)).select("path", rounded("mb_lag_aniso").alias("mb_lag_aniso"))
@@ -294,9 +326,37 @@ def p13(spark, sf):
     )
 
 
-@query("p14_edge_density")
+P14_SQL = f"""
+WITH RECURSIVE {PAGE_PIXELS_SQL},
+limits AS (SELECT page_id, greatest(0, trunc(avg(g) - stddev_pop(g))) AS low, least(255, trunc(avg(g) + stddev_pop(g))) AS high FROM pos GROUP BY page_id),
+columns AS (
+  SELECT page_id, y, x, coalesce(lag(g) OVER w, g) + 2 * g + coalesce(lead(g) OVER w, g) AS s, coalesce(lead(g) OVER w, g) - coalesce(lag(g) OVER w, g) AS d
+  FROM pos WINDOW w AS (PARTITION BY page_id, x ORDER BY y)),
+slopes AS (
+  SELECT page_id, y, x, coalesce(lead(s) OVER w, s) - coalesce(lag(s) OVER w, s) AS gx, coalesce(lag(d) OVER w, d) + 2 * d + coalesce(lead(d) OVER w, d) AS gy
+  FROM columns WINDOW w AS (PARTITION BY page_id, y ORDER BY x)),
+strength AS (SELECT *, abs(gx) + abs(gy) AS m FROM slopes),
+updown AS (SELECT *, coalesce(lag(m) OVER w, 0) AS up, coalesce(lead(m) OVER w, 0) AS down FROM strength WINDOW w AS (PARTITION BY page_id, x ORDER BY y)),
+around AS (
+  SELECT *, coalesce(lag(m) OVER w, 0) AS before, coalesce(lead(m) OVER w, 0) AS after, coalesce(lag(up) OVER w, 0) AS up_before, coalesce(lead(up) OVER w, 0) AS up_after,
+    coalesce(lag(down) OVER w, 0) AS down_before, coalesce(lead(down) OVER w, 0) AS down_after
+  FROM updown WINDOW w AS (PARTITION BY page_id, y ORDER BY x)),
+thin AS (
+  SELECT page_id, y, x, m, low, high FROM around JOIN limits USING (page_id)
+  WHERE m > low AND CASE WHEN abs(gy) < abs(gx) * tan(pi() / 8) THEN m > before AND m >= after WHEN abs(gy) > abs(gx) * tan(3 * pi() / 8) THEN m > up AND m >= down
+    WHEN (gx < 0) <> (gy < 0) THEN m > up_after AND m > down_before ELSE m > up_before AND m > down_after END),
+steps AS (SELECT a.v AS dy, b.v AS dx FROM (VALUES (-1), (0), (1)) a(v), (VALUES (-1), (0), (1)) b(v)),
+edge AS (
+  SELECT page_id, y, x FROM thin WHERE m > high
+  UNION SELECT t.page_id, t.y, t.x FROM edge e, steps s, thin t WHERE t.page_id = e.page_id AND t.y = e.y + s.dy AND t.x = e.x + s.dx)
+SELECT printf('/pages/%08d.png', page_id) AS path, round(coalesce(found, 0) / (rows * 64), 6) AS edge_density
+FROM bytes LEFT JOIN (SELECT page_id, count(*) AS found FROM edge GROUP BY page_id) f USING (page_id)
+"""
+
+
+@query("p14_edge_density", P14_SQL)
 def p14(spark, sf):
-    """Edges of whole pages; following weak edges from strong ones has no plain SQL form."""
+    """Edges of whole pages; weak edges are followed from strong ones."""
     return measures.image_measures(page_rasters(spark, sf), ["path"], wanted=("edge_density",)).select("path", rounded("edge_density").alias("edge_density"))
 
 
