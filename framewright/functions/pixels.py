@@ -100,13 +100,23 @@ def blur_residual(green: np.ndarray) -> np.ndarray:
     return np.abs(green.astype(np.int32) - smooth)
 
 
-def saturation_total(bgr: np.ndarray) -> int:
-    """Sum of the 8-bit HSV saturation, with the 12-bit fixed-point division usual for 8-bit HSV."""
-    table = np.zeros(256, dtype=np.int64)
-    table[1:] = np.rint((255 << 12) / np.arange(1, 256))
-    high = bgr.max(axis=2).astype(np.int64)
-    spread = high - bgr.min(axis=2)
-    return int(((spread * table[high] + 2048) >> 12).sum())
+def channel_extremes(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Highest and lowest channel of every pixel."""
+    b, g, r = bgr[:, :, 0], bgr[:, :, 1], bgr[:, :, 2]
+    return np.maximum(np.maximum(b, g), r), np.minimum(np.minimum(b, g), r)
+
+
+def _saturation_table() -> np.ndarray:
+    """8-bit HSV saturation by (highest, spread), with the 12-bit fixed-point division usual for it."""
+    share = np.zeros(256, dtype=np.int64)
+    share[1:] = np.rint((255 << 12) / np.arange(1, 256))
+    return (np.arange(256)[None, :] * share[:, None] + 2048) >> 12
+
+
+def saturation_total(highest: np.ndarray, lowest: np.ndarray) -> int:
+    """Sum of the saturation over all pixels, from how often each (highest, spread) occurs."""
+    pairs = highest.astype(np.int32) * 256 + (highest - lowest)
+    return int((np.bincount(pairs.ravel(), minlength=65536) * _saturation_table().ravel()).sum())
 
 
 def corner_means(green: np.ndarray) -> tuple[float, float]:
@@ -120,19 +130,20 @@ def corner_means(green: np.ndarray) -> tuple[float, float]:
 
 
 def corner_response(green: np.ndarray) -> np.ndarray:
-    """Harris response: window 5, Sobel 3, k 0.04, gradients scaled for 8-bit input."""
-    gx, gy = (g / (4.0 * 5.0 * 255.0) for g in sobel(green))
+    """Harris response: window 5, Sobel 3, k 0.04, gradients scaled for 8-bit input.
+
+    Window sums stay in 32-bit integers (at most 25 * 1020 squared), so they are exact.
+    """
+    gx, gy = sobel(green)
+    h, w = green.shape
 
     def window_sum(a):
-        for axis in (0, 1):
-            pad = [(0, 0), (0, 0)]
-            pad[axis] = (3, 2)
-            c = np.cumsum(np.pad(a, pad, mode="reflect" if a.shape[axis] > 1 else "edge"), axis=axis)
-            n = a.shape[axis]
-            a = np.take(c, np.arange(5, n + 5), axis=axis) - np.take(c, np.arange(n), axis=axis)
-        return a
-
-    xx, xy, yy = window_sum(gx * gx), window_sum(gx * gy), window_sum(gy * gy)
+        p = np.pad(a, 2, mode="reflect")
+        rows = p[0:h] + p[1 : h + 1] + p[2 : h + 2] + p[3 : h + 3] + p[4 : h + 4]
+        return rows[:, 0:w] + rows[:, 1 : w + 1] + rows[:, 2 : w + 2] + rows[:, 3 : w + 3] + rows[:, 4 : w + 4]
+
+    scale = (4.0 * 5.0 * 255.0) ** 2
+    xx, xy, yy = (window_sum(a) / scale for a in (gx * gx, gx * gy, gy * gy))
     return xx * yy - xy * xy - 0.04 * (xx + yy) ** 2
 
 

@@ -94,13 +94,14 @@ def _measure(bgr: np.ndarray, parts: set[str], p: QualityParams) -> dict:
     if "histograms" in parts:
         for name, channel in (("blue", 0), ("green", 1), ("red", 2)):
             out[f"cdf_{name}"] = px.cumulative_counts(bgr[:, :, channel])
-    if "extremes" in parts:
-        out["cdf_highest"] = px.cumulative_counts(bgr.max(axis=2))
-        out["cdf_lowest"] = px.cumulative_counts(bgr.min(axis=2))
+    if parts & {"extremes", "saturation"}:
+        highest, lowest = px.channel_extremes(bgr)
+        if "extremes" in parts:
+            out["cdf_highest"], out["cdf_lowest"] = px.cumulative_counts(highest), px.cumulative_counts(lowest)
+        if "saturation" in parts:
+            out["saturation_total"] = px.saturation_total(highest, lowest)
     if "residual" in parts:
         out["cdf_residual"] = px.cumulative_counts(px.blur_residual(green))
-    if "saturation" in parts:
-        out["saturation_total"] = px.saturation_total(bgr)
     if "laplacian" in parts:
         lap = px.laplacian(green)
         out["lap_total"] = int(lap.sum(dtype=np.int64))
