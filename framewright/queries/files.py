@@ -378,7 +378,7 @@ def part_records(spark, sf):
 
 
 def missing_parts(spark, sf):
-    return part_files(spark, sf).select("path", "size", F.timestamp_seconds(F.lit(1700000000)).alias("mtime"))
+    return part_files(spark, sf).select("path", "size", F.timestamp_seconds(F.lit(1699963200)).alias("mtime"))
 
 
 def planned(spark, sf):
