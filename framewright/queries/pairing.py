@@ -187,7 +187,7 @@ def e3(spark, sf):
 
 # Raw files by product name in one folder per brand, removed ones already numbered there.
 REMOVAL_SQL = """
-sel AS (SELECT p_partkey, printf('/raw/%s/%s.cr3', p_brand, p_name) || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '' END AS path FROM part),
+sel AS (SELECT p_partkey, printf('/raw/%s/%s.cr3', p_brand, p_name) AS path FROM part),
 req AS (SELECT p_partkey, path, regexp_extract(path, '^(.*)/[^/]*$', 1) || '/_removed' AS folder, regexp_extract(path, '([^/]*)\\.cr3$', 1) AS stem, '.cr3' AS suffix FROM sel),
 taken AS (SELECT DISTINCT printf('/raw/%s/_removed', p_brand) AS folder, p_name || CASE WHEN p_size % 2 = 0 THEN '' ELSE '_2' END AS stem, '.cr3' AS suffix FROM part WHERE p_size % 6 < 2)
 """

@@ -211,8 +211,8 @@ def x10(spark, sf):
     return report.drop_vanished(results, table(spark, sf, "labels").select(F.col("doc_id").alias("path")))
 
 
-# Parts as selected photos, named by product: many ask for the same name. Nation-wide suppliers'
-# regions give names that the target folder already has.
+# Parts as selected photos, named by product: many ask for the same name, and the target folder
+# already has some of these names.
 PHOTOS_SQL = """
 photos AS (SELECT p_partkey, printf('/shoot/%s/%06d/%s%s.jpg', p_brand, p_partkey, p_name,
     CASE p_partkey % 10 WHEN 0 THEN '_1' WHEN 1 THEN '_2' ELSE '' END) AS path FROM part),
