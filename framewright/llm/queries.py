@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lines", "exact", "mixing", "secrets", "substrings")
+MODULES = ("lines", "exact", "mixing", "secrets", "substrings", "bpe", "near")
 
 
 def load():
