@@ -4,7 +4,8 @@ Every set of word shingles becomes a row of registers, each the exponent of a tr
 sketches of parts merge by the register-wise maximum. Equal bands of registers make candidates, the joint
 likelihood of two sketches estimates their similarity, and full sets confirm it. A group of copies is never
 expanded into pairs: documents with one and the same set are one node, a band ties its documents to its smallest
-one only, and what lies in one band but is not yet connected is compared afterwards, in blocks.
+one only, and what lies in one band but is not yet connected is compared afterwards, in blocks, of which only
+the links that tie something new are returned.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.base import chunks, query, table, utf8
+from framewright.llm.base import chunks, partitions, query, table, utf8
 from framewright.llm.graph import components
 from framewright.llm.words import mix, runs, word_hashes
 from framewright.sources.shared import materialise
@@ -27,7 +29,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65534  # b, a and q of the sketch: registers 0..q
 ROWS = 5  # registers in a band
 MISSED = 1e-7  # a pair at the threshold shares no band with at most this probability
 SIGMAS = 4.5  # estimates this many standard errors under the threshold are not confirmed
-BLOCK = 1024  # sketches compared with each other at once
+BLOCK = 512  # documents of a band compared with as many others at once
 _FEW = 1 << 16
 
 
@@ -117,6 +119,77 @@ def _band_keys(sketch: np.ndarray) -> np.ndarray:
     return key
 
 
+def held(batches: Iterator[pa.RecordBatch], words: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Each shingle of a chunk once, with a document that has it and whether several do, packed by bucket."""
+    for batch in chunks(batches, "text"):
+        sets, sizes = shingle_sets(utf8(batch.column("text")), words)
+        ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), sizes)
+        sets, first, n = np.unique(sets, return_index=True, return_counts=True)
+        bucket = (mix(sets) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, columns = bucket[order], [x[order] for x in (sets, ids[first], n > 1)]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+        ends = [*cuts[1:], len(bucket)]
+        cells = [[x[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)] for x in columns]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[cuts]), *[pa.array(c, pa.binary()) for c in cells]], ["bucket", "h", "d", "several"]
+        )
+
+
+def held_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of each document no other has, bucket by bucket; rows come sorted by bucket."""
+
+    def counted(rows):
+        h, d, several = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*rows, strict=True), (np.uint64, np.int64, bool), strict=True))
+        _, first, n = np.unique(h, return_index=True, return_counts=True)
+        alone = first[(n == 1) & ~several[first]]
+        ids, lone = np.unique(d[alone], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lone.astype(np.int64))], ["id", "lone"])
+
+    rows, at = [], None
+    for batch in batches:
+        for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "h", "d", "several")), strict=True):
+            if bucket != at and rows:
+                yield counted(rows)
+                rows = []
+            at = bucket
+            rows.append(row)
+    if rows:
+        yield counted(rows)
+
+
+def _partners(key: tuple, left: pd.DataFrame, right: pd.DataFrame, registers: int, percent: int, least: float):
+    """Positions (in left, in right) of the pairs of a tile that may be links between what is not yet connected.
+
+    Shingles that no other candidate has bound what two documents can have in common; then the likelihood of
+    the sketches decides. A pair is looked at in the first band that it shares, and nowhere else.
+    """
+    if not len(left) or not len(right):
+        return np.empty(0, int), np.empty(0, int)
+    a, b = (np.frombuffer(b"".join(x.sketch), np.uint16).reshape(-1, registers) for x in (left, right))
+    keys_a, keys_b = _band_keys(a), _band_keys(b)
+    (i, n, u, r), (j, m, v, q) = ([x[c].to_numpy() for c in ("id", "n", "lone", "root")] for x in (left, right))
+    nth = int(np.flatnonzero(keys_a[0].view(np.int64) == key[0])[0])
+    found = []
+    for s in range(0, len(left), 128):
+        e = s + 128
+        common = np.minimum((n - u)[s:e, None], (m - v)[None, :])
+        able = (100 * common >= percent * (n[s:e, None] + m[None, :] - common)) & (r[s:e, None] != q[None, :])
+        able &= (i[s:e, None] < j[None, :]) if key[1] == key[2] else (i[s:e, None] != j[None, :])
+        x, y = np.nonzero(able)
+        x += s
+        for t in range(0, len(x), 20_000):
+            xs, ys = x[t : t + 20_000], y[t : t + 20_000]
+            here = (keys_a[xs] == keys_b[ys]).argmax(1) == nth
+            xs, ys = xs[here], ys[here]
+            if len(xs):
+                good = estimate(a[xs], b[ys], n[xs].astype(float), m[ys].astype(float)) >= least
+                found.append((xs[good], ys[good]))
+    if not found:
+        return np.empty(0, int), np.empty(0, int)
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -133,6 +206,7 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     registers = ROWS * bands_for(percent / 100)
+    buckets = 4 * partitions(spark)
     least = percent / 100 - SIGMAS * math.sqrt(percent / 100 * (1 - percent / 100) / registers)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
@@ -156,10 +230,8 @@ def near_duplicates(
             )
 
     sketched = materialise(narrow.mapInArrow(sketch, "doc_id long, n long, digest binary, sketch binary"), "sketches")
-    owners = (
-        sketched.filter("n > 0 and doc_id is not null")
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    owners = materialise(
+        sketched.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "owners"
     )
     nodes = (
         sketched.join(owners, ["digest"])
@@ -232,14 +304,24 @@ def near_duplicates(
             *df.columns, F.coalesce("__root", F.col(column)).alias(name)
         )
 
-    apart = rooted(candidates.select("id", "n", "sketch"), "id", "root")
+    lone = (
+        candidates.select("id", "text")
+        .mapInArrow(lambda batches: held(batches, words, buckets), "bucket int, h binary, d binary, several binary")
+        .repartition(partitions(spark), "bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(held_once, "id long, lone long")
+        .groupBy("id")
+        .agg(F.sum("lone").alias("lone"))
+        .withColumnRenamed("id", "__lone")
+    )
+    apart = rooted(candidates.select("id", "n", "sketch"), "id", "root").join(lone, F.col("id") == F.col("__lone"), "left")
+    apart = materialise(apart.select("id", "n", "sketch", "root", F.coalesce("lone", F.lit(0)).alias("lone")), "apart")
 
     def rooted_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys = _band_keys(_unpack(batch.column("sketch"), registers))
-                per = keys.shape[1]
-                take = pa.array(np.repeat(np.arange(batch.num_rows), per))
+                take = pa.array(np.repeat(np.arange(batch.num_rows), keys.shape[1]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel().view(np.int64)), batch.column("id").take(take), batch.column("root").take(take)],
                     ["band", "id", "root"],
@@ -258,36 +340,61 @@ def near_duplicates(
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = (
         members.join(mixed, "band")
-        .select("band", "id", "root", block.alias("mine"), other.alias("other"))
-        .select("band", "id", "root", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        .select("band", "id", block.alias("mine"), other.alias("other"))
+        .select("band", "id", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     )
-    known = apart.select(F.col("id").alias("__id"), "n", "sketch")
+    known = apart.withColumnRenamed("id", "__id")
     tiles = tiles.join(known, tiles.id == known["__id"]).drop("__id")
 
-    def compare(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.drop_duplicates(["id", "sketch"])
-        left = pdf[pdf.mine == key[1]]
-        right = pdf[pdf.mine == key[2]]
-        a, b = (np.frombuffer(b"".join(x.sketch), np.uint16).reshape(-1, registers) for x in (left, right))
-        found = []
-        for k in range(len(left)):
-            mine = left.iloc[k]
-            rows = np.flatnonzero(
-                (right.root.to_numpy() != mine.root)
-                & (right.id.to_numpy() != mine.id)
-                & ((right.id.to_numpy() > mine.id) | (key[1] != key[2]))
-                & (np.minimum(right.n, mine.n) * 100 >= np.maximum(right.n, mine.n) * percent).to_numpy()
-            )
-            if len(rows):
-                n = right.n.to_numpy()[rows].astype(float)
-                like = estimate(np.repeat(a[k : k + 1], len(rows), 0), b[rows], np.full(len(rows), float(mine.n)), n)
-                found += [(min(mine.id, i), max(mine.id, i)) for i in right.id.to_numpy()[rows[like >= least]].tolist()]
+    def promising(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """The rows of a tile that have a partner worth confirming: never more rows than came in."""
+        left, right = pdf[pdf.mine == key[1]], pdf[pdf.mine == key[2]]
+        a, b = _partners(key, left, right, registers, percent, least)
+        rows = np.union1d(left.index.to_numpy()[a], right.index.to_numpy()[b])
+        return pdf.loc[rows, ["band", "i", "j", "mine", "id", "root", "lone"]]
+
+    def spanning(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Confirmed links of a tile that tie what is not yet tied: fewer than it has rows."""
+        left, right = pdf[pdf.mine == key[1]], pdf[pdf.mine == key[2]]
+        a, b = _partners(key, left, right, registers, percent, least)
+        found, roots_ = [], {}
+
+        def root(x: int) -> int:
+            while roots_.get(x, x) != x:
+                x = roots_[x]
+            return x
+
+        if len(a):
+            rights, sizes = shingle_sets([x.encode() for x in right.text], words)
+            names, place = np.unique(rights, return_inverse=True)
+            starts = np.cumsum(sizes) - sizes
+            lefts, left_sizes = shingle_sets([x.encode() for x in left.text], words)
+            ends = np.cumsum(left_sizes)
+            rid, rroot = right.id.to_numpy(), right.root.to_numpy()
+            for x in np.unique(a).tolist():
+                mark = np.zeros(len(names), np.int64)
+                mine = lefts[ends[x] - left_sizes[x] : ends[x]]
+                mark[np.searchsorted(names, mine[np.isin(mine, names, assume_unique=True)])] = 1
+                common = np.add.reduceat(mark[place], starts)
+                linked = 100 * common >= percent * (sizes + len(mine) - common)
+                for y in b[(a == x) & linked[b]].tolist():
+                    p, q = root(left.root.iat[x]), root(rroot[y])
+                    if p != q:
+                        roots_[max(p, q)] = min(p, q)
+                        found.append((left.id.iat[x], rid[y]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    pairs = tiles.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-    more = materialise(confirmed(pairs), "confirmed")
+    hopeful = tiles.groupBy("band", "i", "j").applyInPandas(
+        promising, "band long, i int, j int, mine int, id long, root long, lone long"
+    )
+    texts = candidates.withColumnRenamed("id", "__id")
+    more = materialise(
+        hopeful.join(texts, hopeful.id == texts["__id"])
+        .groupBy("band", "i", "j")
+        .applyInPandas(spanning, "a long, b long")
+        .distinct(),
+        "confirmed",
+    )
     if not more.isEmpty():
         roots = materialise(components(links.unionByName(more)), "roots")
     # From a row to the node of its set, from there to its root; rows that repeat an id take the smallest.
