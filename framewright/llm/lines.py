@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.llm.base import chunks, hex_digest, query, table, utf8
+from framewright.sources.shared import materialise
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -48,12 +49,13 @@ def line_dedup(
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     held = narrow.filter("id is not null and text is not null").mapInArrow(keys, "id long, key binary")
-    # Map-side combining leaves one row per task of a line that a third of the documents share. The join
-    # below is a plain equi-join of two shuffled sides, so that adaptive execution splits such a line.
+    # Map-side combining leaves one row per task of a line that a third of the documents share. Its owner is
+    # written, so that the join is one of two plain shuffled sides, of which adaptive execution splits such a line.
     many = F.count_distinct("id") if min_docs > 2 else F.when(F.min("id") < F.max("id"), 2).otherwise(1)
     shared = held.groupBy("key").agg(F.min("id").alias("owner"), many.alias("docs")).filter(F.col("docs") >= min_docs)
+    shared = materialise(shared.select("key", "owner"), "lines")
     drops = (
-        held.join(shared.select("key", "owner"), "key")
+        held.join(shared, "key")
         .filter(F.col("id") > F.col("owner"))
         .groupBy("id")
         .agg(F.collect_list("key").alias("__drop"))
