@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,12 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def cut_up(cuts: np.ndarray, *arrays: np.ndarray) -> list[list[bytes]]:
+    """The bytes of each array from each cut to the next one. An array may be empty for nothing at all."""
+    starts = cuts.tolist()
+    return [[x[s:e].tobytes() for s, e in zip(starts, [*starts[1:], None], strict=False)] for x in arrays]
+
+
 def hex_digest(column) -> Column:
     """Lowercase hex SHA-256 of a string or binary column."""
     return F.sha2(F.col(column) if isinstance(column, str) else column, 256)

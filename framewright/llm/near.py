@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.base import chunks, partitions, query, table, utf8
+from framewright.llm.base import chunks, cut_up, partitions, query, table, utf8
 from framewright.llm.graph import components
 from framewright.llm.words import mix, runs, word_hashes
 from framewright.sources.shared import materialise
@@ -128,9 +128,8 @@ def held(batches: Iterator[pa.RecordBatch], words: int, buckets: int) -> Iterato
         bucket = (mix(sets) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         bucket, columns = bucket[order], [x[order] for x in (sets, ids[first], n > 1)]
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-        ends = [*cuts[1:], len(bucket)]
-        cells = [[x[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)] for x in columns]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        cells = cut_up(cuts, *columns)
         yield pa.RecordBatch.from_arrays(
             [pa.array(bucket[cuts]), *[pa.array(c, pa.binary()) for c in cells]], ["bucket", "h", "d", "several"]
         )

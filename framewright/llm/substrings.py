@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.base import chunks, partitions, query, table, utf8
+from framewright.llm.base import chunks, cut_up, partitions, query, table, utf8
 from framewright.llm.words import inside, mix, runs, sliding_min, word_hashes
 
 ANCHOR_WORDS = 5
@@ -47,8 +47,7 @@ def _pack(kind: int, key: np.ndarray, a: np.ndarray, h: np.ndarray, d: np.ndarra
     order = np.argsort(bucket, kind="stable")
     bucket, a, h, d = bucket[order], a[order], h[order], d[order]
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    ends = [*cuts[1:].tolist(), len(bucket)]
-    cells = [[x[s:e].tobytes() for s, e in zip(cuts.tolist(), ends, strict=True)] for x in (a, h, d)]
+    cells = cut_up(cuts, a, h, d)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(bucket[cuts], pa.int32()),
@@ -107,8 +106,7 @@ def _per_document(d: np.ndarray, h: np.ndarray, r: np.ndarray) -> pa.RecordBatch
     order = np.argsort(d, kind="stable")
     d, h, r = d[order], h[order], r[order] if len(r) else r
     cuts = np.flatnonzero(_firsts(d)) if len(d) else np.empty(0, int)
-    ends = [*cuts[1:].tolist(), len(d)]
-    cells = [[x[s:e].tobytes() for s, e in zip(cuts.tolist(), ends, strict=True)] for x in (h, r)]
+    cells = cut_up(cuts, h, r)
     return pa.RecordBatch.from_arrays(
         [pa.array(d[cuts], pa.int64()), *[pa.array(c, pa.binary()) for c in cells]], ["id", "h", "r"]
     )
