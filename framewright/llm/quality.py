@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from framewright.llm.base import chunks, query, table, utf8
 
-LABELLED, UNLABELLED = 20_000, 20_000  # documents fitted on at most: those with the smallest hashes of their ids
+LABELLED, UNLABELLED = 10_000, 10_000  # documents fitted on at most: those with the smallest hashes of their ids
 ROUNDS, SURE, PER_ROUND = 4, 0.98, 0.05  # least confidence of a pseudo-label, and the part of the pool given per round
 CALIBRATED = 5  # every fifth labelled document is for calibration
 REJECT_BELOW = 0.5
@@ -71,12 +71,18 @@ def text_features(x: bytes) -> list[float]:
 META_FEATURES = 3 + 2 * HASHED
 
 
-def meta_features(source: str | None, lang: str | None, size: int) -> list[float]:
-    """One slot for the source, one for the language, and the length of the text."""
-    out = [0.0] * META_FEATURES
-    out[0], out[1], out[2] = float(size == 0), np.log1p(size) / 8, (np.log1p(size) / 8) ** 2
-    for at, value in ((3, source), (3 + HASHED, lang)):
-        out[at + (zlib.crc32(value.encode()) % HASHED if value is not None else 0)] = 1.0
+def slot(value: str | None) -> int:
+    """Place of a source or language among HASHED; null is a place too."""
+    return zlib.crc32(value.encode()) % HASHED if value is not None else 0
+
+
+def meta_features(source: np.ndarray, lang: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One column for each slot of the source and of the language, and the length of the text."""
+    out = np.zeros((len(size), META_FEATURES))
+    length, row = np.log1p(size) / 8, np.arange(len(size))
+    out[:, 0], out[:, 1], out[:, 2] = size == 0, length, length**2
+    out[row, 3 + source] = 1.0
+    out[row, 3 + HASHED + lang] = 1.0
     return out
 
 
@@ -180,36 +186,35 @@ def classify(
     fitted = sample.select("__id", F.col("__y").cast("int")).unionByName(pool)
     names = {text: "text", source: "source", lang: "lang"}
 
-    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbers(texts: list[bytes], sources: pa.Array, langs: pa.Array) -> tuple[np.ndarray, ...]:
+        """Features of the text, slots of source and language, and bytes of each row."""
+        features = np.array([text_features(x) for x in texts], np.float32).reshape(-1, TEXT_FEATURES)
+        slots = [np.array([slot(x) for x in c.to_pylist()], np.int64) for c in (sources, langs)]
+        return features, *slots, np.array([len(x) for x in texts], np.int64)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            texts = utf8(batch.column("text"))
-            facts = zip(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), texts, strict=True)
-            meta = [meta_features(s, n, len(x)) for s, n, x in facts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("__id"),
-                    batch.column("__y"),
-                    pa.array([text_features(x) for x in texts], pa.list_(pa.float64())),
-                    pa.array(meta, pa.list_(pa.float64())),
-                ],
-                ["id", "y", "text", "meta"],
-            )
+            features, *facts = numbers(utf8(batch.column("text")), batch.column("source"), batch.column("lang"))
+            cells = [batch.column("__id"), batch.column("__y"), pa.array([x.tobytes() for x in features], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cells, *map(pa.array, facts)], ["id", "y", "text", "source", "lang", "size"])
 
     plain = docs.select(F.col(doc_id).alias("__id"), *[F.col(c).cast("string").alias(n) for c, n in names.items()])
     # At most LABELLED + UNLABELLED ids of eight bytes: bounded, so the texts need no shuffle.
     rows = (
         plain.join(F.broadcast(fitted), "__id")
         .select("__id", "__y", *names.values())
-        .mapInArrow(numbers, "id long, y int, text array<double>, meta array<double>")
+        .mapInArrow(packed, "id long, y int, text binary, source long, lang long, size long")
         .toPandas()
         .drop_duplicates("id")
         .sort_values("id")
     )
-    if len(rows):
-        fold = np.array([zlib.crc32(str(i).encode()) % CALIBRATED for i in rows.id])
-        model = cotrain(np.stack(rows.text.to_list()), np.stack(rows["meta"].to_list()), rows.y.to_numpy(), fold)
-    else:
-        model = cotrain(np.empty((0, TEXT_FEATURES)), np.empty((0, META_FEATURES)), np.empty(0, int), np.empty(0, int))
+    fold = np.array([zlib.crc32(str(i).encode()) % CALIBRATED for i in rows.id], int)
+    model = cotrain(
+        np.frombuffer(b"".join(map(bytes, rows.text)), np.float32).reshape(-1, TEXT_FEATURES).astype(float),
+        meta_features(*(rows[c].to_numpy(np.int64) for c in ("source", "lang", "size"))),
+        rows.y.to_numpy(np.int64),
+        fold,
+    )
     kept = [c for c in docs.columns if c not in ("quality_score", "good")]
     at = {c: kept.index(c) for c in (text, source, lang)}
     schema = T.StructType(
@@ -218,10 +223,9 @@ def classify(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text):
-            texts = utf8(batch.column(at[text]))
-            facts = zip(batch.column(at[source]).to_pylist(), batch.column(at[lang]).to_pylist(), texts, strict=True)
-            meta = np.array([meta_features(s, n, len(x)) for s, n, x in facts])
-            p = model.score(np.array([text_features(x) for x in texts]), meta)
+            columns = [batch.column(at[c]).cast(pa.string()) for c in (source, lang)]
+            features, *facts = numbers(utf8(batch.column(at[text])), *columns)
+            p = model.score(features.astype(float), meta_features(*facts))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(p), pa.array(p >= REJECT_BELOW)], [*kept, "quality_score", "good"]
             )
