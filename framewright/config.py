@@ -27,7 +27,6 @@ class QualityParams:
     motion_blur_penalty_max: float = 0.95
     motion_blur_soft_check: bool = True
     soft_mb_floor: float = 0.20
-    reduced_decode: bool = True
     feature_check: bool = True
     min_feature_density: float = 2.0
     min_feature_uniformity: float = 0.05

@@ -6,6 +6,8 @@ expression (`operators.measures.derive_measures`). Borders reflect without repea
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 ANGLE_BINS = 48
@@ -80,13 +82,13 @@ def block_variances(lap: np.ndarray, cells: int) -> np.ndarray:
     h, w = lap.shape
     if h >= cells and w >= cells:
         return cell_views(lap, cells).reshape(cells * cells, -1).var(axis=1, dtype=np.float64)
-    # Fewer pixels than cells: one-pixel cells, missing ones carry no signal.
-    out = np.zeros(cells * cells)
-    bh, bw = max(1, h // cells), max(1, w // cells)
-    for i in range(min(cells, h)):
-        for j in range(min(cells, w)):
-            out[i * cells + j] = lap[i * bh : (i + 1) * bh, j * bw : (j + 1) * bw].var(dtype=np.float64)
-    return out
+    # Fewer pixels than cells on a side: cells of at least one pixel, and those without any carry no signal.
+    row, column = (np.arange(n) // max(1, n // cells) for n in (h, w))
+    inside = np.ix_(row < min(cells, h), column < min(cells, w))
+    cell = (row[:, None] * cells + column[None, :])[inside].ravel()
+    value = lap[inside].ravel().astype(np.float64)
+    n, total, squares = (np.bincount(cell, v, cells * cells) for v in (np.ones_like(value), value, value * value))
+    return (n * squares - total * total) / np.maximum(n, 1) ** 2
 
 
 def cumulative_counts(plane: np.ndarray) -> np.ndarray:
@@ -156,40 +158,50 @@ def corner_counts(green: np.ndarray, minimum: float) -> tuple[int, np.ndarray]:
     return int(found.sum()), cells.sum(axis=(1, 2))
 
 
-def band_energies(green: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Power per angle bin in the low and the high radial band of the windowed spectrum.
+@lru_cache(8)
+def _spectrum_places(h: int, w: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Window of a raster size and, for either radial band, its frequencies (flat) and their angle bins.
 
-    The bin index takes the angle in radians, as the calibrated thresholds expect.
+    Bin k holds angles in radians from k to k + 1 parts, upper end included, as the calibrated thresholds
+    expect; what is beyond the last bin falls into it.
     """
-    h, w = green.shape
-    g = (green - green.mean()) * np.outer(np.hanning(h), np.hanning(w))
-    spectrum = np.fft.rfft2(g)
-    power = spectrum.real**2 + spectrum.imag**2
-    fy, fx = np.fft.fftfreq(h)[:, None], np.fft.rfftfreq(w)[None, :]
-    radius = np.hypot(fx, fy)
-    angle = np.arctan2(np.broadcast_to(fy, radius.shape), np.broadcast_to(fx, radius.shape)) % np.pi
-    bins = np.clip(np.ceil(angle * ANGLE_BINS).astype(np.int64) - 1, 0, ANGLE_BINS - 1)
-    out = []
+    fx, fy = np.meshgrid(np.fft.rfftfreq(w), np.fft.fftfreq(h))
+    radius, angle = np.hypot(fx, fy).ravel(), (np.arctan2(fy, fx) % np.pi).ravel()
+    places = []
     for low, high in (LOW_BAND, HIGH_BAND):
-        inside = (radius >= low) & (radius <= high)
-        out.append(np.bincount(bins[inside], weights=power[inside], minlength=ANGLE_BINS))
-    return out[0], out[1]
+        at = np.flatnonzero((radius >= low) & (radius <= high))
+        edges = np.arange(ANGLE_BINS) / ANGLE_BINS
+        places.append((at, np.maximum(np.searchsorted(edges, angle[at], "left") - 1, 0)))
+    return np.hanning(h)[:, None] * np.hanning(w), places
+
+
+def band_energies(green: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Power per angle bin in the low and the high radial band of the windowed spectrum."""
+    window, places = _spectrum_places(*green.shape)
+    power = np.abs(np.fft.rfft2((green - green.mean()) * window)).ravel() ** 2
+    low, high = (np.bincount(bins, power[at], ANGLE_BINS) for at, bins in places)
+    return low, high
 
 
 def lag_energies(green: np.ndarray) -> np.ndarray:
-    """Mean squared difference per cell (8 x 8) and direction, flat with direction last."""
-    h, w = green.shape
-    out = np.zeros((LAG_GRID * LAG_GRID, len(LAGS)))
-    if h < LAG_GRID or w < LAG_GRID:
+    """Mean squared difference per cell (8 x 8) and direction, flat with direction last.
+
+    The whole plane is shifted by the lag; pixels whose partner lies in another cell do not count, and a
+    lag that leaves fewer than two rows or columns of a cell counts for nothing.
+    """
+    h, w = (n // LAG_GRID for n in green.shape)
+    out = np.zeros((LAG_GRID, LAG_GRID, len(LAGS)))
+    if not h or not w:
         return out.ravel()
-    cells = cell_views(green, LAG_GRID).astype(np.float64)
-    ch, cw = cells.shape[1:]
+    plane = green[: h * LAG_GRID, : w * LAG_GRID].astype(np.float64)
+    row, column = np.arange(h), np.arange(w)
     for d, (dy, dx) in enumerate(LAGS):
-        if ch - abs(dy) < 2 or cw - abs(dx) < 2:
+        rows, columns = (row - dy >= 0) & (row - dy < h), (column - dx >= 0) & (column - dx < w)
+        if min(rows.sum(), columns.sum()) < 2:
             continue
-        a = cells[:, max(0, dy) : ch + min(0, dy), max(0, dx) : cw + min(0, dx)]
-        b = cells[:, max(0, -dy) : ch + min(0, -dy), max(0, -dx) : cw + min(0, -dx)]
-        out[:, d] = ((a - b) ** 2).mean(axis=(1, 2))
+        squares = (plane - np.roll(plane, (dy, dx), (0, 1))) ** 2
+        cells = squares.reshape(LAG_GRID, h, LAG_GRID, w)[:, rows][:, :, :, columns]
+        out[:, :, d] = cells.sum((1, 3)) / (rows.sum() * columns.sum())
     return out.ravel()
 
 

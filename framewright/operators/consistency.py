@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from framewright.config import DEFAULTS, QualityParams
 from framewright.operators.medians import exact_medians
-from framewright.operators.spread import lookup_join
 
 MIN_SET_ROWS = 3
 
@@ -22,7 +21,7 @@ def mark_duplicates(df: DataFrame, hash_col: str = "md5", path_col: str = "path"
         .drop("__copies")
     )
     keep = [c for c in df.columns if c != "duplicate_of"]
-    return lookup_join(df.select(*keep), copies, [hash_col], "left", [path_col]).select(
+    return df.select(*keep).join(copies, hash_col, "left").select(
         *keep,
         F.when(F.col(path_col) != F.col("__first_path"), F.col("__first_path")).alias("duplicate_of"),
     )
@@ -47,7 +46,7 @@ def _compare(df: DataFrame, set_cols: list[str], path_col: str, measures: dict[s
     for make in out:
         outputs.update(make)
     keep = [c for c in df.columns if c not in outputs]
-    return lookup_join(df.select(*keep), stats, set_cols, "left", [path_col]).select(
+    return df.select(*keep).join(stats, set_cols, "left").select(
         *keep, *[c.alias(name) for name, c in outputs.items()]
     )
 

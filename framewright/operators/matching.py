@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions import names
 from framewright.operators.reconcile import collision_number
-from framewright.operators.spread import skew_join
 
 SAMPLE_OF_UNMATCHED = 5
 
@@ -20,31 +20,36 @@ def rename_matches(developed: DataFrame, raw: DataFrame, path="path") -> DataFra
     """One row per camera identity on both sides; the raw file takes the developed file's stem."""
     left = _per_base(developed, path, F.min).withColumnRenamed("path", "developed_path")
     right = _per_base(raw, path, F.max).withColumnRenamed("path", "raw_path")
-    return left.join(right, "base_name").select(
-        "base_name",
-        names.base_name("raw_path").alias("raw_filename"),
-        "raw_path",
-        F.concat(names.stem("developed_path"), names.suffix("raw_path")).alias("new_filename"),
+    return (
+        left.join(right, "base_name")
+        .select(
+            "base_name",
+            names.base_name("raw_path").alias("raw_filename"),
+            "raw_path",
+            F.concat(names.stem("developed_path"), names.suffix("raw_path")).alias("new_filename"),
+        )
+        .orderBy("base_name")
     )
 
 
 def rename_unmatched(developed: DataFrame, raw: DataFrame, path="path") -> DataFrame:
     """Per side: how many identities have no partner, and the first few of them in order."""
-    bases = {
-        "raw_without_developed": (_per_base(raw, path, F.min), _per_base(developed, path, F.min)),
-        "developed_without_raw": (_per_base(developed, path, F.min), _per_base(raw, path, F.min)),
-    }
-    lines = None
-    none = lambda kind: F.lit(None).cast(kind)
-    for side, (mine, other) in bases.items():
-        alone = mine.join(other, "base_name", "left_anti").select("base_name")
-        total = alone.agg(F.count(F.lit(1)).alias("n")).select(F.lit(side).alias("side"), "n", none("string").alias("name"))
-        first = alone.orderBy("base_name").limit(SAMPLE_OF_UNMATCHED)
-        line = total.unionAll(first.select(F.lit(side).alias("side"), none("bigint").alias("n"), F.col("base_name").alias("name")))
-        lines = line if lines is None else lines.unionAll(line)
-    # One total and at most a handful of names per side.
-    sample = F.array_join(F.array_sort(F.collect_list("name")), ", ")
-    return lines.groupBy("side").agg(F.max("n").alias("unmatched"), F.nullif(sample, F.lit("")).alias("sample"))
+    left = _per_base(developed, path, F.min).withColumnRenamed("path", "__developed")
+    right = _per_base(raw, path, F.min).withColumnRenamed("path", "__raw")
+    side = F.when(F.col("__developed").isNull(), "raw_without_developed").when(F.col("__raw").isNull(), "developed_without_raw")
+    alone = left.join(right, "base_name", "full_outer").select("base_name", side.alias("side")).filter("side is not null")
+    totals = alone.groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.partitionBy("side").orderBy("base_name"))  # kept to its first rows in every task
+    first = (
+        alone.withColumn("place", place)
+        .filter(F.col("place") <= SAMPLE_OF_UNMATCHED)
+        .groupBy("side")
+        .agg(F.array_join(F.array_sort(F.collect_list("base_name")), ", ").alias("sample"))
+    )
+    both = developed.sparkSession.createDataFrame([("raw_without_developed",), ("developed_without_raw",)], "side string")
+    return both.join(totals.join(first, "side"), "side", "left").select(
+        "side", F.coalesce("n", F.lit(0)).alias("unmatched"), "sample"
+    )
 
 
 def rename_manifest(mappings: DataFrame, target_files: DataFrame, overwrite: bool, name="name") -> DataFrame:
@@ -57,10 +62,10 @@ def rename_manifest(mappings: DataFrame, target_files: DataFrame, overwrite: boo
 def assign_components(lists: DataFrame, source: DataFrame, target_root: str, path="path") -> DataFrame:
     """List lines (component, line_no, filename) -> source and target path; NULL source = not found.
 
-    A file may stand in several lists; the most listed names are spread over several tasks.
+    A file may stand in several lists; adaptive execution splits the most listed names.
     """
     files = source.groupBy(names.base_name(path).alias("filename")).agg(F.min(path).alias("src_path"))
-    return skew_join(lists, files, ["filename"], "left", ["component", "line_no"]).select(
+    return lists.join(files, ["filename"], "left").select(
         "component",
         "line_no",
         "filename",
@@ -86,7 +91,7 @@ def below_threshold(scores: DataFrame, threshold: float, catalog: DataFrame) ->
     """Rows under the threshold, each with whether its file exists (name column `filename`)."""
     there = catalog.select("filename").distinct().withColumn("__there", F.lit(True))
     bad = scores.filter(F.col("quality") < threshold)
-    return skew_join(bad, there, ["filename"], "left", ["camera_id"]).select(
+    return bad.join(there, ["filename"], "left").select(
         *scores.columns, F.coalesce("__there", F.lit(False)).alias("on_disk")
     )
 
@@ -95,7 +100,7 @@ def threshold_summary(scores: DataFrame, threshold: float, catalog: DataFrame) -
     """Counts: bad, remaining, removable and failed (listed but not on disk)."""
     there = catalog.select("filename").distinct().withColumn("__there", F.lit(True))
     bad = F.col("quality") < threshold
-    return skew_join(scores, there, ["filename"], "left", ["camera_id"]).agg(
+    return scores.join(there, ["filename"], "left").agg(
         F.count_if(bad).alias("bad"),
         F.count_if(~bad).alias("remaining"),
         F.count_if(bad & F.col("__there").isNotNull()).alias("removable"),
@@ -107,7 +112,7 @@ def orphaned_raws(raw: DataFrame, developed: DataFrame, path="path") -> DataFram
     """Raw files whose stem (with case) no developed file has."""
     stems = developed.select(names.stem(path).alias("__stem")).distinct()
     marked = raw.withColumn("__stem", names.stem(path))
-    return skew_join(marked, stems, ["__stem"], "left_anti", [path]).select(*raw.columns)
+    return marked.join(stems, ["__stem"], "left_anti").select(*raw.columns).orderBy(path)
 
 
 def removal_manifest(selected: DataFrame, mode: str, listing: DataFrame, path="path") -> DataFrame:

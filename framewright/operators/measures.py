@@ -191,16 +191,6 @@ def visible_size(width, height, orientation) -> tuple[Column, Column]:
     return F.when(swapped, h).otherwise(w), F.when(swapped, w).otherwise(h)
 
 
-def analysis_size(width, height, p: QualityParams = DEFAULTS) -> tuple[Column, Column]:
-    w, h = F.col(width), F.col(height)
-    longest = F.greatest(w, h)
-    scale = F.lit(float(p.analysis_dim)) / longest
-    fit = lambda side: F.when(longest <= p.analysis_dim, side).otherwise(
-        F.greatest(F.lit(1), F.floor(side * scale).cast("int"))
-    )
-    return fit(w), fit(h)
-
-
 def _lag_anisotropy() -> Column:
     """Weakest over strongest direction, pooled over the sharpest tenth of 64 cells."""
     k = max(2, round(px.LAG_GRID**2 * 0.10))

@@ -1,10 +1,9 @@
 """Exact medians per set without holding a large set in one task.
 
-Sets that a sketch shows to be small use Spark's exact `median` in one shuffle. Otherwise values are
-counted first (equal values collapse on the map side), then the counts are placed in
-65,536 bins per binade; the bin that holds the middle ranks is found from bin totals, and only the
-distinct values of that bin are ordered. Every window here is over bins or over the values of
-one bin, so a set with a third of all rows is spread like any other.
+Equal values are counted first and collapse on the map side. The counts are placed in 65,536 bins per binade; the
+bin that holds the middle ranks is found from bin totals, and only the distinct values of that bin are
+ordered. Every window here is over bins or over the values of one bin, so a set with a third of all
+rows is spread like any other.
 """
 
 from __future__ import annotations
@@ -13,56 +12,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewright.operators import spread
-
 _BINS = 65536
-ONE_TASK_VALUES = 200_000  # values per set that Spark's exact percentile may keep in memory
+_LAST = (1100 + 1100) * _BINS  # beyond the bins of all finite numbers
 
 
 def _bin(value: Column) -> Column:
-    """A number that never decreases when `value` grows."""
+    """A number that never decreases when `value` grows; infinities have the first and the last bin."""
     size = F.abs(value)
     binade = F.floor(F.log2(size))
     inside = F.floor((size / F.pow(F.lit(2.0), binade) - 1.0) * _BINS)
     place = (binade + 1100) * _BINS + F.greatest(F.lit(0), F.least(F.lit(_BINS - 1), inside))
-    return F.when(value == 0, F.lit(0).cast("bigint")).otherwise((F.signum(value) * place).cast("bigint"))
+    return (
+        F.when(value == 0, F.lit(0).cast("bigint"))
+        .when(size == float("inf"), (F.signum(value) * _LAST).cast("bigint"))
+        .otherwise((F.signum(value) * place).cast("bigint"))
+    )
 
 
 def exact_medians(df: DataFrame, by: list[str], measures: dict[str, Column]) -> DataFrame:
     """One row per set with `<name>` (median, NULL if no value) and `n_<name>` (count) per measure.
 
-    A measure is an expression; its NULL and NaN values are left out.
+    A measure is an expression; its NULL and NaN values are left out. A set without any value keeps its row.
     """
-    if spread.needs_chunks(df, by, ONE_TASK_VALUES):
-        return binned_medians(df, by, measures)
-    known = {name: F.nullif(c.cast("double"), F.lit(float("nan"))) for name, c in measures.items()}
-    return df.groupBy(*by).agg(
-        *[F.median(c).alias(name) for name, c in known.items()],
-        *[F.count(c).alias(f"n_{name}") for name, c in known.items()],
-    )
-
-
-def binned_medians(df: DataFrame, by: list[str], measures: dict[str, Column]) -> DataFrame:
-    """`exact_medians` for sets of any size."""
     long = df.select(
-        *by,
+        F.struct(*by).alias("__set"),
         F.explode(
             F.array(
                 *[
-                    F.struct(F.lit(name).alias("m"), expression.cast("double").alias("v"))
+                    F.struct(F.lit(name).alias("m"), F.nullif(expression.cast("double"), F.lit(float("nan"))).alias("v"))
                     for name, expression in measures.items()
                 ]
             )
         ).alias("x"),
-    ).select(*by, F.col("x.m").alias("__m"), F.col("x.v").alias("__v"))
-    counted = (
-        long.filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
-        .groupBy(*by, "__m", "__v")
-        .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__bin", _bin(F.col("__v")))
-    )
-    group = [*by, "__m"]
-    bins = counted.groupBy(*group, "__bin").agg(F.sum("__c").alias("__c"))
+    ).select("__set", F.col("x.m").alias("__m"), F.col("x.v").alias("__v"))
+    # A set of NULLs is one row here, so that it is not lost.
+    counted = long.groupBy("__set", "__m", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    group = ["__set", "__m"]
+    known = counted.filter(F.col("__v").isNotNull()).withColumn("__bin", _bin(F.col("__v")))
+    bins = known.groupBy(*group, "__bin").agg(F.sum("__c").alias("__c"))
     through = F.sum("__c").over(W.partitionBy(*group).orderBy("__bin").rowsBetween(W.unboundedPreceding, 0))
     middle = (
         bins.withColumn("__through", through)
@@ -76,25 +63,26 @@ def binned_medians(df: DataFrame, by: list[str], measures: dict[str, Column]) ->
     upto = F.col("__before") + F.sum("__c").over(
         W.partitionBy(*group, "__bin").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
     )
+    ranked = known.join(middle, [*group, "__bin"]).withColumn("__upto", upto).withColumn("__from", F.col("__upto") - F.col("__c"))
+    empty = counted.filter(F.col("__v").isNull()).select(
+        *group, F.lit(None).cast("double").alias("__v"), *[F.lit(None).cast("bigint").alias(c) for c in ("__n", "__low", "__high", "__from", "__upto")]
+    )
+    holds = lambda rank: F.max(F.when(F.col(rank).between(F.col("__from") + 1, F.col("__upto")), F.col("__v")))
     found = (
-        counted.join(middle, [*group, "__bin"])
-        .withColumn("__upto", upto)
-        .withColumn("__from", F.col("__upto") - F.col("__c"))
-        .groupBy(*by)
+        ranked.select(*empty.columns)
+        .unionByName(empty)
+        .groupBy("__set")
         .pivot("__m", list(measures))
+        # Both ranks in one value: no sum, which opposite infinities would spoil and large values overflow.
         .agg(
-            (
-                (
-                    F.max(F.when(F.col("__low").between(F.col("__from") + 1, F.col("__upto")), F.col("__v")))
-                    + F.max(F.when(F.col("__high").between(F.col("__from") + 1, F.col("__upto")), F.col("__v")))
-                )
-                / 2
-            ).alias("median"),
+            F.when(holds("__low") == holds("__high"), holds("__low"))
+            .otherwise((holds("__low") + holds("__high")) / 2)
+            .alias("median"),
             F.max("__n").alias("n"),
         )
     )
     return found.select(
-        *by,
+        *[F.col("__set")[c].alias(c) for c in by],
         *[F.col(f"{name}_median").alias(name) for name in measures],
         *[F.coalesce(F.col(f"{name}_n"), F.lit(0).cast("bigint")).alias(f"n_{name}") for name in measures],
     )

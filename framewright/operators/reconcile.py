@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import names
-from framewright.operators.spread import counted, needs_chunks, skew_join, with_running_total
-from framewright.sources.shared import materialise
+from framewright.operators.spread import with_running_total
 
 UNKNOWN_DATE = "1970-01-01"  # fixed value: date of a file without any
 
@@ -38,28 +39,35 @@ def _match_keys(use_hash: bool) -> list[str]:
     return ["name_lower", "size", "sha256"] if use_hash else ["name_lower", "size"]
 
 
+def _matched(backup: DataFrame, imported: DataFrame, use_hash: bool, how: str) -> DataFrame:
+    """Join by name and size, and by hash if wanted; two unknown hashes count as equal."""
+    keys = _match_keys(use_hash)
+    there = imported.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = (F.col("name_lower") == F.col("__name_lower")) & (F.col("size") == F.col("__size"))
+    if use_hash:
+        same = same & F.col("sha256").eqNullSafe(F.col("__sha256"))
+    return backup.join(there, same, how)
+
+
 def missing_files(backup: DataFrame, imported: DataFrame, use_hash: bool = False) -> DataFrame:
     """Backup rows without an import row of equal name and size (and hash)."""
-    keys = _match_keys(use_hash)
-    return skew_join(backup, imported.select(*keys).distinct(), keys, "left_anti", ["path"]).select(*backup.columns)
+    return _matched(backup, imported, use_hash, "left_anti")
 
 
 def present_files(backup: DataFrame, imported: DataFrame, use_hash: bool = False) -> DataFrame:
-    keys = _match_keys(use_hash)
-    return skew_join(backup, imported.select(*keys).distinct(), keys, "left_semi", ["path"]).select(*backup.columns)
+    return _matched(backup, imported, use_hash, "left_semi")
 
 
 def _renamed(df: DataFrame, columns: list[str], prefix: str, key="path") -> DataFrame:
     return df.select(key, *[F.col(c).alias(prefix + c) for c in columns])
 
 
-def incremental_hash(scan: DataFrame, index: DataFrame, contents: DataFrame | None) -> DataFrame:
+def incremental_hash(scan: DataFrame, index: DataFrame, contents: DataFrame | Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """Give every scanned row its hash: the stored one if size and mtime are unchanged, else a fresh one.
 
-    `contents` is (path, content); None means hashing is off, then unchanged rows keep their stored
-    hash and the rest has none. `hash_reused` tells which is which. Up to a counted number of stale
-    files, only their bytes are hashed; beyond it (a first scan) all are hashed where they are read. In
-    neither case does content travel.
+    `contents` makes (path, sha256) of the stale rows that it is given, as `sources.files.file_hashes` does, or is
+    a table (path, content); unchanged rows are never read. None means hashing is off, then unchanged rows keep
+    their stored hash and the rest has none. `hash_reused` tells which is which.
     """
     old = _renamed(index, ["size", "mtime", "sha256"], "old_").withColumn("__known", F.lit(True))
     unchanged = F.coalesce(F.col("__known") & (F.col("old_size") == F.col("size")) & (F.col("old_mtime") == F.col("mtime")), F.lit(False))
@@ -69,10 +77,12 @@ def incremental_hash(scan: DataFrame, index: DataFrame, contents: DataFrame | No
     if contents is None:
         return seen.select(*keep, F.col("stored").alias("sha256"), F.lit(False).alias("hash_reused"))
     reused = seen.filter(F.col("stored").isNotNull())
-    stale, small = counted(seen.filter(F.col("stored").isNull()).select(*keep), "stale")
-    if small:
-        contents = contents.join(F.broadcast(stale.select("path")), "path", "left_semi")
-    fresh = stale.join(contents.select("path", F.sha2("content", 256).alias("sha256")), "path", "left")
+    stale = seen.filter(F.col("stored").isNull()).select(*keep)
+    if callable(contents):
+        hashes = contents(stale)
+    else:
+        hashes = contents.join(stale.select("path"), "path", "left_semi").select("path", F.sha2("content", 256).alias("sha256"))
+    fresh = stale.join(hashes, "path", "left")
     return reused.select(*keep, F.col("stored").alias("sha256"), F.lit(True).alias("hash_reused")).unionByName(
         fresh.select(*keep, "sha256", F.lit(False).alias("hash_reused"))
     )
@@ -101,9 +111,9 @@ def sync_index(scan: DataFrame, index: DataFrame) -> DataFrame:
 META = ("date_str", "date_source", "model", "lens", "focal", "media")
 
 
-def metadata_cache_lookup(files: DataFrame, cache: DataFrame) -> DataFrame:
-    """Files with their cached metadata; `cache_hit` only if path, size and mtime are all equal."""
-    stored = cache.select("path", "size", "mtime", *META, F.lit(True).alias("__hit"))
+def metadata_cache_lookup(files: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """Files with the metadata cached by the scan `key`; `cache_hit` only if path, size and mtime are all equal."""
+    stored = cache.filter(F.col("scan_key") == key).select("path", "size", "mtime", *META, F.lit(True).alias("__hit"))
     return files.join(stored, ["path", "size", "mtime"], "left").select(
         *files.columns, *META, F.coalesce("__hit", F.lit(False)).alias("cache_hit")
     )
@@ -195,30 +205,25 @@ def subfolder_parts(plan: TransferPlan) -> Column:
     return F.concat_ws("/", *parts) if parts else F.lit("")
 
 
-def _without_separator(text: str, separator: str) -> str:
-    if not separator:
-        return text
-    while text.startswith(separator):
-        text = text[len(separator):]
-    while text.endswith(separator):
-        text = text[: -len(separator)]
-    return text
+def _trimmed(text: str, separator: str) -> str:
+    """`text` without leading and trailing separators."""
+    return re.sub(rf"\A(?:{re.escape(separator)})+|(?:{re.escape(separator)})+\Z", "", text) if separator else text
 
 
 def build_name(stem: Column, plan: TransferPlan) -> Column:
-    filled = lambda c: F.nullif(F.col(c), F.lit(""))
-    parts = []
-    if plan.name_date:
-        parts.append(filled("date_str"))
-    if prefix := _without_separator(plan.prefix, plan.separator):
-        parts.append(F.lit(prefix))
-    parts.append(stem)
-    if suffix := _without_separator(plan.suffix, plan.separator):
-        parts.append(F.lit(suffix))
-    for wanted, column in ((plan.name_model, "model"), (plan.name_lens, "lens"), (plan.name_focal, "focal")):
-        if wanted:
-            parts.append(filled(column))
-    name = names.sanitize_part(F.concat_ws(plan.separator, *parts))
+    """The wanted parts of a name in their order, joined by the separator; an empty result falls back to the stem."""
+    prefix, suffix = _trimmed(plan.prefix, plan.separator), _trimmed(plan.suffix, plan.separator)
+    parts = (
+        (plan.name_date, F.col("date_str")),
+        (prefix, F.lit(prefix)),
+        (True, stem),
+        (suffix, F.lit(suffix)),
+        (plan.name_model, F.col("model")),
+        (plan.name_lens, F.col("lens")),
+        (plan.name_focal, F.col("focal")),
+    )
+    shown = [part if part is stem else F.nullif(part, F.lit("")) for wanted, part in parts if wanted]
+    name = names.sanitize_part(F.concat_ws(plan.separator, *shown))
     return F.when(name == "", stem).otherwise(name)
 
 
@@ -229,7 +234,7 @@ def collision_number(
 
     Requests count up from 0 in `order`; numbers whose name already exists in `taken` (folder, stem,
     suffix), or which another row asks for as its own natural name, are skipped. Names compare without
-    case. A popular name does not end in one task: both counts can run in range-partitioned chunks.
+    case. A popular name does not end in one task: both counts run in range-partitioned chunks.
     Rows whose boolean column `settled` is true keep number 0 and take no part.
     """
     key = ["__folder", "__stem", "__suffix"]
@@ -252,14 +257,13 @@ def collision_number(
     lined_up = asked.select(*columns, *key, kind.alias("__kind"), F.lit(0).cast("bigint").alias("__at")).unionByName(
         occupied.select(*[none(c) for c in columns], *key, F.lit(0).alias("__kind"), "__at")
     )
-    chunked = needs_chunks(lined_up, key)
-    ranked = with_running_total(lined_up, [*key, "__kind"], ["__at", *order], F.lit(1).cast("bigint"), "__rank", chunked)
+    ranked = with_running_total(lined_up, [*key, "__kind"], ["__at", *order], F.lit(1).cast("bigint"), "__rank")
     # The i-th occupied number t leaves t - i free numbers below it: it pushes up every request from there on.
     placed = ranked.withColumn(
         "__place", F.when(F.col("__kind") == 0, F.col("__at") - F.col("__rank") + 1).otherwise(F.col("__rank") - 1)
     )
     pushes = F.when(F.col("__kind") == 0, 1).otherwise(0)
-    pushed = with_running_total(placed, key, ["__place", "__kind", "__at", *order], pushes, "__pushed", chunked)
+    pushed = with_running_total(placed, key, ["__place", "__kind", "__at", *order], pushes, "__pushed")
     free = F.when(F.col("__kind") == 1, F.col("__place") + F.col("__pushed")).otherwise(0)
     return pushed.filter("__kind > 0").select(*columns, free.alias(number))
 
@@ -268,16 +272,15 @@ def resolve_destination(requests: DataFrame, listing: DataFrame, order: list[str
     """Requests (folder, stem, suffix, size, ...) -> dest_path and already.
 
     A natural target of the same size is already there; everything else gets its first free name.
-    `listing` has folder, stem, suffix and size of the files at the destination. The marked requests
-    are written to the shared folder once, because the numbering reads them more than once.
+    `listing` has folder, stem, suffix and size of the files at the destination.
     """
     key = ["__f", "__s", "__x"]
     lowered = lambda df: df.withColumns({"__f": F.lower("folder"), "__s": F.lower("stem"), "__x": F.lower("suffix")})
     there = lowered(listing).select(*key, "size").distinct().withColumn("__there", F.lit(True))
-    marked = skew_join(lowered(requests), there, [*key, "size"], "left", order).select(
+    marked = lowered(requests).join(there, [*key, "size"], "left").select(
         *requests.columns, F.coalesce("__there", F.lit(False)).alias("already")
     )
-    numbered = collision_number(materialise(marked, "requests"), listing.select("folder", "stem", "suffix"), order, settled="already")
+    numbered = collision_number(marked, listing.select("folder", "stem", "suffix"), order, settled="already")
     dest = names.join_path("folder", names.numbered("stem", "suffix", "number"))
     return numbered.select(*requests.columns, dest.alias("dest_path"), "already")
 

@@ -66,7 +66,15 @@ EXPORT_COLUMNS = (
 
 
 def _shown(field: str) -> Column:
-    return F.coalesce(F.col(f"exif.{field}").cast("string"), F.lit(""))
+    """A value as text; small numbers are written out, and from 1e-4 down with a two-digit exponent."""
+    value = F.col(f"exif.{field}")
+    text = value.cast("string")
+    if field in ("aperture", "shutter", "iso", "focal_length"):
+        plain = F.regexp_replace(value.cast("decimal(38,20)").cast("string"), "0+$", "")
+        short = F.regexp_replace(F.regexp_replace(F.lower(text), r"\.0e", "e"), r"e-(\d)$", "e-0$1")
+        size = F.abs(value)
+        text = F.when((size > 0) & (size < 1e-4), short).when((size > 0) & (size < 1e-3), plain).otherwise(text)
+    return F.coalesce(text, F.lit(""))
 
 
 def export_rows(df: DataFrame) -> DataFrame:
@@ -184,13 +192,13 @@ def overlap_report(df: DataFrame, set_cols: list[str], order: list[str], p: Qual
         {
             "overlap_text": F.when(overlap.isNull(), "n/a")
             .when(~reliable, "?")
-            .otherwise(F.format_string("%.1f", overlap * 100)),
+            .otherwise(F.format_string("%.1f", F.bround(overlap * 100, 1))),
             "overlap_class": F.when(
                 reliable, F.when(overlap < 0.30, "low").when(overlap > 0.90, "redundant").otherwise("good")
             ),
             "matches_text": F.when(F.col("overlap_matches") != 0, F.col("overlap_matches").cast("string")).otherwise("–"),
             "inlier_text": F.when(
-                F.col("overlap_inlier_ratio") > 0, F.format_string("%.0f", F.col("overlap_inlier_ratio") * 100)
+                F.col("overlap_inlier_ratio") > 0, F.format_string("%.0f", F.bround(F.col("overlap_inlier_ratio") * 100, 0))
             ).otherwise("–"),
         }
     )

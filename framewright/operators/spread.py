@@ -1,8 +1,7 @@
-"""Joins, running totals and successors that stay parallel when one key holds most of the rows.
+"""Running totals and successors that stay parallel when one key holds most of the rows.
 
-None of these collects a group: hot join keys are split over salts; an ordered window runs in one
-shuffle when a sketch shows that no group is too large for one task, else inside range-partitioned
-chunks of which only the edges are stitched together.
+None of these collects a group: an ordered window runs inside range-partitioned chunks, of which only the
+edges are stitched together. Joins need nothing of the kind: adaptive execution splits their hot keys.
 """
 
 from __future__ import annotations
@@ -11,105 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewright.sources.shared import materialise
-
-MAX_HOT_KEYS = 200  # bound of the broadcast list below
-TRACKED_ITEMS = 8192  # counters of the frequent-items sketch
-HOT_SHARE = 400  # a key is hot from 1/400 of the rows on
-SALTS = 32
-MAX_BROADCAST_ROWS = 100_000  # a looked-up table is broadcast up to this many rows, counted beforehand
-ONE_TASK_ROWS = 1_000_000  # a window group may be this large before it is cut into chunks
 _SPREAD = 1 << 20
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hashes of keys that hold a large share of `df`: at most MAX_HOT_KEYS rows by construction.
-
-    A sketch may name a key wrongly; that only changes how rows are routed, never the result.
-    """
-    top = df.agg(
-        F.call_function(
-            "approx_top_k", F.xxhash64(*keys), F.lit(MAX_HOT_KEYS), F.lit(TRACKED_ITEMS)
-        ).alias("top"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    return (
-        top.select(F.explode("top").alias("t"), "n")
-        .filter(F.col("t.count") * HOT_SHARE >= F.col("n"))
-        .select(F.col("t.item").alias("__hot"))
-    )
-
-
-def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str,
-    spread_on: list[str],
-    salts: int = SALTS,
-) -> DataFrame:
-    """Equi-join of `left` with a `right` that has at most one row per key.
-
-    Rows of a hot left key go to `salts` join keys (chosen by the hash of `spread_on`, so a retried
-    task chooses the same), and the one right row is repeated for each of them.
-    """
-    hot = F.broadcast(hot_keys(left, on))
-    salted_left = (
-        left.withColumn("__key", F.xxhash64(*on))
-        .join(hot, F.col("__key") == F.col("__hot"), "left")
-        .withColumn(
-            "__salt",
-            F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*spread_on), F.lit(salts))).otherwise(F.lit(0)),
-        )
-        .drop("__key", "__hot")
-    )
-    salted_right = (
-        right.withColumn("__key", F.xxhash64(*on))
-        .join(hot, F.col("__key") == F.col("__hot"), "left")
-        .withColumn(
-            "__salt",
-            F.explode(
-                F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-                .otherwise(F.array(F.lit(0).cast("bigint")))
-            ),
-        )
-        .drop("__key", "__hot")
-    )
-    return salted_left.join(salted_right, [*on, "__salt"], how).drop("__salt")
-
-
-def counted(df: DataFrame, purpose: str) -> tuple[DataFrame, bool]:
-    """`df` written to the shared folder once, and whether it is small enough to be broadcast."""
-    table = materialise(df, purpose)
-    return table, table.count() <= MAX_BROADCAST_ROWS
-
-
-def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spread_on: list[str]) -> DataFrame:
-    """Join with a usually small result that has one row per key.
-
-    `right` is written to the shared folder once and counted there: a table within MAX_BROADCAST_ROWS
-    is broadcast, a larger one is joined with its hot keys split.
-    """
-    table, small = counted(right, "lookup")
-    if small:
-        return left.join(F.broadcast(table), on, how)
-    return skew_join(left, table, on, how, spread_on)
-
-
-def needs_chunks(df: DataFrame, by: list[str], limit: int | None = None) -> bool:
-    """Whether a group of `df` may be too large for one task.
-
-    One row comes back to the driver: the row count and the weight of the heaviest group, which the
-    sketch never understates for a group of more than about a thousandth of the rows.
-    """
-    limit = limit or ONE_TASK_ROWS
-    if not by:
-        return df.select(F.lit(1)).limit(limit + 1).count() > limit
-    heaviest = F.call_function("approx_top_k", F.xxhash64(*by), F.lit(1), F.lit(TRACKED_ITEMS))
-    row = df.agg(F.count(F.lit(1)).alias("n"), heaviest.alias("top")).first()
-    return row["n"] > limit and bool(row["top"]) and row["top"][0]["count"] > limit
-
-
 def _in_chunks(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Range-partition by group and order, so that a large group covers several partitions in order."""
     return df.repartitionByRange(*by, *order).withColumn("__chunk", F.spark_partition_id())
@@ -122,17 +25,12 @@ def _edge_group(is_edge: Column, by: list[str], order: list[str]) -> Column:
     )
 
 
-def with_successor(
-    df: DataFrame, by: list[str], order: list[str], pick: dict[str, str], chunked: bool | None = None
-) -> DataFrame:
+def with_successor(df: DataFrame, by: list[str], order: list[str], pick: dict[str, str]) -> DataFrame:
     """Add columns of the following row of the same group: {new column: column of the next row}.
 
     `order` must be unique within a group. Rows without a successor get NULL.
     """
     payload = F.struct(*[F.col(src).alias(new) for new, src in pick.items()])
-    if not (needs_chunks(df, by) if chunked is None else chunked):
-        following = df.withColumn("__next", F.lead(payload).over(W.partitionBy(*by).orderBy(*order)))
-        return following.select(*df.columns, *[F.col(f"__next.{new}").alias(new) for new in pick])
     within = W.partitionBy(*by, "__chunk").orderBy(*order)
     local = (
         _in_chunks(df, by, order)
@@ -148,13 +46,8 @@ def with_successor(
     return joined.select(*df.columns, *[F.col(f"__next.{new}").alias(new) for new in pick])
 
 
-def with_running_total(
-    df: DataFrame, by: list[str], order: list[str], value: Column, name: str, chunked: bool | None = None
-) -> DataFrame:
+def with_running_total(df: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """Add the running sum of `value` (this row included) within the group, in `order`."""
-    if not (needs_chunks(df, by) if chunked is None else chunked):
-        running = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumn(name, F.sum(value).over(running))
     chunk = W.partitionBy(*by, "__chunk")
     ordered = chunk.orderBy(*order)
     local = (

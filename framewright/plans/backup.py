@@ -7,16 +7,28 @@ from pyspark.sql import functions as F
 
 from framewright.functions.names import MEDIA_EXTENSIONS, folder, stem, suffix
 from framewright.operators import reconcile
-from framewright.sources import files
+from framewright.sources import files, index
+from framewright.sources.shared import materialise
 
 
 def tree(spark: SparkSession, root: str, extensions=MEDIA_EXTENSIONS, use_hash: bool = False) -> DataFrame:
-    """Inventory of one tree, with hashes only if wanted (only then the bytes are read)."""
-    found = files.read_files(spark, root)
-    columns = ["path", "modificationTime", "length"]
-    listing = found.select(*columns, F.sha2("content", 256).alias("digest")) if use_hash else found.select(*columns)
-    catalog = files.catalog_from_listing(listing, extensions)
-    return reconcile.file_index(catalog, sha256="digest" if use_hash else None)
+    """Inventory of one tree, with hashes only if wanted (only then the files are opened)."""
+    catalog = files.scan_media(spark, root, extensions=extensions)
+    if not use_hash:
+        return reconcile.file_index(catalog)
+    return reconcile.file_index(catalog.join(files.file_hashes(catalog), "path", "left"), sha256="sha256")
+
+
+def refreshed_tree(spark: SparkSession, root: str, location: str, key: str, name: str, extensions=MEDIA_EXTENSIONS) -> DataFrame:
+    """Inventory with hashes in which only files that are new or changed since the last run are opened.
+
+    The new snapshot (of `key` and tree `name`) replaces the one at `location`, deleted files included.
+    """
+    stored = index.read_index(spark, location, key, name, index.INDEX_SCHEMA) if index.exists(spark, location) else spark.createDataFrame([], index.INDEX_SCHEMA)
+    scan = reconcile.file_index(files.scan_media(spark, root, extensions=extensions))
+    fresh = materialise(reconcile.incremental_hash(scan, stored, files.file_hashes).drop("hash_reused"), "snapshot")
+    index.write_index(fresh, location, key, name)
+    return fresh
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:

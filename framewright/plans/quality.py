@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.config import DEFAULTS, QualityParams
-from framewright.functions.names import IMAGE_EXTENSIONS, has_extension
+from framewright.functions.names import IMAGE_EXTENSIONS
 from framewright.operators import consistency, measures, overlap
-from framewright.operators.spread import lookup_join
 from framewright.schemas import EXIF, with_error_defaults, with_missing_defaults
 from framewright.sources import files, tags
 from framewright.sources.shared import materialise
@@ -45,23 +44,21 @@ def set_run(results: DataFrame, set_cols: list[str], p: QualityParams = DEFAULTS
 
 
 def file_facts(spark: SparkSession, paths, extensions=IMAGE_EXTENSIONS) -> DataFrame:
-    """path, file_size, md5 and exif of every wanted file, from one map-only pass over the bytes each."""
-    found = files.read_files(spark, paths).filter(has_extension("path", extensions))
-    prints = found.select("path", F.col("length").alias("file_size"), F.md5("content").alias("md5"))
-    exif = tags.normalise_metadata(tags.extract_tags(found))
-    return files.catalog_from_listing(prints, extensions).join(exif, "path", "left")
+    """path, file_size, md5 and exif of every wanted file, from one pass over its bytes."""
+    listing = files.scan_media(spark, paths, extensions=extensions).select("path", F.col("length").alias("file_size"))
+    probed = materialise(files.probe_files(listing, ("md5",)), "probed")
+    exif = tags.normalise_metadata(tags.extract_tags(probed, content="head"))
+    return listing.join(probed.select("path", "md5"), "path", "left").join(exif, "path", "left")
 
 
 def quality_run(spark: SparkSession, paths, p: QualityParams = DEFAULTS, with_overlap: bool = False) -> DataFrame:
     """Files and folders -> checked result rows of one capture set.
 
     Facts and measured rows are written to the shared folder: the set stage reads them several times
-    and must not decode an image again. Pixels are never shuffled: the few images with a rotation tag
-    are looked up by path.
+    and must not decode an image again. Pixels are never shuffled or joined.
     """
     facts = materialise(file_facts(spark, paths), "facts")
-    turned = facts.filter(F.col("exif.orientation") > 1).select("path", F.col("exif.orientation").alias("turn_tag"))
-    pictures = lookup_join(files.load_rasters(spark, paths).drop("is_error"), turned, ["path"], "left", ["path"])
+    pictures = files.load_rasters(spark, paths).drop("is_error")
     rows = quality_rows(pictures, ["path", "load_note"], facts, "turn_tag", p).withColumn("set_id", F.lit(0))
     rows = materialise(rows, "rows")
     checked = set_run(rows, ["set_id"], p)

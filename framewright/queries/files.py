@@ -236,7 +236,9 @@ def cache(spark, sf):
 )
 def r7(spark, sf):
     files = tag_records(spark, sf).select("path", "size", "mtime")
-    return rc.metadata_cache_lookup(files, cache(spark, sf)).select("path", "date_str", "model", "lens", "focal", "media", "cache_hit")
+    mine = cache(spark, sf).withColumn("scan_key", F.lit("k"))
+    other = mine.withColumns({"scan_key": F.lit("other"), "model": F.lit("of another scan")})
+    return rc.metadata_cache_lookup(files, mine.unionByName(other), "k").select("path", "date_str", "model", "lens", "focal", "media", "cache_hit")
 
 
 @query(

@@ -37,7 +37,7 @@ def _export_sql() -> str:
         "exif_make": "l_returnflag",
         "exif_model": "''",
         "exif_aperture": "CAST(l_quantity AS VARCHAR)",
-        "exif_shutter": "coalesce(CAST(CASE WHEN l_tax > 0 THEN l_tax END AS VARCHAR), '')",
+        "exif_shutter": "coalesce(CAST(CASE WHEN l_tax > 0 THEN l_tax / CASE l_linenumber WHEN 1 THEN 80 WHEN 2 THEN 1000 ELSE 1 END END AS VARCHAR), '')",
         "exif_iso": "CAST(CAST(l_linenumber * 100 AS DOUBLE) AS VARCHAR)",
         "exif_focal_length": "''",
         "exif_datetime": "strftime(l_shipdate, '%Y:%m:%d')",
@@ -77,7 +77,7 @@ def export_input(spark, sf):
         F.lit(None).cast("string").alias("model"),
         F.lit(None).cast("int").alias("orientation"),
         item("l_quantity").alias("aperture"),
-        F.when(item("l_tax") > 0, item("l_tax")).alias("shutter"),
+        F.when(item("l_tax") > 0, item("l_tax") / F.when(item("l_linenumber") == 1, 80).when(item("l_linenumber") == 2, 1000).otherwise(1)).alias("shutter"),
         (item("l_linenumber") * 100).cast("double").alias("iso"),
         F.lit(None).cast("double").alias("focal_length"),
         F.date_format("l_shipdate", "yyyy:MM:dd").alias("datetime"),
@@ -176,8 +176,8 @@ def x7_best(spark, sf):
 
 @query(
     "x8_overlap_report",
-    f"""WITH {CAPTURES_SQL}, o AS (SELECT user_id, ts, event_id, CASE WHEN k % 10 <> 0 THEN (CAST(k AS BIGINT) * 7 % 101) / 100.0 END AS overlap,
-      CAST(k AS BIGINT) AS matches, (CAST(k AS BIGINT) % 11) / 10.0 AS ratio FROM cap WHERE event_type <> 'error')
+    f"""WITH {CAPTURES_SQL}, o AS (SELECT user_id, ts, event_id, CASE WHEN k % 10 <> 0 THEN (CAST(k AS BIGINT) * 7 % 145) / 144.0 END AS overlap,
+      CAST(k AS BIGINT) AS matches, (CAST(k AS BIGINT) % 9) / 8.0 AS ratio FROM cap WHERE event_type <> 'error')
     SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ordinal,
       CASE WHEN overlap IS NULL THEN 'n/a' WHEN floor(matches * ratio) < 8 THEN '?' ELSE printf('%.1f', overlap * 100) END AS overlap_text,
       CASE WHEN overlap IS NULL OR floor(matches * ratio) < 8 THEN NULL WHEN overlap < 0.30 THEN 'low' WHEN overlap > 0.90 THEN 'redundant' ELSE 'good' END AS overlap_class,
@@ -191,9 +191,9 @@ def x8(spark, sf):
         "user_id",
         "ts",
         (F.col("event_type") == "error").alias("is_error"),
-        F.when(k % 10 != 0, (k * 7 % 101) / 100.0).alias("overlap_next"),
+        F.when(k % 10 != 0, (k * 7 % 145) / 144.0).alias("overlap_next"),
         k.alias("overlap_matches"),
-        ((k % 11) / 10.0).alias("overlap_inlier_ratio"),
+        ((k % 9) / 8.0).alias("overlap_inlier_ratio"),
     )
     shown = report.overlap_report(rows, ["user_id"], ["ts", "event_id"])
     return shown.select("event_id", "ordinal", "overlap_text", "overlap_class", "matches_text", "inlier_text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ QUALITY_PROPERTY = "Image/Quality"
 
 
 def unzip_documents(files: DataFrame, path="path", content="content") -> DataFrame:
-    """Archives -> path and the text of their first document; unreadable archives are skipped."""
+    """Archives -> path and the text of their first document; archives that cannot be read or parsed are skipped."""
 
     def unzip(batches):
         for batch in batches:
@@ -28,9 +29,9 @@ def unzip_documents(files: DataFrame, path="path", content="content") -> DataFra
                 try:
                     with zipfile.ZipFile(io.BytesIO(body)) as z:
                         member = next((n for n in z.namelist() if n.endswith(DOCUMENT_SUFFIX)), None)
-                        if member:
-                            rows.append((p, z.read(member).decode("utf-8")))
-                except (zipfile.BadZipFile, UnicodeDecodeError, OSError):
+                        if member:  # parsed here, so that what comes out is well-formed in any declared encoding
+                            rows.append((p, ElementTree.tostring(ElementTree.fromstring(z.read(member)), "unicode")))
+                except Exception:  # noqa: BLE001  whatever is wrong with a file, only that file is skipped
                     continue
             yield pd.DataFrame(rows, columns=["path", "xml"])
 
@@ -60,5 +61,5 @@ def parse_quality(documents: DataFrame) -> DataFrame:
 
 def read_quality_archive(spark: SparkSession, project_files: str) -> DataFrame:
     """All archives below a project's files folder -> quality rows, worst first."""
-    files = read_files(spark, project_files).filter(base_name("path") == ARCHIVE_NAME)
+    files = read_files(spark, project_files, glob=ARCHIVE_NAME)
     return parse_quality(unzip_documents(files)).orderBy("quality", "camera_id")

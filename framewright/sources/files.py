@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.names import IMAGE_EXTENSIONS, has_extension
-from framewright.operators.spread import lookup_join
-from framewright.sources.tags import extract_tags
+from framewright.sources.tags import header_tags
 
 # Notes of rows that cannot be measured.
 NOTE_UNDECODABLE = "image could not be decoded"
 NOTE_DEPTH = "more than 8 bits per channel: load as a numeric array table"
 
+HEAD_BYTES = 1 << 18  # header of a file, in which its tags are looked for
+READ_BYTES = 1 << 22  # read at once when a file is hashed
+
 IMAGE_COLUMNS = ("path", "height", "width", "n_channels", "data")
 
 
@@ -35,34 +39,90 @@ def catalog_from_listing(listing: DataFrame, extensions=IMAGE_EXTENSIONS, path="
     )
 
 
-def read_files(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
-    """`binaryFile` rows; `content` is read only if a later step uses it."""
+def read_files(spark: SparkSession, paths, recursive: bool = True, glob: str | None = None) -> DataFrame:
+    """`binaryFile` rows; `content` is read only if a later step uses it. `glob` selects names in the listing."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     return reader.load(paths).withColumn("path", normal_path("path"))
 
 
+def _opened(path: str):
+    """The file of a path or URI as a stream, from any file system that Arrow knows."""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    return system.open_input_stream(place)
+
+
+def file_head(path: str, size: int = HEAD_BYTES) -> bytes:
+    """The first bytes of a file, none if it cannot be opened."""
+    try:
+        with _opened(path) as stream:
+            return stream.read(size)
+    except OSError:
+        return b""
+
+
+def _probe(path: str, names: tuple[str, ...]) -> tuple:
+    digests, head = [hashlib.new(n) for n in names], b""
+    try:
+        with _opened(path) as stream:
+            while block := stream.read(READ_BYTES):
+                head = head or block[:HEAD_BYTES]
+                for d in digests:
+                    d.update(block)
+    except OSError:
+        return (path, *[None for _ in names], None)
+    return (path, *[d.hexdigest() for d in digests], head)
+
+
+def probe_files(listing: DataFrame, names: tuple[str, ...] = ("md5", "sha256"), path="path") -> DataFrame:
+    """Paths -> path, the named digests and `head` (the first HEAD_BYTES), from one pass over each file.
+
+    A task opens its files by path and reads them in blocks, so no file needs to fit anywhere, and files that are
+    not in `listing` are not opened. A file that cannot be opened has NULLs.
+    """
+
+    def probe(batches):
+        for batch in batches:
+            for start in range(0, len(batch), 64):
+                rows = [_probe(p, names) for p in batch["path"].iloc[start : start + 64]]
+                yield pd.DataFrame(rows, columns=["path", *names, "head"])
+
+    schema = ", ".join(["path string", *[f"{n} string" for n in names], "head binary"])
+    return listing.select(F.col(path).alias("path")).mapInPandas(probe, schema)
+
+
+def file_hashes(stale: DataFrame) -> DataFrame:
+    """path, sha256 of the given files only (see `reconcile.incremental_hash`)."""
+    return probe_files(stale, ("sha256",)).drop("head")
+
+
 def scan_media(spark: SparkSession, paths, recursive: bool = True, extensions=IMAGE_EXTENSIONS) -> DataFrame:
     """Files and folders -> catalog (path, modificationTime, length)."""
     listing = read_files(spark, paths, recursive).select("path", "modificationTime", "length")
     return catalog_from_listing(listing, extensions)
 
 
-def _deep_files(found: DataFrame) -> DataFrame:
-    """Paths of PNG and TIFF files with 16 bits per channel, told from their header bytes."""
-    head = F.hex(F.substring("content", 1, 4))
-    png = (head == "89504E47") & (F.hex(F.substring("content", 25, 1)) == "10")
-    return found.filter(png).select("path").unionByName(
-        extract_tags(found.filter(head.isin("49492A00", "4D4D002A")))
-        .filter((F.col("tag") == "bits") & F.col("value").rlike("^16"))
-        .select("path")
-    )
+def _header_facts(paths: pd.Series) -> pd.DataFrame:
+    """Whether a file has 16 bits per channel, and its orientation tag; from its first bytes."""
+    rows = []
+    for path in paths:
+        head = file_head(path)
+        found = header_tags(head)
+        png = head[:4] == b"\x89PNG" and head[24:25] == b"\x10"
+        tiff = head[:4] in (b"II*\0", b"MM\0*") and found.get("bits", "").startswith("16")
+        turn = found.get("orientation", "")
+        rows.append((png or tiff, int(turn) if turn.isdigit() and int(turn) else None))
+    return pd.DataFrame(rows, columns=["deep", "turn"]).astype({"turn": "Int32"})
 
 
 def load_rasters(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
-    """Files -> path, height, width, n_channels, data (BGR), is_error, load_note; never fails on a file.
+    """Files -> path, height, width, n_channels, data (BGR), is_error, load_note, turn_tag; never fails on a file.
 
-    16-bit files are marked as errors: the image source keeps only their low bytes. They are looked up
-    by path, so the pixels stay where they were decoded.
+    16-bit files are marked as errors: the image source keeps only their low bytes. Depth and orientation come
+    from the head of the file in the task that decodes it; only its path goes to Python, and nothing is joined.
     """
     images = (
         spark.read.format("image")
@@ -70,16 +130,16 @@ def load_rasters(spark: SparkSession, paths, recursive: bool = True) -> DataFram
         .load(paths)
         .select("image.*")
         .select(normal_path("origin").alias("path"), "height", "width", F.col("nChannels").alias("n_channels"), "data")
+        .withColumn("__facts", F.pandas_udf(_header_facts, "deep boolean, turn int")("path"))
     )
-    deep_files = _deep_files(read_files(spark, paths, recursive)).withColumn("deep", F.lit(True))
-    bad = F.col("height") < 0
-    deep = F.coalesce("deep", F.lit(False))
-    return lookup_join(images, deep_files, ["path"], "left", ["path"]).select(
+    bad, deep = F.col("height") < 0, F.col("__facts.deep")
+    return images.select(
         "path",
         *[F.when(~bad & ~deep, F.col(c)).otherwise(F.lit(-1)).alias(c) for c in ("height", "width", "n_channels")],
         F.when(~bad & ~deep, F.col("data")).alias("data"),
         (bad | deep).alias("is_error"),
         F.when(bad, NOTE_UNDECODABLE).when(deep, NOTE_DEPTH).otherwise("").alias("load_note"),
+        F.col("__facts.turn").alias("turn_tag"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.names import base_name, stem, strip
@@ -14,11 +14,7 @@ def parse_image_lists(lines: DataFrame, list_path="list_path", order: list[str]
     order = order or ["line_order"]
     kept = lines.withColumn("__text", strip(line)).filter(F.col("__text") != "")
     counted = with_row_number(kept, [list_path], order, "line_no")
-    return counted.select(stem(list_path).alias("component"), "line_no", _last_part("__text").alias("filename"))
-
-
-def _last_part(text: str) -> Column:
-    return base_name(text)
+    return counted.select(stem(list_path).alias("component"), "line_no", base_name("__text").alias("filename"))
 
 
 def read_image_lists(spark: SparkSession, paths) -> DataFrame:

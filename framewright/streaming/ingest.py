@@ -1,7 +1,7 @@
-"""Continuous pick-up of files added since the last run.
+"""Pick-up of files added or changed since the last run.
 
-A file stream reports each path once; a file rewritten under the same path is found by the batch
-comparison with the index (`operators.reconcile.sync_index`).
+What is known is told by the index alone, not by a stream's memory of file ages: a file that arrives with an old
+date (from a memory card, say) is found like any other.
 """
 
 from __future__ import annotations
@@ -10,39 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.names import MEDIA_EXTENSIONS, base_name, has_extension
-from framewright.sources.files import normal_path
+from framewright.sources import index
+from framewright.sources.files import file_hashes, read_files
 
-BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+INGESTED = "path string, name_lower string, size bigint, mtime timestamp, sha256 string"
 
 
-def file_stream(spark: SparkSession, folder: str, extensions=MEDIA_EXTENSIONS, glob: str | None = None) -> DataFrame:
-    """Stream of new media files: path, name_lower, size, mtime, sha256."""
-    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(folder).withColumn("path", normal_path("path"))
-    return files.filter(has_extension("path", extensions)).select(
+def new_files(spark: SparkSession, folder: str, location: str, extensions=MEDIA_EXTENSIONS, glob: str | None = None) -> DataFrame:
+    """Listed files whose path, size and time the index at `location` does not have; no file is opened."""
+    found = read_files(spark, folder, glob=glob).filter(has_extension("path", extensions))
+    listing = found.select(
         "path",
         F.lower(base_name("path")).alias("name_lower"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("mtime"),
-        F.sha2("content", 256).alias("sha256"),
     )
+    if not index.exists(spark, location):
+        return listing
+    return listing.join(spark.read.schema(INGESTED).parquet(location), ["path", "size", "mtime"], "left_anti").select(*listing.columns)
 
 
-def ingest_new_files(stream: DataFrame, location: str, checkpoint: str) -> None:
-    """Append everything that is new to the index table at `location`, then stop.
+def ingest_new_files(spark: SparkSession, folder: str, location: str, extensions=MEDIA_EXTENSIONS, glob: str | None = None) -> None:
+    """Hash what is new and append it to the index at `location`; a run that fails leaves nothing behind.
 
-    The batch number is a folder of the table, so a batch repeated after a failure overwrites itself.
+    A file that was rewritten comes as one more row with its new size and time.
     """
-
-    def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{location}/batch={number}")
-
-    query = (
-        stream.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    new = new_files(spark, folder, location, extensions, glob)
+    new.join(file_hashes(new), "path", "left").select("path", "name_lower", "size", "mtime", "sha256").write.mode("append").parquet(location)

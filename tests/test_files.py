@@ -1,6 +1,8 @@
 """Real files: PNG decoding, headers, archives, lists, index, stream, and both end-to-end jobs."""
 
+import hashlib
 import io
+import os
 import struct
 import zipfile
 
@@ -108,6 +110,13 @@ def test_quality_archive(spark, tmp_path):
     write("1", "<d/>", member="other.xml")
     (tmp_path / "2").mkdir()
     (tmp_path / "2" / "frame.zip").write_bytes(b"PK broken")
+    write("3", "<d>" + camera.format(7, "0.9") + "</d>")
+    write("4", "<d><camera camera_id='5'><photo path='a.jpg'></camera></d>")  # not well-formed
+    with zipfile.ZipFile(tmp_path / "3" / "frame.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("doc.xml", "<d>" + camera.format(7, "0.9") * 50 + "</d>")
+    body = bytearray((tmp_path / "3" / "frame.zip").read_bytes())
+    body[45:70] = b"\xff" * 25  # a damaged deflate stream
+    (tmp_path / "3" / "frame.zip").write_bytes(bytes(body))
     got = archive.read_quality_archive(spark, str(tmp_path)).collect()
     assert [(r.camera_id, r.filename, r.quality) for r in got] == [("2", "2.jpg", 0.3), ("1", "1.jpg", 0.8)]
 
@@ -131,22 +140,62 @@ def test_index_snapshots(spark, tmp_path):
     read = lambda t: index.read_index(spark, location, "k", t, index.INDEX_SCHEMA)
     assert read("import").count() == 3 and read("backup").count() == 9
     assert "PartitionFilters: [isnotnull(scan_key" in read("import")._jdf.queryExecution().executedPlan().toString()
+    index.write_index(rows(0), location, "k", "import")
+    assert read("import").count() == 0 and read("backup").count() == 9
+    index.write_index(rows(2), location, "k", "import")
     index.clear_index(spark, location, "k", "import")
     assert read("import").count() == 0 and read("backup").count() == 9
 
 
-def test_stream_takes_each_file_once(spark, tmp_path):
-    inbox, location, state = (str(tmp_path / n) for n in ("inbox", "index", "state"))
+def test_ingest_takes_each_file_once_whatever_its_date(spark, tmp_path):
+    inbox, location = (str(tmp_path / n) for n in ("inbox", "index"))
     (tmp_path / "inbox").mkdir()
-    run = lambda: ingest.ingest_new_files(ingest.file_stream(spark, inbox), location, state)
+    run = lambda: ingest.ingest_new_files(spark, inbox, location)
     (tmp_path / "inbox" / "A.JPG").write_bytes(b"one")
     (tmp_path / "inbox" / "a.txt").write_bytes(b"skipped")
     run()
     (tmp_path / "inbox" / "b.cr3").write_bytes(b"two")
+    old = tmp_path / "inbox" / "old.jpg"
+    old.write_bytes(b"from a card")
+    os.utime(old, (1_500_000_000, 1_500_000_000))
     run()
     run()
-    got = sorted((r.name_lower, r.size) for r in spark.read.parquet(location).collect())
-    assert got == [("a.jpg", 3), ("b.cr3", 3)]
+    got = sorted((r.name_lower, r.size, r.sha256) for r in spark.read.parquet(location).collect())
+    assert [g[:2] for g in got] == [("a.jpg", 3), ("b.cr3", 3), ("old.jpg", 11)]
+    assert got[2][2] == hashlib.sha256(b"from a card").hexdigest()
+
+
+def test_unchanged_files_are_not_opened_and_deleted_ones_leave(spark, tmp_path):
+    root, location = str(tmp_path / "tree"), str(tmp_path / "index")
+    (tmp_path / "tree").mkdir()
+    for name, body in {"a.jpg": b"1", "b.jpg": b"22"}.items():
+        (tmp_path / "tree" / name).write_bytes(body)
+    read = lambda: {r.name_lower: r.sha256 for r in index.read_index(spark, location, "k", "import", index.INDEX_SCHEMA).collect()}
+    backup.refreshed_tree(spark, root, location, "k", "import")
+    assert read()["a.jpg"] == hashlib.sha256(b"1").hexdigest()
+    stat = (tmp_path / "tree" / "a.jpg").stat()
+    (tmp_path / "tree" / "a.jpg").write_bytes(b"9")  # same size, and the time is set back: not opened again
+    os.utime(tmp_path / "tree" / "a.jpg", ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    (tmp_path / "tree" / "c.jpg").write_bytes(b"333")
+    (tmp_path / "tree" / "b.jpg").unlink()
+    backup.refreshed_tree(spark, root, location, "k", "import")
+    assert read() == {"a.jpg": hashlib.sha256(b"1").hexdigest(), "c.jpg": hashlib.sha256(b"333").hexdigest()}
+
+
+def test_files_beyond_the_content_limit_are_hashed(spark, tmp_path):
+    (tmp_path / "long.mov").write_bytes(b"x" * 5_000_000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        rows = backup.tree(spark, str(tmp_path), use_hash=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert [r.sha256 for r in rows] == [hashlib.sha256(b"x" * 5_000_000).hexdigest()]
+
+
+def test_unknown_hashes_are_equal(spark):
+    kind = "path string, name_lower string, size bigint, sha256 string"
+    one, two = (spark.createDataFrame([(p, "a.jpg", 5, None)], kind) for p in ("/x/a.jpg", "/y/a.jpg"))
+    assert rc.missing_files(one, two, True).count() == 0 and rc.present_files(one, two, True).count() == 1
 
 
 def test_backup_comparison(spark, tmp_path):

@@ -184,15 +184,18 @@ def test_ratio_match_blocks_change_nothing(spark):
     assert match(1000) == match(7) == sorted(want) and want
 
 
-def test_hashing_is_the_same_for_few_and_for_many_stale_files(spark, monkeypatch):
-    from framewright.operators import spread
-
+def test_only_stale_files_are_hashed(spark):
     kind = "path string, name_lower string, size bigint, mtime bigint, sha256 string"
     scan = spark.createDataFrame([(f"p{i}", f"p{i}", i, 0, None) for i in range(9)], kind)
     index = spark.createDataFrame([(f"p{i}", f"p{i}", i + i % 2, 0, "old" if i % 3 else None) for i in range(7)], kind)
     body = spark.createDataFrame([(f"p{i}", bytearray([i])) for i in range(9)], "path string, content binary")
-    run = lambda: sorted(map(tuple, rc.incremental_hash(scan, index, body).select("path", "sha256", "hash_reused").collect()))
-    few = run()
+    asked = []
+
+    def by_path(stale):
+        asked.extend(r.path for r in stale.collect())
+        return body.select("path", F.sha2("content", 256).alias("sha256"))
+
+    run = lambda c: sorted(map(tuple, rc.incremental_hash(scan, index, c).select("path", "sha256", "hash_reused").collect()))
+    few = run(body)
     assert {p for p, _, reused in few if reused} == {"p2", "p4"} and all(len(h) == 64 for _, h, reused in few if not reused)
-    monkeypatch.setattr(spread, "MAX_BROADCAST_ROWS", 0)
-    assert run() == few
+    assert run(by_path) == few and not {"p2", "p4"} & set(asked)

@@ -7,7 +7,6 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from framewright.operators import medians, spread
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -52,18 +51,6 @@ def test_query(spark, duck, name):
     compare(spark, duck, name)
 
 
-CUT = ["g3_exposure_drift", "g8_sequence_pairs", "g8_single_sequence", "x8_overlap_report", "v6_collision_number", "r16_resolve_destination", "l1_assign_components", "g1_mark_duplicates"]
-
-
-@pytest.mark.parametrize("name", CUT)
-def test_query_with_everything_too_large_for_one_task(spark, duck, name, monkeypatch):
-    """The same results when windows are cut into chunks, medians binned and lookups not broadcast."""
-    monkeypatch.setattr(spread, "ONE_TASK_ROWS", 10)
-    monkeypatch.setattr(spread, "MAX_BROADCAST_ROWS", 0)
-    monkeypatch.setattr(medians, "ONE_TASK_VALUES", 10)
-    compare(spark, duck, name)
-
-
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
