@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.names import MEDIA_EXTENSIONS, folder, stem, suffix
 from framewright.operators import reconcile
-from framewright.sources import files, index
+from framewright.sources import files, index, tags
 from framewright.sources.shared import materialise
 
 
@@ -42,3 +44,24 @@ def compare(imported: DataFrame, backup: DataFrame, backup_root: str, records: D
     own = reconcile.exclude_subtree(imported, backup_root)
     missing = reconcile.missing_files(backup, own, use_hash)
     return reconcile.plan_transfer(missing, records, existing, plan)
+
+
+def records(missing: DataFrame) -> DataFrame:
+    """Tag records of the given files, from their heads; only they are opened."""
+    return tags.metadata_records(files.probe_files(missing, ()), files.open_file)
+
+
+def incremental_plan(
+    spark: SparkSession, import_root: str, backup_root: str, location: str, plan: reconcile.TransferPlan, extensions=MEDIA_EXTENSIONS
+) -> DataFrame:
+    """Two folders -> what the backup has and the import tree has not, with destinations, through the index at `location`.
+
+    Hashes of unchanged files come from the last run, metadata is read of missing files only, and both
+    snapshots are replaced.
+    """
+    key = hashlib.sha1(f"{import_root.lower()}|{backup_root.lower()}".encode()).hexdigest()  # as index.scan_key
+    ours = refreshed_tree(spark, import_root, location, key, "import", extensions)
+    theirs = refreshed_tree(spark, backup_root, location, key, "backup", extensions)
+    own = reconcile.exclude_subtree(ours, backup_root)
+    missing = reconcile.missing_files(theirs, own, use_hash=True)
+    return reconcile.plan_transfer(missing, records(missing), listing(spark, plan.output_root), plan)

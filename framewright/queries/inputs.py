@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from framewright.functions import names
 from framewright.operators import reconcile as rc
 from framewright.operators.report import export_rows
+from framewright.plans import backup
 from framewright.queries.base import query, spread_scan, table
 from framewright.queries.files import DESCRIBED_SQL, TREE_SQL, described, tree
 from framewright.queries.png import png_file
@@ -371,3 +372,30 @@ def s13(spark, sf):
         part.write.mode("append").partitionBy("lang", "source").text(root)
         ingest.ingest_new_files(spark, root, location, extensions=(".txt",))
     return folder_bytes(spark.read.parquet(location), "size")
+
+
+@query(
+    "s3_backup_plan",
+    """SELECT printf('/%d/IMG_%06d.jpg', c_nationkey, c_custkey) AS name, octet_length(encode(c_mktsegment))::BIGINT AS size,
+      printf('/photo/IMG_%06d%s.jpg', c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '_1' ELSE '' END) AS dest
+    FROM customer WHERE c_custkey % 3 = 0""",
+)
+def s3_backup_plan(spark, sf):
+    """Customers as files of a backup tree, two thirds of them imported; every second name is taken at the destination.
+
+    The plan runs twice through one index: the second run opens no unchanged file and says the same.
+    """
+    root = shared_folder(spark, "backup")
+    c = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").cast("binary").alias("content"))
+    name = F.format_string("%d/IMG_%06d.jpg", "c_nationkey", c)
+    taken = rows.filter(c % 2 == 0).select(F.format_string("photo/IMG_%06d.jpg", c).alias("name"), F.lit(b"other").alias("content"))
+    for folder, part in (("backup", rows), ("import", rows.filter(c % 3 != 0))):
+        files.land_files(part.select(name.alias("name"), "content"), f"{root}/{folder}").write.format("noop").mode("overwrite").save()
+    files.land_files(taken, f"{root}/out").write.format("noop").mode("overwrite").save()
+    plan = rc.TransferPlan(f"{root}/out", folder_media=True)
+    for _ in range(2):
+        found = backup.incremental_plan(spark, f"{root}/import", f"{root}/backup", f"{root}/index", plan)
+    return found.select(
+        F.regexp_extract("path", "/backup(/[^/]+/[^/]+)$", 1).alias("name"), "size", F.regexp_extract("dest_path", "/out(/.*)$", 1).alias("dest")
+    )

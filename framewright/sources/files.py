@@ -47,18 +47,18 @@ def read_files(spark: SparkSession, paths, recursive: bool = True, glob: str | N
     return reader.load(paths).withColumn("path", normal_path("path"))
 
 
-def _opened(path: str):
-    """The file of a path or URI as a stream, from any file system that Arrow knows."""
+def open_file(path: str):
+    """The file of a path or URI, from any file system that Arrow knows."""
     from pyarrow import fs
 
     system, place = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
-    return system.open_input_stream(place)
+    return system.open_input_file(place)
 
 
 def file_head(path: str, size: int = HEAD_BYTES) -> bytes:
     """The first bytes of a file, none if it cannot be opened."""
     try:
-        with _opened(path) as stream:
+        with open_file(path) as stream:
             return stream.read(size)
     except OSError:
         return b""
@@ -67,7 +67,7 @@ def file_head(path: str, size: int = HEAD_BYTES) -> bytes:
 def _probe(path: str, names: tuple[str, ...]) -> tuple:
     digests, head = [hashlib.new(n) for n in names], b""
     try:
-        with _opened(path) as stream:
+        with open_file(path) as stream:
             while block := stream.read(READ_BYTES):
                 head = head or block[:HEAD_BYTES]
                 for d in digests:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,10 +14,11 @@ from framewright.functions.names import strip
 # Tag numbers of the Exif standard that are read, and the folders (IFDs) that hold them.
 MAIN_TAGS = {0x0102: "bits", 0x010F: "make", 0x0110: "model", 0x0112: "orientation"}
 SHOT_TAGS = {0x829D: "aperture", 0x829A: "shutter", 0x8827: "iso", 0x920A: "focal_length", 0x9003: "datetime"}
+MORE_TAGS = {0x9004: "create_date", 0xA432: "lens_spec", 0xA434: "lens_model"}
 GPS_TAGS = {1: "lat_ref", 2: "lat", 3: "lon_ref", 4: "lon"}
 SHOT_FOLDER, GPS_FOLDER = 0x8769, 0x8825
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
-TAG_NAMES = (*MAIN_TAGS.values(), *SHOT_TAGS.values(), *GPS_TAGS.values())
+TAG_NAMES = (*MAIN_TAGS.values(), *SHOT_TAGS.values(), *MORE_TAGS.values(), *GPS_TAGS.values())
 
 
 def _tiff_start(b: bytes) -> int:
@@ -69,7 +71,7 @@ def header_tags(b: bytes) -> dict[str, str]:
         pass
     main, shot, gps = folders
     found = {name: main.get(tag) for tag, name in MAIN_TAGS.items()}
-    found |= {name: shot.get(tag, main.get(tag)) for tag, name in SHOT_TAGS.items()}
+    found |= {name: shot.get(tag, main.get(tag)) for tag, name in (SHOT_TAGS | MORE_TAGS).items()}
     found |= {name: gps.get(tag) for tag, name in GPS_TAGS.items()}
     return {k: v for k, v in found.items() if v is not None}
 
@@ -122,3 +124,58 @@ def normalise_metadata(tags: DataFrame) -> DataFrame:
             F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon"))).alias("gps"),
         ).alias("exif"),
     )
+
+
+RECORD_COLUMNS = ("DateTimeOriginal", "CreateDate", "MediaCreateDate", "Model", "LensModel", "LensID", "LensSpec", "FocalLength")
+MOVIE_EPOCH = datetime(1904, 1, 1)  # fixed value: dates in movie headers count seconds from here
+
+
+def movie_date(stream) -> str | None:
+    """Creation day in the header of an mp4 or mov file, found by stepping over its boxes; None without one."""
+    at, end = 0, stream.size()
+    while at + 16 <= end:
+        stream.seek(at)
+        head = stream.read(16)
+        size, kind = int.from_bytes(head[:4], "big"), head[4:8]
+        start = at + (16 if size == 1 else 8)
+        size = int.from_bytes(head[8:16], "big") if size == 1 else size or end - at
+        if kind == b"moov":
+            at, end = start, at + size  # its own boxes next
+            continue
+        if kind == b"mvhd":
+            stream.seek(start)
+            body = stream.read(12)
+            seconds = int.from_bytes(body[4:12] if body[:1] == b"\1" else body[4:8], "big")
+            return str((MOVIE_EPOCH + timedelta(seconds=seconds)).date()) if 0 < seconds < 2**33 else None
+        if size < 8:
+            return None
+        at += size
+    return None
+
+
+def metadata_records(probed: DataFrame, open_file, path="path", head="head") -> DataFrame:
+    """Paths with the head of each file -> one row per path of what `reconcile.file_metadata` asks for.
+
+    `open_file` opens a path for reading anywhere; it is used for movies only, whose header may stand at the end.
+    """
+    def day(value: str | None) -> str | None:
+        return value[:10].replace(":", "-") if value else None
+
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for p, b in zip(batch["path"], batch["head"]):
+                found = header_tags(bytes(b)) if b is not None else {}
+                made = None
+                if p.lower().endswith((".mp4", ".mov", ".m4v")):
+                    try:
+                        with open_file(p) as stream:
+                            made = movie_date(stream)
+                    except OSError:
+                        pass
+                rows.append((p, day(found.get("datetime")), day(found.get("create_date")), made, found.get("model"),
+                             found.get("lens_model"), None, found.get("lens_spec"), found.get("focal_length")))
+            yield pd.DataFrame(rows, columns=["path", *RECORD_COLUMNS])
+
+    schema = ", ".join(f"{c} string" for c in ("path", *RECORD_COLUMNS))
+    return probed.select(F.col(path).alias("path"), F.col(head).alias("head")).mapInPandas(read, schema)

@@ -211,3 +211,18 @@ def test_backup_comparison(spark, tmp_path):
         assert set(got) == {"two.jpg", "three.mov"}
         assert got["three.mov"].dest_path == f"{out}/video/three_1.mov" and got["three.mov"].date_source == "filesystem"
         assert got["two.jpg"].dest_path == f"{out}/photo/two.jpg" and got["two.jpg"].status == "missing"
+
+
+def test_metadata_records_of_photos_and_movies(spark, tmp_path):
+    body = tiff([(0x9004, 2, 20, struct.pack("<I", 38)), (0xA434, 2, 4, b"Z50\0")]) + b"2021:03:04 05:06:07\0"
+    (tmp_path / "a.tif").write_bytes(body)
+    box = lambda kind, content: struct.pack(">I", 8 + len(content)) + kind + content
+    seconds = 3_692_217_600  # 2020-12-31 after 1904
+    header = box(b"mvhd", b"\0\0\0\0" + struct.pack(">I", seconds) + bytes(90))
+    (tmp_path / "b.mov").write_bytes(box(b"ftyp", b"qt  ") + box(b"mdat", bytes(400_000)) + box(b"moov", header))
+    (tmp_path / "c.mp4").write_bytes(b"no boxes")
+    listing = spark.createDataFrame([(str(tmp_path / n),) for n in ("a.tif", "b.mov", "c.mp4", "gone.jpg")], "path string")
+    rows = {r.path.rsplit("/", 1)[1]: r for r in backup.records(listing).collect()}
+    assert (rows["a.tif"].CreateDate, rows["a.tif"].LensModel) == ("2021-03-04", "Z50")
+    assert rows["b.mov"].MediaCreateDate == "2020-12-31" and rows["c.mp4"].MediaCreateDate is None
+    assert rows["gone.jpg"].Model is None
