@@ -79,11 +79,10 @@ def sketches(sets: np.ndarray, sizes: np.ndarray, registers: int) -> np.ndarray:
     return out
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Most likely similarity of the sets under each pair of sketches, given the sizes of the sets.
+def _likelihood(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray):
+    """Log-likelihood of a similarity, given two sketches and the sizes of their sets; it has one peak.
 
-    The counts of registers that are larger, smaller and equal follow from the similarity; ternary search
-    finds the peak of the likelihood, which has only one.
+    It counts the registers that are larger, smaller and equal, whose shares follow from the similarity.
     """
     more, less = (a > b).sum(1), (a < b).sum(1)
     same = a.shape[1] - more - less
@@ -92,19 +91,31 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     def p(x):
         return -np.log1p(-x * (BASE - 1) / BASE) / math.log(BASE)
 
-    def likelihood(j):
+    def at(j):
         up, down = p(np.maximum(u - v * j, 0)), p(np.maximum(v - u * j, 0))
         rest = np.maximum(1 - up - down, 1e-300)
         return more * np.log(np.maximum(up, 1e-300)) + less * np.log(np.maximum(down, 1e-300)) + same * np.log(rest)
 
-    low, high = np.zeros(len(n)), np.minimum(u / v, v / u)
-    for _ in range(40):
+    return at, np.minimum(u / v, v / u)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Most likely similarity of the sets under each pair of sketches, given the sizes of the sets."""
+    at, high = _likelihood(a, b, n, m)
+    low = np.zeros(len(n))
+    for _ in range(30):
         third = (high - low) / 3
-        left = likelihood(low + third) < likelihood(high - third)
+        left = at(low + third) < at(high - third)
         low, high = np.where(left, low + third, low), np.where(left, high, high - third)
     return (low + high) / 2
 
 
+def likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Whether the estimate is at least `least`: the likelihood has one peak, so it is enough that it still climbs there."""
+    at, high = _likelihood(a, b, n, m)
+    return (high >= least) & (at(np.minimum(least + 1e-4, high)) >= at(np.full(len(n), least - 1e-4)))
+
+
 def _unpack(column: pa.Array, registers: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, registers)
 
@@ -182,7 +193,7 @@ def _partners(key: tuple, left: pd.DataFrame, right: pd.DataFrame, registers: in
             here = (keys_a[xs] == keys_b[ys]).argmax(1) == nth
             xs, ys = xs[here], ys[here]
             if len(xs):
-                good = estimate(a[xs], b[ys], n[xs].astype(float), m[ys].astype(float)) >= least
+                good = likely(a[xs], b[ys], n[xs].astype(float), m[ys].astype(float), least)
                 found.append((xs[good], ys[good]))
     if not found:
         return np.empty(0, int), np.empty(0, int)
@@ -267,8 +278,8 @@ def near_duplicates(
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text_b", 1_000_000):
             n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-            likely = estimate(*(_unpack(batch.column(c), registers) for c in ("sketch_a", "sketch_b")), n, m) >= least
-            few = batch.filter(pa.array(likely))
+            rows = likely(*(_unpack(batch.column(c), registers) for c in ("sketch_a", "sketch_b")), n, m, least)
+            few = batch.filter(pa.array(rows))
             a, na = shingle_sets(utf8(few.column("text_a")), words)
             b, nb = shingle_sets(utf8(few.column("text_b")), words)
             ends_a, ends_b = np.cumsum(na), np.cumsum(nb)
@@ -343,7 +354,8 @@ def near_duplicates(
         .select("band", "id", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     )
     known = apart.withColumnRenamed("id", "__id")
-    tiles = tiles.join(known, tiles.id == known["__id"]).drop("__id")
+    # Few bytes but much work: the number of tasks is not left to the size of what they read.
+    tiles = tiles.join(known, tiles.id == known["__id"]).drop("__id").repartition(partitions(spark), "band", "i", "j")
 
     def promising(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """The rows of a tile that have a partner worth confirming: never more rows than came in."""

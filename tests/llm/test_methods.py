@@ -16,7 +16,7 @@ from framewright.llm.ann import nearest
 from framewright.llm.bpe import RANKS, Encoder, read_ranks
 from framewright.llm.exact import Trie
 from framewright.llm.langid import op6_language_id
-from framewright.llm.near import estimate, near_duplicates, shingle_sets, sketches
+from framewright.llm.near import estimate, likely, near_duplicates, shingle_sets, sketches
 from framewright.llm.quality import op7_quality
 from framewright.llm.words import inside, runs, word_hashes
 
@@ -229,3 +229,13 @@ def test_pipeline_against_brute_force(spark, ranks):
 def test_shingles_of_short_texts():
     sets, sizes = shingle_sets([b"", b"a b", b"A  B", b"a b c", b"a b c a b c"], 3)
     assert sizes.tolist() == [0, 1, 1, 1, 3] and sets[0] == sets[1] != sets[2]
+
+
+def test_the_climbing_test_agrees_with_the_estimate():
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 5, (500, 140)).astype(np.uint16)
+    b = np.where(rng.random((500, 140)) < rng.random((500, 1)), a, rng.integers(0, 5, (500, 140))).astype(np.uint16)
+    n, m = rng.integers(50, 70, 500).astype(float), rng.integers(50, 70, 500).astype(float)
+    value = estimate(a, b, n, m)
+    sure = np.abs(value - 0.7) > 1e-3
+    assert (likely(a, b, n, m, 0.7) == (value >= 0.7))[sure].all() and 50 < (value >= 0.7).sum() < 450
