@@ -168,36 +168,59 @@ def held_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted(rows)
 
 
-def _partners(key: tuple, left: pd.DataFrame, right: pd.DataFrame, registers: int, percent: int, least: float):
-    """Positions (in left, in right) of the pairs of a tile that may be links between what is not yet connected.
+TILE = ("band", "i", "j", "mine", "id", "root", "lone", "n", "sketch")
+
+
+def _partners(rows: dict[str, np.ndarray], percent: int, least: float):
+    """Positions (first, second) of the pairs of a tile that may be links between what is not yet connected.
 
     Shingles that no other candidate has bound what two documents can have in common; then the likelihood of
     the sketches decides. A pair is looked at in the first band that it shares, and nowhere else.
     """
-    if not len(left) or not len(right):
-        return np.empty(0, int), np.empty(0, int)
-    a, b = (np.frombuffer(b"".join(x.sketch), np.uint16).reshape(-1, registers) for x in (left, right))
-    keys_a, keys_b = _band_keys(a), _band_keys(b)
-    (i, n, u, r), (j, m, v, q) = ([x[c].to_numpy() for c in ("id", "n", "lone", "root")] for x in (left, right))
-    nth = int(np.flatnonzero(keys_a[0].view(np.int64) == key[0])[0])
-    found = []
+    none = np.empty(0, int)
+    left, right = np.flatnonzero(rows["mine"] == rows["i"]), np.flatnonzero(rows["mine"] == rows["j"])
+    if not len(left) or not len(right) or rows["root"].min() == rows["root"].max():
+        return none, none
+    sketch, n, u, r, ids = (rows[c] for c in ("sketch", "n", "lone", "root", "id"))
+    keys = _band_keys(sketch)
+    nth = int(np.flatnonzero(keys[0].view(np.int64) == rows["band"][0])[0])
+    first, second = [], []
     for s in range(0, len(left), 128):
-        e = s + 128
-        common = np.minimum((n - u)[s:e, None], (m - v)[None, :])
-        able = (100 * common >= percent * (n[s:e, None] + m[None, :] - common)) & (r[s:e, None] != q[None, :])
-        able &= (i[s:e, None] < j[None, :]) if key[1] == key[2] else (i[s:e, None] != j[None, :])
-        x, y = np.nonzero(able)
-        x += s
-        for t in range(0, len(x), 20_000):
-            xs, ys = x[t : t + 20_000], y[t : t + 20_000]
-            here = (keys_a[xs] == keys_b[ys]).argmax(1) == nth
-            xs, ys = xs[here], ys[here]
-            if len(xs):
-                good = likely(a[xs], b[ys], n[xs].astype(float), m[ys].astype(float), least)
-                found.append((xs[good], ys[good]))
-    if not found:
-        return np.empty(0, int), np.empty(0, int)
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+        x = left[s : s + 128, None]
+        common = np.minimum((n - u)[x], (n - u)[right])
+        able = (100 * common >= percent * (n[x] + n[right] - common)) & (r[x] != r[right])
+        able &= (ids[x] < ids[right]) if rows["i"][0] == rows["j"][0] else (ids[x] != ids[right])
+        p, q = np.nonzero(able)
+        p, q = left[p + s], right[q]
+        for t in range(0, len(p), 20_000):
+            ps, qs = p[t : t + 20_000], q[t : t + 20_000]
+            here = (keys[ps] == keys[qs]).argmax(1) == nth
+            ps, qs = ps[here], qs[here]
+            if len(ps):
+                good = likely(sketch[ps], sketch[qs], n[ps].astype(float), n[qs].astype(float), least)
+                first.append(ps[good])
+                second.append(qs[good])
+    return (np.concatenate(first), np.concatenate(second)) if first else (none, none)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], registers: int) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of one tile after the other as arrays; they come sorted by tile."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in TILE[:-1]}
+        rows["sketch"] = _unpack(batch.column("sketch"), registers)
+        if held:
+            rows = {c: np.concatenate([held[c], rows[c]]) for c in TILE}
+        new = np.ones(len(rows["band"]), bool)
+        new[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in TILE[:3]], axis=0)
+        cuts = np.flatnonzero(new).tolist()
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            yield {c: x[s:e] for c, x in rows.items()}
+        held = {c: x[cuts[-1] :] for c, x in rows.items()}
+    if held:
+        yield held
 
 
 def near_duplicates(
@@ -355,19 +378,37 @@ def near_duplicates(
     )
     known = apart.withColumnRenamed("id", "__id")
     # Few bytes but much work: the number of tasks is not left to the size of what they read.
-    tiles = tiles.join(known, tiles.id == known["__id"]).drop("__id").repartition(partitions(spark), "band", "i", "j")
+    tiles = (
+        tiles.join(known, tiles.id == known["__id"])
+        .select(*TILE)
+        .repartition(partitions(spark), "band", "i", "j")
+        .sortWithinPartitions("band", "i", "j")
+    )
 
-    def promising(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """The rows of a tile that have a partner worth confirming: never more rows than came in."""
-        left, right = pdf[pdf.mine == key[1]], pdf[pdf.mine == key[2]]
-        a, b = _partners(key, left, right, registers, percent, least)
-        rows = np.union1d(left.index.to_numpy()[a], right.index.to_numpy()[b])
-        return pdf.loc[rows, ["band", "i", "j", "mine", "id", "root", "lone"]]
+    def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of each tile that have a partner worth confirming: never more rows than came in."""
+        names, out, size = TILE[:7], [], 0
+
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in out])) for c in names], list(names))
+
+        for rows in _tiles(batches, registers):
+            a, b = _partners(rows, percent, least)
+            if len(a):
+                both = np.union1d(a, b)
+                out.append({c: rows[c][both] for c in names})
+                size += len(both)
+            if size > 10_000:
+                yield packed()
+                out, size = [], 0
+        if out:
+            yield packed()
 
     def spanning(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Confirmed links of a tile that tie what is not yet tied: fewer than it has rows."""
-        left, right = pdf[pdf.mine == key[1]], pdf[pdf.mine == key[2]]
-        a, b = _partners(key, left, right, registers, percent, least)
+        rows = {c: pdf[c].to_numpy() for c in TILE[:-1]}
+        rows["sketch"] = np.frombuffer(b"".join(pdf.sketch), np.uint16).reshape(-1, registers)
+        a, b = _partners(rows, percent, least)
         found, roots_ = [], {}
 
         def root(x: int) -> int:
@@ -376,28 +417,23 @@ def near_duplicates(
             return x
 
         if len(a):
-            rights, sizes = shingle_sets([x.encode() for x in right.text], words)
-            names, place = np.unique(rights, return_inverse=True)
+            sets, sizes = shingle_sets([x.encode() for x in pdf.text], words)
+            names, place = np.unique(sets, return_inverse=True)
             starts = np.cumsum(sizes) - sizes
-            lefts, left_sizes = shingle_sets([x.encode() for x in left.text], words)
-            ends = np.cumsum(left_sizes)
-            rid, rroot = right.id.to_numpy(), right.root.to_numpy()
+            ids, roots_of = rows["id"], rows["root"]
             for x in np.unique(a).tolist():
                 mark = np.zeros(len(names), np.int64)
-                mine = lefts[ends[x] - left_sizes[x] : ends[x]]
-                mark[np.searchsorted(names, mine[np.isin(mine, names, assume_unique=True)])] = 1
+                mark[place[starts[x] : starts[x] + sizes[x]]] = 1
                 common = np.add.reduceat(mark[place], starts)
-                linked = 100 * common >= percent * (sizes + len(mine) - common)
+                linked = 100 * common >= percent * (sizes + sizes[x] - common)
                 for y in b[(a == x) & linked[b]].tolist():
-                    p, q = root(left.root.iat[x]), root(rroot[y])
+                    p, q = root(roots_of[x]), root(roots_of[y])
                     if p != q:
                         roots_[max(p, q)] = min(p, q)
-                        found.append((left.id.iat[x], rid[y]))
+                        found.append((ids[x], ids[y]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    hopeful = tiles.groupBy("band", "i", "j").applyInPandas(
-        promising, "band long, i int, j int, mine int, id long, root long, lone long"
-    )
+    hopeful = tiles.mapInArrow(promising, "band long, i int, j int, mine int, id long, root long, lone long")
     texts = candidates.withColumnRenamed("id", "__id")
     more = materialise(
         hopeful.join(texts, hopeful.id == texts["__id"])
