@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framewright.functions import names
 from framewright.operators import report
 from framewright.operators.reconcile import keep_reject_manifest
-from framewright.queries.base import query, rounded, table
+from framewright.queries.base import query, rounded, spread_scan, table
 from framewright.queries.numbering import numbering_sql
 from framewright.queries.scores import KEYS, RESULT_SQL, STATUS_SQL, labelled_results, result_rows
 from framewright.queries.sets import CAPTURES_SQL, captures
@@ -72,6 +72,7 @@ SELECT {_export_sql()} FROM r
 def export_input(spark, sf):
     item = F.col
     rows = result_rows(spark, sf, extra=["l_returnflag", "l_shipdate", "l_quantity", "l_tax", "l_partkey", "l_extendedprice", "l_discount"])
+    rows = spread_scan(rows, "l_orderkey")  # 67 wide columns are made of each row
     exif = F.struct(
         item("l_returnflag").alias("make"),
         F.lit(None).cast("string").alias("model"),
