@@ -18,6 +18,7 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
+BLOCK = 256  # matches whose places are added up at once
 WINDOW = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
@@ -35,21 +36,32 @@ def _text(value: str) -> str:
 def _found(text: str, pattern: str, keep: str, group: int = 0) -> Column:
     """Array of (s, e, x): start and end in code points and group `group` of the matches for which `keep` holds.
 
-    Splitting at the pattern gives the gaps between its matches, so running lengths give the places.
+    Splitting at the pattern gives the gaps between its matches, so running lengths give the places: first
+    within runs of BLOCK matches, then over the runs, as an array that grows by one costs the square of its length.
     """
     p = _text(pattern)
+    spans = "array<struct<s:int,e:int,x:string>>"
     return F.expr(f"""
-        CASE WHEN {text} RLIKE {p} THEN aggregate(
-            zip_with(zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, h) -> struct(g, h)),
-                     regexp_extract_all({text}, {p}, {group}), (m, x) -> struct(m.g AS g, m.h AS h, x AS x)),
-            struct(0 AS at, CAST(array() AS array<struct<s:int,e:int,x:string>>) AS out),
-            (a, m) -> struct(
-                a.at + length(m.g) + coalesce(length(m.h), 0) AS at,
-                CASE WHEN m.h IS NOT NULL AND {keep}
-                     THEN concat(a.out, array(struct(a.at + length(m.g) AS s, a.at + length(m.g) + length(m.h) AS e, m.x AS x)))
-                     ELSE a.out END AS out),
-            a -> a.out)
-        ELSE CAST(array() AS array<struct<s:int,e:int,x:string>>) END""")
+        CASE WHEN {text} RLIKE {p} THEN flatten(aggregate(
+            transform(
+                transform(
+                    array(zip_with(zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, h) -> struct(g, h)),
+                                   regexp_extract_all({text}, {p}, {group}), (m, x) -> struct(length(m.g) AS g, length(m.h) AS h, x AS x))),
+                    all -> transform(sequence(0, (size(all) - 1) div {BLOCK}), b -> slice(all, b * {BLOCK} + 1, {BLOCK})))[0],
+                block -> aggregate(
+                    block,
+                    struct(0 AS at, CAST(array() AS {spans}) AS out),
+                    (a, m) -> struct(
+                        a.at + m.g + coalesce(m.h, 0) AS at,
+                        CASE WHEN m.h IS NOT NULL AND {keep}
+                             THEN concat(a.out, array(struct(a.at + m.g AS s, a.at + m.g + m.h AS e, m.x AS x)))
+                             ELSE a.out END AS out))),
+            struct(0 AS at, CAST(array() AS array<{spans}>) AS out),
+            (a, k) -> struct(
+                a.at + k.at AS at,
+                concat(a.out, array(transform(k.out, o -> struct(o.s + a.at AS s, o.e + a.at AS e, o.x AS x)))) AS out),
+            a -> a.out))
+        ELSE CAST(array() AS {spans}) END""")
 
 
 def _entropy_spans(candidates: str) -> Column:
@@ -101,7 +113,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     like the five new ones are replaced; other columns stay.
     """
     names = ("n_assign", "n_access", "n_hex", "base", "spans")
-    kept = [c for c in docs.columns if c not in names]
+    kept = [c for c in docs.columns if c.lower() not in names]
     t = "__text"
     found = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(t)).select(
         *kept,
