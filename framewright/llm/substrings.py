@@ -26,7 +26,7 @@ from framewright.llm.words import inside, mix, runs, sliding_min, word_hashes
 ANCHOR_WORDS = 5
 PER_TASK = 4  # buckets for each shuffle partition
 _SECOND = 0xA24BAED4963EE407  # base of the hash of whole runs; anchors use another
-NO_ID = -(2**63)
+NO_ID, NO_IDS = -(2**63), 2**32  # rows without an id are spread over this many numbers that no id has
 PACKED = "bucket int, kind byte, a binary, h binary, d binary"
 FOUND = "id long, h binary, r binary"
 
@@ -162,12 +162,12 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = PER_TASK * partitions(spark)
     # One exchange of the texts, read by all three passes. Its key is never null, else the inner join would filter
     # below the exchange and get one of its own.
-    place = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+    place = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_IDS)))
     placed = docs.select(place.alias("doc_id"), F.col(text).alias("text")).repartition(partitions(spark), "doc_id")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            known = batch.filter(pa.compute.not_equal(batch.column("doc_id"), NO_ID))
+            known = batch.filter(pa.compute.greater_equal(batch.column("doc_id"), NO_ID + NO_IDS))
             ids = known.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             row, anchor, _, _ = _windows(ids, utf8(known.column("text")), words)
             new = _firsts(row, anchor) if len(row) else np.empty(0, bool)
@@ -258,7 +258,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             "doc_id long, n_words long, n_removed long, kept string, "
             "factors array<struct<start:long,length:long,document:long>>",
         )
-        .withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+        .withColumn("doc_id", F.when(F.col("doc_id") >= NO_ID + NO_IDS, F.col("doc_id")))
     )
 
 
