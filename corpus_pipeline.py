@@ -1,7 +1,8 @@
 """From raw documents to token ids: quality, repeated lines, near copies, mix of sources, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes as Parquet to the shared folder
-and reads again for the next one. All but the last return the columns of `documents`.
+and reads again for the next one. All but the last return the columns of `documents`, extra ones as they came.
+Nulls, empty texts and repeated rows are treated as the operators say; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,30 +21,44 @@ from framewright.sources.shared import materialise
 ORACLE_SQL = None
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
+    """`docs` with columns that an operator would replace renamed, and what selects all columns by their old names."""
+    aside = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c.lower() in names}
+    return docs.withColumnsRenamed(aside), [F.col(aside.get(c, c)).alias(c) for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
+    docs, columns = _aside(docs, "quality_score", "good")
     scored = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.filter("good").select(*docs.columns)
+    return scored.filter("good").select(*columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a smaller one has; those that lose every line go. `n_chars` is counted anew."""
+    docs, columns = _aside(docs, "n_lines", "n_dropped")
     left = line_dedup(docs)
     emptied = (F.col("n_dropped") > 0) & (F.col("n_dropped") == F.col("n_lines"))
-    return left.filter(~emptied).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    counted = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return left.filter(~emptied).withColumn("n_chars", counted).select(*columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8. Rows without an id stay."""
     gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents that are not taken go, one that is taken n times comes n times."""
-    taken = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__n"))
-    times = F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__nth")
-    return docs.join(taken, F.col("doc_id") == F.col("__id")).select(*docs.columns, times).drop("__nth")
+    """The mix: documents that are not taken go, one that is taken n times comes n times.
+
+    Rows are told apart by a number that is written with them, so repeated and missing ids are rows like any other.
+    """
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    times = (F.col("taken") / F.col("size")).cast("int")
+    taken = mix(rows, carry=("__row",)).filter("taken > 0").select(F.col("__row").alias("__taken"), times.alias("__times"))
+    nth = F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__nth")
+    return rows.join(taken, F.col("__row") == F.col("__taken")).select(*docs.columns, nth).drop("__nth")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,7 +137,7 @@ def bpe(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFra
     """
     path = path or public_tokenizers.path(RANKS)
     new = ("n_tokens", "ids", "decoded")
-    kept = [c for c in docs.columns if c not in new]
+    kept = [c for c in docs.columns if c.lower() not in new]
     schema = T.StructType(
         [
             *[docs.schema[c] for c in kept],

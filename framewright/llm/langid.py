@@ -142,7 +142,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     """
     langs, masks = model
     shared = docs.sparkSession.sparkContext.broadcast(masks)  # of fixed size
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     schema = T.StructType(
         [*[docs.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     )

@@ -60,7 +60,7 @@ def line_dedup(
         .groupBy("id")
         .agg(F.collect_list("key").alias("__drop"))
     )
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     at = kept.index(text)
     schema = T.StructType(
         [*[docs.schema[c] for c in kept], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]

@@ -57,19 +57,22 @@ def mix(
     source: str = "source",
     weights: tuple[int, ...] = (5, 2, 1),
     max_repeats: int = 3,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: `doc_id`, `size` (words), `source_size`, `target`, `taken` (words taken, with repeats).
 
     The budget is the sum of all sizes. Null texts have size 0; documents of size 0 are never taken.
-    A null source is a source of its own, a null id sorts as an empty string. Repeated rows each get their own place.
+    A null source is a source of its own, a null id is placed by its text. Repeated rows each get their own place.
     The order hangs on ids and sizes only, so that reruns agree. An empty table gives an empty result.
+    Columns named in `carry` are returned too; the others are not, so their names do not matter.
     """
     sized = materialise(
         docs.select(
             F.col(doc_id).alias("doc_id"),
             F.col(source).alias("source"),
             F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("key"),
+            F.md5(F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit(""))).alias("key"),
+            *carry,
         ).withColumn("slice", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * SLICES / 2**32).cast("int")),
         "sized",
     )
@@ -89,7 +92,7 @@ def mix(
     )
     placed = materialise(
         found.withColumn("through", F.col("before") + F.sum("size").over(within)).select(
-            "doc_id", "key", "size", "source_size", "total", "target", "through"
+            "doc_id", "key", "size", "source_size", "total", "target", "through", *carry
         ),
         "placed",
     )
@@ -135,6 +138,7 @@ def mix(
         "source_size",
         "target",
         F.when((F.col("size") > 0) & (F.col("target") > 0), taken * F.col("size")).otherwise(0).cast("long").alias("taken"),
+        *carry,
     )
 
 

@@ -215,7 +215,7 @@ def classify(
         rows.y.to_numpy(np.int64),
         fold,
     )
-    kept = [c for c in docs.columns if c not in ("quality_score", "good")]
+    kept = [c for c in docs.columns if c.lower() not in ("quality_score", "good")]
     at = {c: kept.index(c) for c in (text, source, lang)}
     schema = T.StructType(
         [*[docs.schema[c] for c in kept], T.StructField("quality_score", T.DoubleType()), T.StructField("good", T.BooleanType())]
