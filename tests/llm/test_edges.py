@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from framewright.llm.ann import nearest
 from framewright.llm.bpe import bpe
 from framewright.llm.exact import exact_dedup
@@ -143,6 +144,19 @@ def test_secrets(docs, by_id):
     assert got[6].n_assign == 0, "the short match takes its text from the longer one"
 
 
+def test_secrets_of_a_row_with_many(docs, by_id):
+    """More matches than one block of places, with gaps of other alphabets between them."""
+    text = " ß ".join(f"{i:024x}" for i in range(1000))
+    base = by_id(find_secrets(docs((1, text))))[1].base.split(",")
+    assert base == [f"hex:{27 * i}:{27 * i + 24}" for i in range(1000)]
+
+
+def test_substring_rows_without_an_id(docs):
+    rows = substring_dedup(docs((None, PASSAGE), (None, PASSAGE), (None, None), (3, PASSAGE), (4, PASSAGE))).collect()
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in rows)
+    assert got == [(0, 0, 0), (0, 20, 0), (0, 20, 0), (3, 20, 0), (4, 20, 20)]
+
+
 def test_language(spark):
     rows = [(i, "der die und nicht ein schön", "de") for i in range(20)] + [(100 + i, "the and with that thing", "en") for i in range(20)]
     docs = spark.createDataFrame(rows + [(500, "noise", None)], "doc_id long, text string, lang string")
@@ -187,3 +201,50 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and {got[i] for i in (100, 200, 300)} == {100}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars int, good string, N_Lines int, __x string, taken long"
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, tmp_path_factory):
+    """A folder with labels of ids that no row has: every document is good."""
+    folder = tmp_path_factory.mktemp("labels")
+    spark.createDataFrame([(10**9, 1), (None, 0)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def corpus(spark, *rows):
+    """Rows (doc_id, text) as documents with extra columns, all null but one."""
+    made = [(i, t, None, None, None if t is None else len(t), "own", 7, None, None) for i, t in rows]
+    return spark.createDataFrame(made, DOCUMENTS)
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_stage_of_an_empty_table(spark, labelled, name):
+    docs = corpus(spark)
+    out = STAGES[name](spark, docs, labelled)
+    assert out.collect() == []
+    assert name == corpus_pipeline.STAGES[-1][0] or out.columns == docs.columns
+
+
+def test_stages_with_nulls_and_repeated_rows(spark, labelled):
+    long_ = " ".join(random.Random(4).choices(WORDS, k=30_000))
+    rows = [(1, PASSAGE), (1, PASSAGE), (None, "no id but words"), (None, "no id but words"), (2, None), (3, ""), (4, long_), (5, PASSAGE)]
+    docs = corpus(spark, *rows)
+
+    def texts(df):
+        assert df.columns == docs.columns
+        assert {(r.good, r.N_Lines) for r in df.collect()} == {("own", 7)}, "extra columns stay as they came"
+        return sorted(((r.doc_id or 0, r.text or "") for r in df.collect()))
+
+    everything = sorted((i or 0, t or "") for i, t in rows)
+    assert texts(corpus_pipeline.quality(spark, docs, labelled)) == everything
+    assert texts(corpus_pipeline.lines(spark, docs, labelled)) == [x for x in everything if x[0] != 5]
+    assert texts(corpus_pipeline.near(spark, docs, labelled)) == [x for x in everything if x[0] != 5]
+    mixed = texts(corpus_pipeline.mixing(spark, docs, labelled))
+    assert mixed == [x for x in everything if x[1]], "one source: each row with words is taken once, also those without an id"
+    last = corpus_pipeline.tokens(spark, docs, labelled).collect()
+    assert len(last) == len(rows)
+    assert sum(r.n_tokens == 0 for r in last) == 2
