@@ -162,7 +162,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = PER_TASK * partitions(spark)
     # One exchange of the texts, read by all three passes. Its key is never null, else the inner join would filter
     # below the exchange and get one of its own.
-    place = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_IDS)))
+    place = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 32))
     placed = docs.select(place.alias("doc_id"), F.col(text).alias("text")).repartition(partitions(spark), "doc_id")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
