@@ -183,7 +183,12 @@ def _partners(rows: dict[str, np.ndarray], percent: int, least: float):
         return none, none
     sketch, n, u, r, ids = (rows[c] for c in ("sketch", "n", "lone", "root", "id"))
     keys = _band_keys(sketch)
-    nth = int(np.flatnonzero(keys[0].view(np.int64) == rows["band"][0])[0])
+    at = keys.view(np.int64) == rows["band"][0]
+    inside = at.any(1)  # not so for a sketch that only shares its id with one of the band
+    if not inside.any():
+        return none, none
+    nth = int(at[inside.argmax()].argmax())
+    left, right = left[inside[left]], right[inside[right]]
     first, second = [], []
     for s in range(0, len(left), 128):
         x = left[s : s + 128, None]
@@ -347,8 +352,12 @@ def near_duplicates(
         .agg(F.sum("lone").alias("lone"))
         .withColumnRenamed("id", "__lone")
     )
+    # Lone shingles are counted per id: with several texts under one id they bound none of them, so they are left out.
+    several = nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select(F.col("doc_id").alias("__several"))
+    lone = lone.join(several, F.col("__lone") == F.col("__several"), "left_anti")
     apart = rooted(candidates.select("id", "n", "sketch"), "id", "root").join(lone, F.col("id") == F.col("__lone"), "left")
-    apart = materialise(apart.select("id", "n", "sketch", "root", F.coalesce("lone", F.lit(0)).alias("lone")), "apart")
+    apart = apart.select("id", "n", "sketch", "root", F.coalesce("lone", F.lit(0)).alias("lone"))
+    apart = materialise(apart.dropDuplicates(["id", "sketch"]), "apart")
 
     def rooted_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -161,6 +161,26 @@ def test_near_against_brute_force(spark, monkeypatch, block):
     assert got == brute_components(rows, 3, 85)
 
 
+def test_near_with_several_texts_under_one_id(spark):
+    """Each id has a text near the others, twice, and one of its own: no crash in shared bands, no link lost."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    copy = base = rng.choices(vocabulary, k=80)
+    rows = []
+    for i in range(60):
+        copy = list(copy if i % 3 == 1 else base)  # every third is one word away from the one before
+        for _ in range(1 if i % 3 == 1 else rng.choice([2, 3, 4, 5])):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        rows += [(i, " ".join(copy))] * 2
+    alone = [(i, " ".join(f"own{i}x{k}" for k in range(300))) for i in range(60)]
+    plain = brute_components(rows, 3, 85)
+    df = spark.createDataFrame(rows + alone, "doc_id long, text string")
+    out = near_duplicates(df, words=3, percent=85).collect()
+    assert len(out) == 180
+    assert {r.doc_id: r.component_id for r in out} == plain
+    assert 1 < len(set(plain.values())) < len(plain)
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 16)).astype(np.float32)
