@@ -41,12 +41,9 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors; of rows that repeat an id the one that is smallest as bytes."""
-    x = np.stack(pdf.vector.to_list()).astype(np.float64)
-    order = sorted(range(len(x)), key=lambda i: (pdf.id.iat[i], x[i].tobytes()))
-    ids = pdf.id.to_numpy()[order]
-    first = np.r_[True, ids[1:] != ids[:-1]]
-    return ids[first], x[order][first]
+    """Ids in order and their vectors."""
+    order = np.argsort(pdf.id.to_numpy(), kind="stable")
+    return pdf.id.to_numpy()[order], np.stack(pdf.vector.to_list()).astype(np.float64)[order]
 
 
 def tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -87,13 +84,15 @@ def nearest(
 
     A query's own id is no candidate. Vectors that are null, all zero, or hold null or non-finite components take
     no part, and vectors meet only those of their own length. Ties go to the smaller id. Rows that repeat an
-    id count once. With fewer than k candidates all are returned; an empty table gives no rows.
+    id (and a length) count once, with the smallest of their vectors, and ask if one of them does. With fewer than k candidates all are returned; an empty table gives no rows.
     """
     bad = F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(
         F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("vector"), F.size(vector).alias("dim"), is_query.alias("asks"), bad.alias("bad")
     ).filter("id is not null and vector is not null and not bad and exists(vector, x -> x <> 0)")
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asking")).first()
+    # Combined before the shuffle, so that a block holds each id once, however often it is repeated.
+    rows = rows.groupBy("id", "dim").agg(F.min("vector").alias("vector"), F.bool_or("asks").alias("asks"))
     across = max(1, math.ceil(counts["asking"] / QUERY_BLOCK))
     down = max(1, math.ceil(counts["n"] / CANDIDATE_BLOCK))
 
