@@ -19,6 +19,7 @@ from framewright.llm.base import BLANKS, chunks, query, table, utf8
 from framewright.sources.shared import materialise
 
 TRIE_BYTES = 64_000_000
+MEMBERS = 100_000  # copies of one text that a task holds before it hands them on
 
 
 class Node:
@@ -123,8 +124,13 @@ def local_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 members.append(i)
                 node.entry = (rep, better(best, owner), members)
                 trie.held += 50
+                if len(members) >= MEMBERS:
+                    yield rows([(x.translate(None, BLANKS.encode()), node.entry)])
+                    trie.held -= 50 * len(members)
+                    node.entry = None
         while trie.held > TRIE_BYTES and trie.root.edges:
             yield rows(trie.spill())
+            trie.held += 50 * sum(len(members) for _, (_, _, members) in trie.entries())
     yield rows(trie.entries())
 
 
