@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from framewright.llm import exact as exact_module
 from framewright.llm.ann import nearest
 from framewright.llm.bpe import bpe
 from framewright.llm.exact import exact_dedup
@@ -72,6 +73,22 @@ def test_exact(docs):
     assert {r.text_sha256 for r in rows if r.doc_id == 4} == {hashlib.sha256(b"ab").hexdigest()}
 
 
+def test_exact_hands_on_many_copies(docs, monkeypatch):
+    """A task that may hold two copies of a text only gives the same groups."""
+    made = docs(*[(i, "a b" if i % 3 else "") for i in range(40)], (99, "a  b"))
+    whole = sorted(tuple(r) for r in exact_dedup(made).collect())
+    code, known = exact_module.local_tries.__globals__, exact_module.MEMBERS
+    monkeypatch.setitem(code, "MEMBERS", 2)
+    batches = made.select(
+        F.col("doc_id").alias("id"), "text", F.length("text").cast("long").alias("points"), F.lit(0).cast("long").alias("place")
+    ).toArrow().to_batches()
+    out = [r for b in exact_module.local_tries(iter(batches)) for r in b.to_pylist()]
+    assert known > 2 and len(out) == 41 and max(r["n"] or 0 for r in out) == 2
+    assert {r["rep"] for r in out} == {r["rep"] for r in out if r["bytes"] is not None}
+    assert sum(r["n"] or 0 for r in out) == 41
+    assert {r[1] for r in whole} == {0, 99}
+
+
 def test_lines(docs, by_id):
     got = by_id(
         line_dedup(
@@ -176,6 +193,24 @@ def test_nearest(spark):
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0)]
 
 
+def test_nearest_with_a_hot_id(spark):
+    """Many rows under one id with different vectors count as one, the smallest."""
+    rows = [(0, [1.0, 0.0]), (3, [0.25, 0.0])] + [(7, [0.5 + k / 8, 0.0]) for k in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r["rank"], r.vec_id, r.score) for r in nearest(df, F.col("vec_id") == 0, k=5).collect()]
+    assert sorted(got) == [(1, 7, 0.5), (2, 3, 0.25)]
+
+
+def test_quality_of_repeated_ids(spark):
+    """Rows that repeat an id are one document to the fit, and each of them is scored."""
+    rows = [(i, "good words here " * 5 if i % 2 else "BAD!!! 00 ## ", "s", "en") for i in range(80)]
+    columns = "doc_id long, text string, source string, lang string"
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    once = {r.doc_id: r.quality_score for r in classify(spark.createDataFrame(rows, columns), labels).collect()}
+    many = classify(spark.createDataFrame(rows + rows[:1] * 300, columns), labels).collect()
+    assert len(many) == 380 and {(r.doc_id, r.quality_score) for r in many} == set(once.items())
+
+
 def test_quality_without_labels_keeps_everything(spark):
     docs = spark.createDataFrame([(1, "a text", "s", "en"), (2, None, None, None)], "doc_id long, text string, source string, lang string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
