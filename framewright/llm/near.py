@@ -353,7 +353,7 @@ def near_duplicates(
         .withColumnRenamed("id", "__lone")
     )
     # Lone shingles are counted per id: with several texts under one id they bound none of them, so they are left out.
-    several = nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select(F.col("doc_id").alias("__several"))
+    several = owners.groupBy("rep").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select(F.col("rep").alias("__several"))
     lone = lone.join(several, F.col("__lone") == F.col("__several"), "left_anti")
     apart = rooted(candidates.select("id", "n", "sketch"), "id", "root").join(lone, F.col("id") == F.col("__lone"), "left")
     apart = apart.select("id", "n", "sketch", "root", F.coalesce("lone", F.lit(0)).alias("lone"))
