@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from framewright.llm.base import chunks, query, table, utf8
 from framewright.sources.shared import materialise
 
-LABELLED = 10_000  # labelled documents fitted on at most: those with the smallest hashes of their ids
+LABELLED = 10_000  # documents of each label fitted on at most: those with the smallest hashes of their ids
 ROUNDS, SURE, PER_ROUND = 4, 0.98, 0.05  # least confidence of a pseudo-label, and the part of the pool given per round
 CALIBRATED = 5  # every fifth labelled document is for calibration
 REJECT_BELOW = 0.5
@@ -298,7 +299,7 @@ def classify(
     """`docs` with `quality_score` (0 to 1) and `good` (score at least REJECT_BELOW).
 
     `labels` has the id and a label 0 or 1; null labels are left out, of repeated ones the smallest counts. Of the
-    documents with a label at most LABELLED are fitted on; they come
+    documents with a label at most LABELLED of either are fitted on, each weighted for those it stands for; they come
     to the driver as numbers, never as texts. All without a label are pseudo-labelled in tasks, whose sums come to the
     driver, and every document is scored. The numbers are written once to the shared folder. Null and empty texts are scored
     like any other; rows without an id are not fitted on. Input columns of the two new names are replaced.
@@ -351,13 +352,14 @@ def classify(
 
         return sum(np.frombuffer(zlib.decompress(r.sums)) for r in pool.mapInArrow(part, "sums binary").collect())
 
-    labelled = rows.filter("y is not null")
-    known = _smallest_hashes(labelled, counts.get(0, 0) + counts.get(1, 0), LABELLED).toPandas().sort_values("id")
+    known = pd.concat(
+        [_smallest_hashes(rows.filter(F.col("y") == y), counts.get(y, 0), LABELLED).toPandas() for y in (0, 1)], ignore_index=True
+    ).sort_values("id")
     y = known.y.to_numpy(np.int64)
     model = cotrain(
         *arrays(list(map(bytes, known.text)), *(known[c].to_numpy(np.int64) for c in ("source", "lang", "size"))),
         y,
-        np.ones(len(y)),
+        np.array([counts[k] / (y == k).sum() for k in y], float),
         np.array([zlib.crc32(str(i).encode()) % CALIBRATED for i in known.id], int),
         counts.get(None, 0),
         total,

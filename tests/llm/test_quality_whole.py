@@ -1,4 +1,4 @@
-"""The classifier learns from all unlabelled documents."""
+"""The classifier learns from all unlabelled documents and from every label of a rare class."""
 
 import random
 
@@ -40,6 +40,17 @@ def test_unlabelled_documents_beyond_ten_thousand_count(spark):
     assert scores(docs.repartition(7), labels) == first
 
 
+def test_a_rare_class_is_fitted_in_full(spark, monkeypatch):
+    """Of 3,000 labels 30 are bad; a bound of 100 takes 100 good ones and all the bad ones."""
+    monkeypatch.setattr(quality, "LABELLED", 100)
+    rng = random.Random(2)
+    rows = [(i, bad(rng) if i % 100 == 0 else good(rng), "s", "en") for i in range(4000)]
+    labels = spark.createDataFrame([(i, int(i % 100 > 0)) for i in range(3000)] + [(10**6 + i, 1) for i in range(5000)], "doc_id long, quality int")
+    out = {r.doc_id: r.good for r in classify(spark.createDataFrame(rows, COLUMNS), labels).collect()}
+    assert not any(out[i] for i in range(0, 4000, 100))
+    assert np.mean([out[i] for i in range(4000) if i % 100]) > 0.99
+
+
 @pytest.mark.parametrize("most", [0, 1, 57, 10_000])
 def test_the_surest_are_chosen(most):
     """Against a sort of all rows, whatever the rows are dealt into."""
