@@ -40,18 +40,26 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in order and their vectors."""
+def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in order, their vectors, and the rows that either stands for."""
     order = np.argsort(pdf.id.to_numpy(), kind="stable")
-    return pdf.id.to_numpy()[order], np.stack(pdf.vector.to_list()).astype(np.float64)[order]
+    return pdf.id.to_numpy()[order], np.stack(pdf.vector.to_list()).astype(np.float64)[order], pdf.times.to_numpy(np.int64)[order]
+
+
+def _first(k: int, query_id: np.ndarray, vec_id: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of the k best of each query id, in order."""
+    order = np.lexsort((vec_id, -score, query_id))
+    ordered = query_id[order]
+    return order[np.arange(len(order)) - np.searchsorted(ordered, ordered) < k]
 
 
 def tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest candidates of each query of the tile, ties to the smaller id."""
-    out = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    """The k nearest candidates of each query id of the tile, ties to the smaller id, and how many pairs of rows each is."""
+    kinds = {"query_id": "int64", "vec_id": "int64", "score": "float64", "times": "int64"}
+    out = pd.DataFrame({c: pd.Series(dtype=kind) for c, kind in kinds.items()})
     if not len(queries) or not len(candidates):
         return out
-    (qi, q), (ci, c) = _matrix(queries), _matrix(candidates)
+    (qi, q, qn), (ci, c, cn) = _matrix(queries), _matrix(candidates)
     q8, qs, qe, _ = quantised(q)
     c8, cs, ce, cr = quantised(c)
     length = np.linalg.norm(q, axis=1)
@@ -69,50 +77,72 @@ def tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFram
             least = np.partition(lower, len(ci) - k, axis=1)[:, len(ci) - k]
         row, column = np.nonzero((upper >= least[:, None]) & ~own)
         score = products(q[s:e][row], c[column])
-        order = np.lexsort((ci[column], -score, row))
-        row, column, score = row[order], column[order], score[order]
-        nth = np.arange(len(row)) - np.searchsorted(row, row)
-        best = nth < k
-        parts.append(pd.DataFrame({"query_id": qi[s:e][row[best]], "vec_id": ci[column[best]], "score": score[best]}))
-    return pd.concat(parts, ignore_index=True)
+        best = _first(k, qi[s:e][row], ci[column], score)
+        row, column, score = row[best], column[best], score[best]
+        times = np.minimum(qn[s:e][row] * cn[column], k)  # a list has no place for more
+        parts.append(pd.DataFrame({"query_id": qi[s:e][row], "vec_id": ci[column], "score": score, "times": times}))
+    out = pd.concat(parts, ignore_index=True)
+    return out.iloc[_first(k, out.query_id.to_numpy(), out.vec_id.to_numpy(), out.score.to_numpy())]
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding"
+    vectors: DataFrame,
+    is_query: Column,
+    k: int = 20,
+    vec_id: str = "vec_id",
+    vector: str = "embedding",
+    every_row: bool = False,
 ) -> DataFrame:
     """`query_id`, `rank` (from 1), `vec_id`, `score` of the k rows of largest inner product for each query row.
 
     A query's own id is no candidate. Vectors that are null, all zero, or hold null or non-finite components take
-    no part, and vectors meet only those of their own length. Ties go to the smaller id. Rows that repeat an
-    id (and a length) count once, with the smallest of their vectors, and ask if one of them does. With fewer than k candidates all are returned; an empty table gives no rows.
+    no part, and vectors meet only those of their own length. Ties go to the smaller id. With `every_row`, every row is
+    a candidate and every asking row asks, however often its id or its vector is repeated: a query id has one list over
+    all its rows. Without it, rows that repeat an id (and a length) count once, with the smallest of their vectors, and
+    ask if one of them does. With fewer than k candidates all are returned; an empty table gives no rows.
     """
     bad = F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(
         F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("vector"), F.size(vector).alias("dim"), is_query.alias("asks"), bad.alias("bad")
     ).filter("id is not null and vector is not null and not bad and exists(vector, x -> x <> 0)")
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asking")).first()
-    # Combined before the shuffle, so that a block holds each id once, however often it is repeated.
-    rows = rows.groupBy("id", "dim").agg(F.min("vector").alias("vector"), F.bool_or("asks").alias("asks"))
+    if every_row:
+        # Only equal rows are combined, and counted: many rows of one id are dealt to all blocks.
+        rows = rows.groupBy("id", "dim", "vector").agg(F.count(F.lit(1)).alias("there"), F.count_if("asks").alias("asking"))
+    else:
+        # Combined before the shuffle, so that a block holds each id once, however often it is repeated.
+        rows = rows.groupBy("id", "dim").agg(
+            F.min("vector").alias("vector"), F.lit(1).cast("long").alias("there"), F.bool_or("asks").cast("long").alias("asking")
+        )
     across = max(1, math.ceil(counts["asking"] / QUERY_BLOCK))
     down = max(1, math.ceil(counts["n"] / CANDIDATE_BLOCK))
 
-    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+    def dealt(df: DataFrame, times: str, own: str, n: int, other: str, m: int) -> DataFrame:
         """Rows in their own block, once for each block of the other side."""
-        return df.select(
-            "id", "vector", "dim", F.pmod(F.xxhash64("id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
-        ).withColumn(own, F.col(own).cast("int"))
+        block = F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
+        others = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        return df.select("id", "vector", "dim", F.col(times).alias("times"), block.alias(own), others.alias(other))
 
-    asked = dealt(rows.filter("asks"), "q", across, "c", down).withColumn("asks", F.lit(True))
-    there = dealt(rows, "c", down, "q", across).withColumn("asks", F.lit(False))
+    asked = dealt(rows.filter("asking > 0"), "asking", "q", across, "c", down).withColumn("asks", F.lit(True))
+    there = dealt(rows, "there", "c", down, "q", across).withColumn("asks", F.lit(False))
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        return tile(pdf[pdf.asks], pdf[~pdf.asks], k)
+        return tile(pdf[pdf.asks], pdf[~pdf.asks], k).assign(q=pdf.q.iat[0])
+
+    lists = "query_id long, vec_id long, score double, times long, q int"
+    tiles = asked.unionByName(there).groupBy("q", "c", "dim").applyInPandas(split, lists)
+
+    def shorten(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The k best of a query id in one block of queries: many rows of one id meet in short lists only."""
+        return pdf.iloc[_first(k, pdf.query_id.to_numpy(), pdf.vec_id.to_numpy(), pdf.score.to_numpy())]
 
-    tiles = asked.unionByName(there).groupBy("q", "c", "dim").applyInPandas(split, "query_id long, vec_id long, score double")
+    if every_row:
+        tiles = tiles.groupBy("query_id", "q").applyInPandas(shorten, lists)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         """One heap over the lists of a query's tiles: at most k rows from each."""
-        best = heapq.nsmallest(k, zip(-pdf.score, pdf.vec_id, strict=True))
+        best = heapq.nsmallest(k, zip(-pdf.score, pdf.vec_id, pdf.times, strict=True))
+        best = [(s, i) for s, i, n in best for _ in range(n)][:k]
         return pd.DataFrame(
             {
                 "query_id": pdf.query_id.iat[0],
@@ -142,4 +172,4 @@ def nearest(
     """,
 )
 def op3_nearest(spark, sf_dir):
-    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, every_row=True)
