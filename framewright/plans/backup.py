@@ -47,7 +47,7 @@ def compare(imported: DataFrame, backup: DataFrame, backup_root: str, records: D
 
 
 def records(missing: DataFrame) -> DataFrame:
-    """Tag records of the given files, from their heads; only they are opened."""
+    """Tag records of the given files; only they are opened."""
     return tags.metadata_records(files.probe_files(missing, ()), files.open_file)
 
 

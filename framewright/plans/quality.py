@@ -47,7 +47,7 @@ def file_facts(spark: SparkSession, paths, extensions=IMAGE_EXTENSIONS) -> DataF
     """path, file_size, md5 and exif of every wanted file, from one pass over its bytes."""
     listing = files.scan_media(spark, paths, extensions=extensions).select("path", F.col("length").alias("file_size"))
     probed = materialise(files.probe_files(listing, ("md5",)), "probed")
-    exif = tags.normalise_metadata(tags.extract_tags(probed, content="head"))
+    exif = tags.normalise_metadata(tags.tag_rows(probed))
     return listing.join(probed.select("path", "md5"), "path", "left").join(exif, "path", "left")
 
 

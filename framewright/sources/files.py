@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.names import IMAGE_EXTENSIONS, has_extension
-from framewright.sources.tags import header_tags
+from framewright.sources.tags import Ranges, header_tags
 
 # Notes of rows that cannot be measured.
 NOTE_UNDECODABLE = "image could not be decoded"
 NOTE_DEPTH = "more than 8 bits per channel: load as a numeric array table"
 
-HEAD_BYTES = 1 << 18  # header of a file, in which its tags are looked for
+HEAD_BYTES = 1 << 18  # first read of a file, in which most have their tags; other places are sought
 READ_BYTES = 1 << 22  # read at once when a file is hashed
 
 IMAGE_COLUMNS = ("path", "height", "width", "n_channels", "data")
@@ -55,30 +55,35 @@ def open_file(path: str):
     return system.open_input_file(place)
 
 
-def file_head(path: str, size: int = HEAD_BYTES) -> bytes:
-    """The first bytes of a file, none if it cannot be opened."""
+def file_head(path: str) -> tuple[bytes, dict[str, str]]:
+    """The first bytes of a file and its tags, none if it cannot be opened."""
     try:
         with open_file(path) as stream:
-            return stream.read(size)
+            head = stream.read(HEAD_BYTES)
+            return head, header_tags(Ranges(stream, head))
     except OSError:
-        return b""
+        return b"", {}
 
 
 def _probe(path: str, names: tuple[str, ...]) -> tuple:
-    digests, head = [hashlib.new(n) for n in names], b""
+    digests = [hashlib.new(n) for n in names]
     try:
         with open_file(path) as stream:
-            while block := stream.read(READ_BYTES):
-                head = head or block[:HEAD_BYTES]
+            head = block = stream.read(READ_BYTES if names else HEAD_BYTES)
+            while names and block:
                 for d in digests:
                     d.update(block)
+                block = stream.read(READ_BYTES)
+            found = header_tags(Ranges(stream, head))
     except OSError:
         return (path, *[None for _ in names], None)
-    return (path, *[d.hexdigest() for d in digests], head)
+    return (path, *[d.hexdigest() for d in digests], found)
 
 
 def probe_files(listing: DataFrame, names: tuple[str, ...] = ("md5", "sha256"), path="path") -> DataFrame:
-    """Paths -> path, the named digests and `head` (the first HEAD_BYTES), from one pass over each file.
+    """Paths -> path, the named digests and `tags` (name to text), from one pass over each file.
+
+    Tags are followed to wherever they stand in a file. Without digests only the parts that hold them are read.
 
     A task opens its files by path and reads them in blocks, so no file needs to fit anywhere, and files that are
     not in `listing` are not opened. A file that cannot be opened has NULLs.
@@ -88,15 +93,15 @@ def probe_files(listing: DataFrame, names: tuple[str, ...] = ("md5", "sha256"),
         for batch in batches:
             for start in range(0, len(batch), 64):
                 rows = [_probe(p, names) for p in batch["path"].iloc[start : start + 64]]
-                yield pd.DataFrame(rows, columns=["path", *names, "head"])
+                yield pd.DataFrame(rows, columns=["path", *names, "tags"])
 
-    schema = ", ".join(["path string", *[f"{n} string" for n in names], "head binary"])
+    schema = ", ".join(["path string", *[f"{n} string" for n in names], "tags map<string,string>"])
     return listing.select(F.col(path).alias("path")).mapInPandas(probe, schema)
 
 
 def file_hashes(stale: DataFrame) -> DataFrame:
     """path, sha256 of the given files only (see `reconcile.incremental_hash`)."""
-    return probe_files(stale, ("sha256",)).drop("head")
+    return probe_files(stale, ("sha256",)).drop("tags")
 
 
 def scan_media(spark: SparkSession, paths, recursive: bool = True, extensions=IMAGE_EXTENSIONS) -> DataFrame:
@@ -106,11 +111,10 @@ def scan_media(spark: SparkSession, paths, recursive: bool = True, extensions=IM
 
 
 def _header_facts(paths: pd.Series) -> pd.DataFrame:
-    """Whether a file has 16 bits per channel, and its orientation tag; from its first bytes."""
+    """Whether a file has 16 bits per channel, and its orientation tag."""
     rows = []
     for path in paths:
-        head = file_head(path)
-        found = header_tags(head)
+        head, found = file_head(path)
         png = head[:4] == b"\x89PNG" and head[24:25] == b"\x10"
         tiff = head[:4] in (b"II*\0", b"MM\0*") and found.get("bits", "").startswith("16")
         turn = found.get("orientation", "")
@@ -122,7 +126,7 @@ def load_rasters(spark: SparkSession, paths, recursive: bool = True) -> DataFram
     """Files -> path, height, width, n_channels, data (BGR), is_error, load_note, turn_tag; never fails on a file.
 
     16-bit files are marked as errors: the image source keeps only their low bytes. Depth and orientation come
-    from the head of the file in the task that decodes it; only its path goes to Python, and nothing is joined.
+    from the tags of the file in the task that decodes it; only its path goes to Python, and nothing is joined.
     """
     images = (
         spark.read.format("image")

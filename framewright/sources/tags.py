@@ -17,33 +17,70 @@ SHOT_TAGS = {0x829D: "aperture", 0x829A: "shutter", 0x8827: "iso", 0x920A: "foca
 MORE_TAGS = {0x9004: "create_date", 0xA432: "lens_spec", 0xA434: "lens_model"}
 GPS_TAGS = {1: "lat_ref", 2: "lat", 3: "lon_ref", 4: "lon"}
 SHOT_FOLDER, GPS_FOLDER = 0x8769, 0x8825
+KNOWN = {*MAIN_TAGS, *SHOT_TAGS, *MORE_TAGS, *GPS_TAGS, SHOT_FOLDER, GPS_FOLDER}
+VALUE_BYTES = 1 << 24  # a longer value of a known tag is damaged, and not read
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 TAG_NAMES = (*MAIN_TAGS.values(), *SHOT_TAGS.values(), *MORE_TAGS.values(), *GPS_TAGS.values())
 
 
-def _tiff_start(b: bytes) -> int:
+class Ranges:
+    """Reads of any place in an open file; what its first bytes hold is not read again."""
+
+    def __init__(self, stream, first: bytes):
+        self.stream, self.first, self.size = stream, first, stream.size()
+
+    def read(self, at: int, size: int) -> bytes:
+        """Fewer bytes, or none, past the end of the file."""
+        size = min(size, self.size - at)
+        if size <= 0:
+            return b""
+        if at + size <= len(self.first):
+            return self.first[at : at + size]
+        self.stream.seek(at)
+        return self.stream.read(size)
+
+
+class Whole:
+    """The same for a file that is in memory."""
+
+    def __init__(self, body: bytes):
+        self.body = body
+
+    def read(self, at: int, size: int) -> bytes:
+        return self.body[at : at + size]
+
+
+def _tiff_start(file: Ranges | Whole) -> int:
     """Offset of the TIFF header: 0 in TIFF-like files, inside APP1 in JPEG; -1 for none."""
-    if b[:4] in (b"II*\0", b"MM\0*"):
+    head = file.read(0, 4)
+    if head in (b"II*\0", b"MM\0*"):
         return 0
     at = 2
-    while b[:2] == b"\xff\xd8" and at + 4 <= len(b) and b[at] == 0xFF and b[at + 1] != 0xDA:
-        if b[at + 1] == 0xE1 and b[at + 4 : at + 10] == b"Exif\0\0":
+    while head[:2] == b"\xff\xd8":
+        b = file.read(at, 10)
+        if len(b) < 4 or b[0] != 0xFF or b[1] == 0xDA:
+            break
+        if b[1] == 0xE1 and b[4:] == b"Exif\0\0":
             return at + 10
-        at += 2 + int.from_bytes(b[at + 2 : at + 4], "big")
+        at += 2 + int.from_bytes(b[2:4], "big")
     return -1
 
 
-def _folder(b: bytes, start: int, order: str, offset: int) -> dict:
-    """Entries of one IFD as text; several numbers are joined by blanks, fractions divided."""
+def _folder(file: Ranges | Whole, start: int, order: str, offset: int) -> dict:
+    """Known entries of one IFD as text; several numbers are joined by blanks, fractions divided."""
     out = {}
-    (count,) = struct.unpack_from(order + "H", b, start + offset)
+    (count,) = struct.unpack(order + "H", file.read(start + offset, 2))
+    entries = file.read(start + offset + 2, 12 * count)
     for i in range(count):
-        entry = start + offset + 2 + 12 * i
-        tag, kind, n = struct.unpack_from(order + "HHI", b, entry)
+        tag, kind, n = struct.unpack_from(order + "HHI", entries, 12 * i)
         size = TYPE_SIZES.get(kind, 0) * n
-        at = entry + 8 if size <= 4 else start + struct.unpack_from(order + "I", b, entry + 8)[0]
-        raw = b[at : at + size]
-        if not size or len(raw) < size:
+        if tag not in KNOWN or not 0 < size <= VALUE_BYTES:
+            continue
+        if size <= 4:
+            raw = entries[12 * i + 8 : 12 * i + 8 + size]
+        else:
+            raw = file.read(start + struct.unpack_from(order + "I", entries, 12 * i + 8)[0], size)
+        if len(raw) < size:
             continue
         if kind == 2:
             out[tag] = raw.split(b"\0")[0].decode("utf-8", "replace")
@@ -55,18 +92,22 @@ def _folder(b: bytes, start: int, order: str, offset: int) -> dict:
     return out
 
 
-def header_tags(b: bytes) -> dict[str, str]:
-    """Known tags of a header; damaged parts are left out. Shot tags may also stand in the main folder."""
-    start = _tiff_start(b)
+def header_tags(body: bytes | Ranges) -> dict[str, str]:
+    """Known tags of a file; damaged parts are left out. Shot tags may also stand in the main folder.
+
+    Folders and values are followed wherever in the file they stand.
+    """
+    file = body if isinstance(body, Ranges) else Whole(body)
+    start = _tiff_start(file)
     if start < 0:
         return {}
-    order = "<" if b[start : start + 2] == b"II" else ">"
+    order = "<" if file.read(start, 2) == b"II" else ">"
     folders = [{}, {}, {}]
     try:
-        folders[0] = _folder(b, start, order, struct.unpack_from(order + "I", b, start + 4)[0])
+        folders[0] = _folder(file, start, order, struct.unpack(order + "I", file.read(start + 4, 4))[0])
         for slot, link in ((1, SHOT_FOLDER), (2, GPS_FOLDER)):
             if link in folders[0]:
-                folders[slot] = _folder(b, start, order, int(folders[0][link]))
+                folders[slot] = _folder(file, start, order, int(folders[0][link]))
     except (struct.error, ValueError):
         pass
     main, shot, gps = folders
@@ -153,8 +194,13 @@ def movie_date(stream) -> str | None:
     return None
 
 
-def metadata_records(probed: DataFrame, open_file, path="path", head="head") -> DataFrame:
-    """Paths with the head of each file -> one row per path of what `reconcile.file_metadata` asks for.
+def tag_rows(probed: DataFrame, path="path", tags="tags") -> DataFrame:
+    """Paths with the tags of each file as a map -> one row per tag found, as `extract_tags` gives."""
+    return probed.select(F.col(path).alias("path"), F.explode(tags).alias("tag", "value"))
+
+
+def metadata_records(probed: DataFrame, open_file, path="path", tags="tags") -> DataFrame:
+    """Paths with the tags of each file -> one row per path of what `reconcile.file_metadata` asks for.
 
     `open_file` opens a path for reading anywhere; it is used for movies only, whose header may stand at the end.
     """
@@ -164,8 +210,8 @@ def metadata_records(probed: DataFrame, open_file, path="path", head="head") ->
     def read(batches):
         for batch in batches:
             rows = []
-            for p, b in zip(batch["path"], batch["head"]):
-                found = header_tags(bytes(b)) if b is not None else {}
+            for p, found in zip(batch["path"], batch["tags"]):
+                found = dict(found) if found is not None else {}
                 made = None
                 if p.lower().endswith((".mp4", ".mov", ".m4v")):
                     try:
@@ -178,4 +224,4 @@ def metadata_records(probed: DataFrame, open_file, path="path", head="head") ->
             yield pd.DataFrame(rows, columns=["path", *RECORD_COLUMNS])
 
     schema = ", ".join(f"{c} string" for c in ("path", *RECORD_COLUMNS))
-    return probed.select(F.col(path).alias("path"), F.col(head).alias("head")).mapInPandas(read, schema)
+    return probed.select(F.col(path).alias("path"), F.col(tags).alias("tags")).mapInPandas(read, schema)
