@@ -27,8 +27,7 @@ from framewright.sources.shared import materialise
 
 BASE, RATE, TOP = 1.001, 20.0, 65534  # b, a and q of the sketch: registers 0..q+1 fit 16 bits
 ROWS = 5  # registers in a band
-MISSED = 1e-7  # a pair at the threshold shares no band with at most this probability
-SIGMAS = 4.5  # estimates this many standard errors under the threshold are not confirmed
+MISSED = 1e-7  # a pair at the threshold shares no band, or is estimated under the cut, with at most this probability
 BLOCK = 512  # documents of a band compared with as many others at once
 _FEW = 1 << 16
 
@@ -38,6 +37,21 @@ def bands_for(similarity: float) -> int:
     return math.ceil(math.log(MISSED) / math.log1p(-(similarity**ROWS)))
 
 
+def estimate_cut(similarity: float, bands: int) -> float:
+    """Estimate under which pairs are not confirmed: what the bands leave of MISSED at the threshold.
+
+    Of two sets of one size the estimate hangs on the number of equal registers only, which is binomial. The cut
+    lies half a register under the least number that is confirmed.
+    """
+    registers, left = bands * ROWS, MISSED - (1 - similarity**ROWS) ** bands
+    tail = same = 0
+    while True:
+        tail += math.comb(registers, same) * similarity**same * (1 - similarity) ** (registers - same)
+        if tail > left:
+            return (same - 0.5) / registers
+        same += 1
+
+
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, concatenated, and how many each has."""
     hashes, counts = word_hashes([x.lower() for x in texts])
@@ -245,7 +259,7 @@ def near_duplicates(
     spark = docs.sparkSession
     registers = ROWS * bands_for(percent / 100)
     buckets = 4 * partitions(spark)
-    least = percent / 100 - SIGMAS * math.sqrt(percent / 100 * (1 - percent / 100) / registers)
+    least = estimate_cut(percent / 100, registers // ROWS)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
