@@ -1,12 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by windows of 13 words, after relative Lempel-Ziv parsing.
 
 Every document is a reference block for those with a larger id. The index of the blocks is spread by content:
 a run of 13 words is filed under its anchor, the smallest hash of the 5-word runs in it, so
 neighbouring runs share an anchor and only one anchor in about five words is looked at in the first round.
 Round one finds the anchors that more than one document has; round two looks up the runs under those
-anchors and nothing else; then each document is parsed greedily into factors (start, length, smallest
-document that has it). Runs across the border of two factors are looked up like any other, so no
-factor ends before its time. Every task first merges what its own documents share, so a passage that a third of
+anchors and nothing else. These windows decide what is removed; factors (start, length, smallest document that
+has it) are derived from them: neighbouring windows with the same smallest holder, not the longest match in
+one reference. Runs across the border of two factors are looked up like any other. Every task first merges what its own documents share, so a passage that a third of
 the documents hold arrives once per task.
 """
 
