@@ -6,8 +6,8 @@ neighbouring runs share an anchor and only one anchor in about five words is loo
 Round one finds the anchors that more than one document has; round two looks up the runs under those
 anchors and nothing else. These windows decide what is removed; factors (start, length, smallest document that
 has it) are derived from them: neighbouring windows with the same smallest holder, not the longest match in
-one reference. Runs across the border of two factors are looked up like any other. Every task first merges what its own documents share, so a passage that a third of
-the documents hold arrives once per task.
+one reference. Runs across the border of two factors are looked up like any other. Every task first merges what
+its own documents share, so a passage that a third of the documents hold arrives once per task.
 """
 
 from __future__ import annotations
