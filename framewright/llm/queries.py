@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lines", "exact", "mixing", "secrets", "substrings", "bpe", "near", "ann", "langid", "quality")
+MODULES = ("lines", "exact", "mixing", "secrets", "substrings", "bpe", "near", "ann", "langid", "quality", "variants", "divergence", "licenses")
 
 
 def load():
