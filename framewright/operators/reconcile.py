@@ -302,7 +302,11 @@ PLAN = ("path", "size", *META, "dest_path", "status")
 
 def plan_transfer(missing: DataFrame, records: DataFrame, listing: DataFrame, plan: TransferPlan) -> DataFrame:
     """Missing files (path, size, mtime) -> metadata, destination and status 'missing' or 'present'."""
-    described = file_metadata(missing.select("path", "size", "mtime"), records)
+    return plan_described(file_metadata(missing.select("path", "size", "mtime"), records), listing, plan)
+
+
+def plan_described(described: DataFrame, listing: DataFrame, plan: TransferPlan) -> DataFrame:
+    """The same for files whose metadata is known."""
     resolved = resolve_destination(destination_request(described, plan), listing, ["path"])
     return resolved.withColumn("status", F.when(F.col("already"), "present").otherwise("missing")).select(*PLAN)
 

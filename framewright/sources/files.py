@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.functions.decode import decode_raster
 from framewright.functions.names import IMAGE_EXTENSIONS, has_extension
 from framewright.sources.tags import Ranges, header_tags
 
-# Notes of rows that cannot be measured.
+# Notes of rows that cannot be measured, or not as they are.
 NOTE_UNDECODABLE = "image could not be decoded"
-NOTE_DEPTH = "more than 8 bits per channel: load as a numeric array table"
+NOTE_DEPTH = "more than 8 bits per channel: reduced to 8"
 
 HEAD_BYTES = 1 << 18  # first read of a file, in which most have their tags; other places are sought
 READ_BYTES = 1 << 22  # read at once when a file is hashed
@@ -110,23 +111,55 @@ def scan_media(spark: SparkSession, paths, recursive: bool = True, extensions=IM
     return catalog_from_listing(listing, extensions)
 
 
+def _is_deep(head: bytes, found: dict[str, str]) -> bool:
+    """Whether a file has more than 8 bits a channel, of which the image source would keep the low ones."""
+    if head[:4] == b"\x89PNG":
+        return head[24:25] == b"\x10"
+    return head[:2] in (b"II", b"MM") and any(b.isdigit() and int(b) > 8 for b in found.get("bits", "").split())
+
+
+def _turn(found: dict[str, str]) -> int | None:
+    turn = found.get("orientation", "")
+    return int(turn) if turn.isdigit() and int(turn) else None
+
+
 def _header_facts(paths: pd.Series) -> pd.DataFrame:
-    """Whether a file has 16 bits per channel, and its orientation tag."""
-    rows = []
-    for path in paths:
-        head, found = file_head(path)
-        png = head[:4] == b"\x89PNG" and head[24:25] == b"\x10"
-        tiff = head[:4] in (b"II*\0", b"MM\0*") and found.get("bits", "").startswith("16")
-        turn = found.get("orientation", "")
-        rows.append((png or tiff, int(turn) if turn.isdigit() and int(turn) else None))
+    """Whether a file is deep, and its orientation tag."""
+    rows = [(_is_deep(head, found), _turn(found)) for head, found in map(file_head, paths)]
     return pd.DataFrame(rows, columns=["deep", "turn"]).astype({"turn": "Int32"})
 
 
+RASTER_ROWS = "path string, height int, width int, n_channels int, data binary, is_error boolean, load_note string, turn_tag int"
+
+
+def _deep_rasters(batches):
+    """Deep files among the given paths, one decoded raster at a time."""
+    for batch in batches:
+        for path in batch["path"]:
+            try:
+                with open_file(path) as stream:
+                    head = stream.read(HEAD_BYTES)
+                    file = Ranges(stream, head)
+                    found = header_tags(file)
+                    if not _is_deep(head, found):
+                        continue
+                    image = decode_raster(file)
+            except OSError:
+                continue
+            if image is None:
+                row = (path, -1, -1, -1, None, True, NOTE_UNDECODABLE, _turn(found))
+            else:
+                row = (path, *image.shape, image.tobytes(), False, NOTE_DEPTH, _turn(found))
+            frame = pd.DataFrame([row], columns=["path", *IMAGE_COLUMNS[1:], "is_error", "load_note", "turn_tag"])
+            yield frame.astype({"turn_tag": "Int32"})
+
+
 def load_rasters(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
     """Files -> path, height, width, n_channels, data (BGR), is_error, load_note, turn_tag; never fails on a file.
 
-    16-bit files are marked as errors: the image source keeps only their low bytes. Depth and orientation come
-    from the tags of the file in the task that decodes it; only its path goes to Python, and nothing is joined.
+    Files of more than 8 bits a channel (PNG, TIFF) are decoded here, as the image source keeps only their low byte, and
+    reduced to their high byte (16 bits) or stretched from their range (32 bits and floating point). Depth and
+    orientation come from the tags of the file in the task that decodes it; nothing is joined or shuffled.
     """
     images = (
         spark.read.format("image")
@@ -136,15 +169,16 @@ def load_rasters(spark: SparkSession, paths, recursive: bool = True) -> DataFram
         .select(normal_path("origin").alias("path"), "height", "width", F.col("nChannels").alias("n_channels"), "data")
         .withColumn("__facts", F.pandas_udf(_header_facts, "deep boolean, turn int")("path"))
     )
-    bad, deep = F.col("height") < 0, F.col("__facts.deep")
-    return images.select(
+    bad = F.col("height") < 0
+    shallow = images.filter(~F.col("__facts.deep")).select(
         "path",
-        *[F.when(~bad & ~deep, F.col(c)).otherwise(F.lit(-1)).alias(c) for c in ("height", "width", "n_channels")],
-        F.when(~bad & ~deep, F.col("data")).alias("data"),
-        (bad | deep).alias("is_error"),
-        F.when(bad, NOTE_UNDECODABLE).when(deep, NOTE_DEPTH).otherwise("").alias("load_note"),
+        *[F.when(~bad, F.col(c)).otherwise(F.lit(-1)).alias(c) for c in ("height", "width", "n_channels")],
+        F.when(~bad, F.col("data")).alias("data"),
+        bad.alias("is_error"),
+        F.when(bad, NOTE_UNDECODABLE).otherwise("").alias("load_note"),
         F.col("__facts.turn").alias("turn_tag"),
     )
+    return shallow.unionByName(read_files(spark, paths, recursive).select("path").mapInPandas(_deep_rasters, RASTER_ROWS))
 
 
 def content_fingerprint(files: DataFrame, content="content") -> DataFrame:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import struct
-from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.names import strip
+from framewright.sources.containers import RW2_MAGIC, Block, Header, find_blocks, jpeg_block, movie_tags, raf_model, tiff_header
 
 # Tag numbers of the Exif standard that are read, and the folders (IFDs) that hold them.
 MAIN_TAGS = {0x0102: "bits", 0x010F: "make", 0x0110: "model", 0x0112: "orientation"}
@@ -17,10 +17,14 @@ SHOT_TAGS = {0x829D: "aperture", 0x829A: "shutter", 0x8827: "iso", 0x920A: "foca
 MORE_TAGS = {0x9004: "create_date", 0xA432: "lens_spec", 0xA434: "lens_model"}
 GPS_TAGS = {1: "lat_ref", 2: "lat", 3: "lon_ref", 4: "lon"}
 SHOT_FOLDER, GPS_FOLDER = 0x8769, 0x8825
-KNOWN = {*MAIN_TAGS, *SHOT_TAGS, *MORE_TAGS, *GPS_TAGS, SHOT_FOLDER, GPS_FOLDER}
+RW2_ISO, PREVIEW = 0x0017, 0x002E  # of RW2 only
+MOVIE_DATE = "media_create_date"
+KNOWN = {*MAIN_TAGS, *SHOT_TAGS, *MORE_TAGS, *GPS_TAGS, SHOT_FOLDER, GPS_FOLDER, RW2_ISO}
 VALUE_BYTES = 1 << 24  # a longer value of a known tag is damaged, and not read
-TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
-TAG_NAMES = (*MAIN_TAGS.values(), *SHOT_TAGS.values(), *MORE_TAGS.values(), *GPS_TAGS.values())
+MOST_ENTRIES = 65_535  # of a folder; more are damage
+TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8, 13: 4, 16: 8, 18: 8}
+NUMBERS = {1: "B", 3: "H", 4: "I", 7: "B", 9: "i", 13: "I", 16: "Q", 18: "Q"}
+TAG_NAMES = (*MAIN_TAGS.values(), *SHOT_TAGS.values(), *MORE_TAGS.values(), *GPS_TAGS.values(), MOVIE_DATE)
 
 
 class Ranges:
@@ -50,36 +54,26 @@ class Whole:
         return self.body[at : at + size]
 
 
-def _tiff_start(file: Ranges | Whole) -> int:
-    """Offset of the TIFF header: 0 in TIFF-like files, inside APP1 in JPEG; -1 for none."""
-    head = file.read(0, 4)
-    if head in (b"II*\0", b"MM\0*"):
-        return 0
-    at = 2
-    while head[:2] == b"\xff\xd8":
-        b = file.read(at, 10)
-        if len(b) < 4 or b[0] != 0xFF or b[1] == 0xDA:
-            break
-        if b[1] == 0xE1 and b[4:] == b"Exif\0\0":
-            return at + 10
-        at += 2 + int.from_bytes(b[2:4], "big")
-    return -1
-
-
-def _folder(file: Ranges | Whole, start: int, order: str, offset: int) -> dict:
+def _folder(file: Ranges | Whole, start: int, header: Header, offset: int) -> dict:
     """Known entries of one IFD as text; several numbers are joined by blanks, fractions divided."""
     out = {}
-    (count,) = struct.unpack(order + "H", file.read(start + offset, 2))
-    entries = file.read(start + offset + 2, 12 * count)
-    for i in range(count):
-        tag, kind, n = struct.unpack_from(order + "HHI", entries, 12 * i)
+    order, wide = header.order, "HHQ" if header.big else "HHI"
+    entry, inline, pointer = (20, 8, "Q") if header.big else (12, 4, "I")
+    head = 8 if header.big else 2
+    (count,) = struct.unpack(order + ("Q" if header.big else "H"), file.read(start + offset, head))
+    entries = file.read(start + offset + head, entry * min(count, MOST_ENTRIES))
+    for at in range(0, len(entries) - entry + 1, entry):
+        tag, kind, n = struct.unpack_from(order + wide, entries, at)
         size = TYPE_SIZES.get(kind, 0) * n
+        value = at + entry - inline
+        if tag == PREVIEW and header.magic == RW2_MAGIC:
+            out[tag] = str(struct.unpack_from(order + pointer, entries, value)[0])
         if tag not in KNOWN or not 0 < size <= VALUE_BYTES:
             continue
-        if size <= 4:
-            raw = entries[12 * i + 8 : 12 * i + 8 + size]
+        if size <= inline:
+            raw = entries[value : value + size]
         else:
-            raw = file.read(start + struct.unpack_from(order + "I", entries, 12 * i + 8)[0], size)
+            raw = file.read(start + struct.unpack_from(order + pointer, entries, value)[0], size)
         if len(raw) < size:
             continue
         if kind == 2:
@@ -88,35 +82,51 @@ def _folder(file: Ranges | Whole, start: int, order: str, offset: int) -> dict:
             parts = struct.unpack(order + ("II" if kind == 5 else "ii") * n, raw)
             out[tag] = " ".join(repr(p / q) if q else "nan" for p, q in zip(parts[::2], parts[1::2]))
         else:
-            out[tag] = " ".join(map(str, struct.unpack(order + {1: "B", 3: "H", 4: "I", 7: "B", 9: "i"}[kind] * n, raw)))
+            out[tag] = " ".join(map(str, struct.unpack(order + NUMBERS[kind] * n, raw)))
     return out
 
 
-def header_tags(body: bytes | Ranges) -> dict[str, str]:
-    """Known tags of a file; damaged parts are left out. Shot tags may also stand in the main folder.
-
-    Folders and values are followed wherever in the file they stand.
-    """
-    file = body if isinstance(body, Ranges) else Whole(body)
-    start = _tiff_start(file)
-    if start < 0:
+def _block_tags(file: Ranges | Whole, block: Block) -> dict[str, str]:
+    """Named tags of one TIFF structure; damaged parts are left out."""
+    header = tiff_header(file, block.start)
+    if header is None:
         return {}
-    order = "<" if file.read(start, 2) == b"II" else ">"
-    folders = [{}, {}, {}]
+    folders = {"main": {}, "shot": {}, "gps": {}}
     try:
-        folders[0] = _folder(file, start, order, struct.unpack(order + "I", file.read(start + 4, 4))[0])
-        for slot, link in ((1, SHOT_FOLDER), (2, GPS_FOLDER)):
-            if link in folders[0]:
-                folders[slot] = _folder(file, start, order, int(folders[0][link]))
+        folders[block.role] = first = _folder(file, block.start, header, header.offset)
+        for role, link in (("shot", SHOT_FOLDER), ("gps", GPS_FOLDER)):
+            if link in first and role != block.role:
+                folders[role] = _folder(file, block.start, header, int(first[link]))
     except (struct.error, ValueError):
         pass
-    main, shot, gps = folders
+    main, shot, gps = folders.values()
     found = {name: main.get(tag) for tag, name in MAIN_TAGS.items()}
     found |= {name: shot.get(tag, main.get(tag)) for tag, name in (SHOT_TAGS | MORE_TAGS).items()}
     found |= {name: gps.get(tag) for tag, name in GPS_TAGS.items()}
+    if header.magic == RW2_MAGIC:
+        found["iso"] = found["iso"] or main.get(RW2_ISO)
+        preview = jpeg_block(file, block.start + int(main[PREVIEW])) if PREVIEW in main else None
+        if preview is not None:  # such files may keep the shot in their preview only
+            more = _block_tags(file, Block("main", preview))
+            found = more | {k: v for k, v in found.items() if v is not None}
     return {k: v for k, v in found.items() if v is not None}
 
 
+def header_tags(body: bytes | Ranges) -> dict[str, str]:
+    """Known tags of a file of any container in `containers`; damaged parts are left out.
+
+    Folders and values are followed wherever in the file they stand. Shot tags may also stand in the main folder.
+    A value of over 16 MB is taken as damaged and not read. Of several structures the first that has a tag gives it.
+    """
+    file = body if isinstance(body, Ranges) else Whole(body)
+    out: dict[str, str] = {}
+    for block in find_blocks(file):
+        out = _block_tags(file, block) | out
+    if "model" not in out and (name := raf_model(file)):
+        out["model"] = name
+    return movie_tags(file) | out
+
+
 def extract_tags(files: DataFrame, path="path", content="content", header_bytes: int | None = None) -> DataFrame:
     """File bytes -> one row per tag found: path, tag, value (text).
 
@@ -168,30 +178,6 @@ def normalise_metadata(tags: DataFrame) -> DataFrame:
 
 
 RECORD_COLUMNS = ("DateTimeOriginal", "CreateDate", "MediaCreateDate", "Model", "LensModel", "LensID", "LensSpec", "FocalLength")
-MOVIE_EPOCH = datetime(1904, 1, 1)  # fixed value: dates in movie headers count seconds from here
-
-
-def movie_date(stream) -> str | None:
-    """Creation day in the header of an mp4 or mov file, found by stepping over its boxes; None without one."""
-    at, end = 0, stream.size()
-    while at + 16 <= end:
-        stream.seek(at)
-        head = stream.read(16)
-        size, kind = int.from_bytes(head[:4], "big"), head[4:8]
-        start = at + (16 if size == 1 else 8)
-        size = int.from_bytes(head[8:16], "big") if size == 1 else size or end - at
-        if kind == b"moov":
-            at, end = start, at + size  # its own boxes next
-            continue
-        if kind == b"mvhd":
-            stream.seek(start)
-            body = stream.read(12)
-            seconds = int.from_bytes(body[4:12] if body[:1] == b"\1" else body[4:8], "big")
-            return str((MOVIE_EPOCH + timedelta(seconds=seconds)).date()) if 0 < seconds < 2**33 else None
-        if size < 8:
-            return None
-        at += size
-    return None
 
 
 def tag_rows(probed: DataFrame, path="path", tags="tags") -> DataFrame:
@@ -199,29 +185,18 @@ def tag_rows(probed: DataFrame, path="path", tags="tags") -> DataFrame:
     return probed.select(F.col(path).alias("path"), F.explode(tags).alias("tag", "value"))
 
 
-def metadata_records(probed: DataFrame, open_file, path="path", tags="tags") -> DataFrame:
-    """Paths with the tags of each file -> one row per path of what `reconcile.file_metadata` asks for.
-
-    `open_file` opens a path for reading anywhere; it is used for movies only, whose header may stand at the end.
-    """
-    def day(value: str | None) -> str | None:
-        return value[:10].replace(":", "-") if value else None
-
-    def read(batches):
-        for batch in batches:
-            rows = []
-            for p, found in zip(batch["path"], batch["tags"]):
-                found = dict(found) if found is not None else {}
-                made = None
-                if p.lower().endswith((".mp4", ".mov", ".m4v")):
-                    try:
-                        with open_file(p) as stream:
-                            made = movie_date(stream)
-                    except OSError:
-                        pass
-                rows.append((p, day(found.get("datetime")), day(found.get("create_date")), made, found.get("model"),
-                             found.get("lens_model"), None, found.get("lens_spec"), found.get("focal_length")))
-            yield pd.DataFrame(rows, columns=["path", *RECORD_COLUMNS])
-
-    schema = ", ".join(f"{c} string" for c in ("path", *RECORD_COLUMNS))
-    return probed.select(F.col(path).alias("path"), F.col(tags).alias("tags")).mapInPandas(read, schema)
+def metadata_records(probed: DataFrame, path="path", tags="tags") -> DataFrame:
+    """Paths with the tags of each file -> one row per path of what `reconcile.file_metadata` asks for."""
+    tag = lambda name: F.element_at(tags, name)
+    day = lambda name: F.regexp_replace(F.substring(tag(name), 1, 10), ":", "-")
+    values = {
+        "DateTimeOriginal": day("datetime"),
+        "CreateDate": day("create_date"),
+        "MediaCreateDate": day(MOVIE_DATE),
+        "Model": tag("model"),
+        "LensModel": tag("lens_model"),
+        "LensID": F.lit(None).cast("string"),
+        "LensSpec": tag("lens_spec"),
+        "FocalLength": tag("focal_length"),
+    }
+    return probed.select(F.col(path).alias("path"), *[values[c].alias(c) for c in RECORD_COLUMNS])

@@ -49,8 +49,9 @@ def test_scan_and_load(spark, shoot):
     assert loaded["flat.png"].n_channels == 1 and loaded["flat.png"].data == bytes([128]) * 96 * 128
     assert (loaded["a1.png"].height, loaded["a1.png"].width, loaded["a1.png"].n_channels) == (144, 192, 3)
     assert loaded["broken.png"].is_error and loaded["broken.png"].data is None
-    assert loaded["deep.png"].is_error and loaded["deep.png"].load_note == files.NOTE_DEPTH
-    assert loaded["deep.tif"].is_error
+    assert loaded["deep.png"].data == bytes([0x12]) * 400 and loaded["deep.png"].load_note == files.NOTE_DEPTH
+    assert loaded["deep.tif"].is_error and loaded["deep.tif"].load_note == files.NOTE_UNDECODABLE, "a header without pixels"
+    assert len(loaded) == 8 + 1, "each file once"
     assert "file:" not in loaded["a1.png"].path
 
 

@@ -41,9 +41,10 @@ def folder(request, tmp_path_factory):
     return str(root)
 
 
-def test_a_deep_tiff_is_marked(spark, folder):
+def test_a_deep_tiff_is_reduced(spark, folder):
     (row,) = files.load_rasters(spark, folder).collect()
-    assert row.is_error and row.load_note == files.NOTE_DEPTH and row.turn_tag == 6
+    assert not row.is_error and row.load_note == files.NOTE_DEPTH and row.turn_tag == 6
+    assert (row.height, row.width, row.n_channels, row.data) == (SIDE, SIDE, 1, bytes([0x12]) * SIDE * SIDE)
 
 
 def test_facts_and_records(spark, folder):
