@@ -1,14 +1,12 @@
-"""Words and runs of words as 64-bit hashes, computed for whole chunks of text with numpy."""
+"""Words and runs of words as 64-bit hashes, for whole chunks of text."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
-_PIECE = 1 << 20  # bytes hashed with one table of powers
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+WORDS_KEPT = 500_000  # hashes of words that a worker remembers
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -18,42 +16,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse; the usual length is kept."""
-    size = max(n, _PIECE * 2)
-    if size not in _tables:
-        inverse = pow(_BASE, -1, 1 << 64)
-        made = []
-        for base in (_BASE, inverse):
-            table = np.ones(size, np.uint64)
-            table[1:] = np.uint64(base)
-            made.append(np.multiply.accumulate(table))
-        if size > _PIECE * 2:
-            return made[0], made[1]
-        _tables[size] = (made[0], made[1])
-    return _tables[size]
+class _Hashes(dict):
+    """Hash of each word seen, made of all its bytes when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        self[word] = made = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return made
+
+
+_hashes = _Hashes()
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word `[^\\x20\\x09-\\x0D]+` of the texts in order, and the number of words of each text."""
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    solid = ~_BLANK[data]
-    edges = np.flatnonzero(np.diff(solid.view(np.int8), prepend=np.int8(0)))
-    starts, ends = edges[::2], edges[1::2]
-    offsets = np.cumsum([0] + [len(x) + 1 for x in texts])
-    counts = np.diff(np.searchsorted(starts, offsets))
-    out = np.empty(len(starts), np.uint64)
-    first = 0
-    while first < len(starts):
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + _PIECE)))
-        low, high = starts[first], ends[last - 1]
-        power, inverse = _powers(int(high - low))
-        total = np.zeros(high - low + 1, np.uint64)
-        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * power[: high - low], out=total[1:])
-        s, e = starts[first:last] - low, ends[first:last] - low
-        out[first:last] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
-        first = last
-    return out, counts
+    """Hash of every word `[^\\x20\\x09-\\x0D]+` of the texts in order, and the number of words of each text.
+
+    A cryptographic hash: no rule makes two words that share theirs, however long they are.
+    """
+    words = [x.split() for x in texts]
+    counts = np.array([len(w) for w in words], np.int64)
+    found = (h for w in words for h in map(_hashes.__getitem__, w))
+    return np.fromiter(found, np.uint64, int(counts.sum())), counts
 
 
 def runs(words: np.ndarray, n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
