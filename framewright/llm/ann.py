@@ -53,6 +53,12 @@ def _first(k: int, query_id: np.ndarray, vec_id: np.ndarray, score: np.ndarray)
     return order[np.arange(len(order)) - np.searchsorted(ordered, ordered) < k]
 
 
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by powers of two so that their largest component is below 1, and the powers."""
+    power = np.frexp(np.abs(x).max(1))[1]
+    return np.ldexp(x, -power[:, None]), power
+
+
 def tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest candidates of each query id of the tile, ties to the smaller id, and how many pairs of rows each is."""
     kinds = {"query_id": "int64", "vec_id": "int64", "score": "float64", "times": "int64"}
@@ -60,9 +66,13 @@ def tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFram
     if not len(queries) or not len(candidates):
         return out
     (qi, q, qn), (ci, c, cn) = _matrix(queries), _matrix(candidates)
-    q8, qs, qe, _ = quantised(q)
-    c8, cs, ce, cr = quantised(c)
-    length = np.linalg.norm(q, axis=1)
+    # Bounds are compared for one query at a time, so its own scale does not matter; the candidates' are relative to
+    # the largest of them. Nothing overflows, and what underflows is rounded the same way on both sides.
+    (qx, _), (cx, power) = scaled(q), scaled(c)
+    unit = np.ldexp(1.0, power - power.max())
+    q8, qs, qe, _ = quantised(qx)
+    c8, cs, ce, cr = quantised(cx)
+    length = np.linalg.norm(qx, axis=1)
     parts = [out]
     for s in range(0, len(qi), STRIPE):
         e = min(s + STRIPE, len(qi))
@@ -70,8 +80,8 @@ def tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFram
         # |xy - x'y'| <= |x - x'| |y'| + |x| |y - y'|, and a little for the rounding of the sums themselves
         slack = qe[s:e, None] * cr[None, :] + length[s:e, None] * (ce + 1e-12 * cr)[None, :]
         own = qi[s:e, None] == ci[None, :]
-        lower = np.where(own, -np.inf, near - slack)
-        upper = np.where(own, -np.inf, near + slack)
+        lower = np.where(own, -np.inf, (near - slack) * unit)
+        upper = np.where(own, -np.inf, (near + slack) * unit)
         least = np.full(e - s, -np.inf)
         if len(ci) > k:
             least = np.partition(lower, len(ci) - k, axis=1)[:, len(ci) - k]
