@@ -139,12 +139,11 @@ def merged_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trie, at = Trie(), None
 
     def flush():
-        reps, keep, size = [], [], []
         for _, (best, n, held) in trie.entries():
-            reps += held
-            keep += [best[1]] * len(held)
-            size += [n] * len(held)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (reps, keep, size)], ["rep", "keep_id", "group_size"])
+            for s in range(0, len(held), MEMBERS):
+                reps = held[s : s + MEMBERS]
+                columns = (reps, [best[1]] * len(reps), [n] * len(reps))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "keep_id", "group_size"])
 
     for batch in batches:
         for size, digest, key, rep, points, best, n in zip(
@@ -152,13 +151,14 @@ def merged_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ):
             if (size, digest) != at:
                 if at is not None:
-                    yield flush()
+                    yield from flush()
                 trie, at = Trie(), (size, digest)
             node = trie.slot(key)
             owner, count, held = node.entry or ((points, best), 0, [])
-            node.entry = (better(owner, (points, best)), count + n, [*held, rep])
+            held.append(rep)
+            node.entry = (better(owner, (points, best)), count + n, held)
     if at is not None:
-        yield flush()
+        yield from flush()
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
