@@ -58,7 +58,7 @@ def line_dedup(
         held.join(shared, "key")
         .filter(F.col("id") > F.col("owner"))
         .groupBy("id")
-        .agg(F.collect_list("key").alias("__drop"))
+        .agg(F.collect_set("key").alias("__drop"))  # rows that repeat an id share one list
     )
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     at = kept.index(text)
