@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,7 @@ ROUNDS, SURE, PER_ROUND = 4, 0.98, 0.05  # least confidence of a pseudo-label, a
 CALIBRATED = 5  # every fifth labelled document is for calibration
 REJECT_BELOW = 0.5
 HASHED = 64  # slots for sources and for languages
+ADDERS = 16  # tasks that add up the sums of all others
 CELLS = 4096  # confidences and hashes of ids are counted in so many cells to find the most confident
 
 _UPPER, _LOWER, _DIGIT, _SIGN, _BLANK = range(5)
@@ -234,14 +236,14 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, weight: np.ndarra
     """Fit on rows with a label (y 0 or 1), pseudo-label the `unlabelled` others, calibrate on those of `fold` 0.
 
     `weight` is how many labelled documents a row stands for; `total` adds up what a function makes of all unlabelled
-    documents. With fewer than ten documents of either class, every document gets the share of good labels (1 without labels).
+    documents. Where one class has no document at all there is nothing to tell apart, and every document is good.
     """
     good = (weight * y).sum() / weight.sum() if len(y) else 1.0
-    if min((y == 0).sum(), (y == 1).sum()) < 10:
-        good = min(max(good, 1e-6), 1 - 1e-6)
-        return Views(None, None, np.array([np.log(good / (1 - good)), 0.0, 0.0]))
+    if min((y == 0).sum(), (y == 1).sum()) == 0:
+        return Views(None, None, np.array([np.log(1e6), 0.0, 0.0]))
     held = fold == 0
-    if min((y[held] == 0).sum(), (y[held] == 1).sum()) < 3:
+    train_too = min((y[held] == 0).sum(), (y[held] == 1).sum(), (y[~held] == 0).sum(), (y[~held] == 1).sum()) == 0
+    if train_too:  # a class without a document to calibrate on, or to fit on
         held = np.ones(len(y), bool)
     train = ~held if not held.all() else held
     views, rounds = [text, meta], []
@@ -339,7 +341,7 @@ def classify(
     pool = rows.filter("y is null").select("text", "source", "lang", "size", "tie")
 
     def total(measure: Callable[[Rows], np.ndarray]) -> np.ndarray:
-        """One row of sums from each task, packed as most of them are 0; added up in the order of the tasks."""
+        """Sums of each task, packed as most of them are 0; added up by `ADDERS` tasks and then here, in the order of the tasks."""
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = None
@@ -348,9 +350,23 @@ def classify(
                 made = measure(Rows(arrays(batch.column("text").to_pylist(), *facts), batch.column("tie").to_numpy()))
                 out = made if out is None else out + made
             if out is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], ["sums"])
+                yield sums_row(TaskContext.get().partitionId(), out)
 
-        return sum(np.frombuffer(zlib.decompress(r.sums)) for r in pool.mapInArrow(part, "sums binary").collect())
+        def sums_row(task: int, sums: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())], ["task", "sums"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, out = None, None
+            for batch in batches:
+                for task, row in zip(batch.column("task").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                    made = np.frombuffer(zlib.decompress(row))
+                    first, out = (task, made) if out is None else (first, out + made)
+            if out is not None:
+                yield sums_row(first, out)
+
+        parts = pool.mapInArrow(part, "task long, sums binary")
+        added = parts.repartition(ADDERS, "task").sortWithinPartitions("task").mapInArrow(add, "task long, sums binary")
+        return sum(np.frombuffer(zlib.decompress(r.sums)) for r in sorted(added.collect()))
 
     known = pd.concat(
         [_smallest_hashes(rows.filter(F.col("y") == y), counts.get(y, 0), LABELLED).toPandas() for y in (0, 1)], ignore_index=True
