@@ -6,7 +6,10 @@ import hashlib
 
 import numpy as np
 
-WORDS_KEPT = 500_000  # hashes of words that a worker remembers
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_EIGHT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n bytes of eight
+SHORT = 15  # bytes of a word that is mixed as it is, with its length
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -16,28 +19,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    """Hash of each word seen, made of all its bytes when it is first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = made = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return made
-
-
-_hashes = _Hashes()
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word `[^\\x20\\x09-\\x0D]+` of the texts in order, and the number of words of each text.
 
-    A cryptographic hash: no rule makes two words that share theirs, however long they are.
+    The bytes of words up to SHORT bytes and their number are mixed as two numbers, so that no two words of one length
+    up to eight share a hash; longer ones have a cryptographic hash, so that no rule makes two long words that do.
     """
-    words = [x.split() for x in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    found = (h for w in words for h in map(_hashes.__getitem__, w))
-    return np.fromiter(found, np.uint64, int(counts.sum())), counts
+    data = np.frombuffer(b" ".join(texts) + b" " + bytes(16), np.uint8)
+    solid = ~_BLANK[data[:-16]]
+    edges = np.flatnonzero(np.diff(solid.view(np.int8), prepend=np.int8(0)))
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.cumsum([0] + [len(x) + 1 for x in texts])
+    counts = np.diff(np.searchsorted(starts, offsets))
+    sizes = ends - starts
+    at_each = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # the eight bytes from each place on
+    low = at_each[starts] & _EIGHT[np.minimum(sizes, 8)]
+    high = at_each[starts + np.minimum(sizes, 8)] & _EIGHT[np.clip(sizes - 8, 0, 7)] | (sizes.astype(np.uint64) << np.uint64(56))
+    out = mix(mix(low + np.uint64(0x9E3779B97F4A7C15)) ^ (mix(high) * np.uint64(0xD6E8FEB86659FD93)))
+    for i in np.flatnonzero(sizes > SHORT).tolist():
+        word = data[starts[i] : ends[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return out, counts
 
 
 def runs(words: np.ndarray, n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
