@@ -76,7 +76,7 @@ def _merged(a: np.ndarray, h: np.ndarray, d: np.ndarray, buckets: int) -> Iterat
     fresh = _firsts(a, h, d)
     a, h, d = a[fresh], h[fresh], d[fresh]
     first = _firsts(a, h)
-    yield _pack(0, h[first], a[first], h[first], d[first], buckets)  # equal runs have equal anchors, so `h` spreads a common anchor
+    yield _pack(0, a[first], a[first], h[first], d[first], buckets)
     owner = d[first][np.cumsum(first) - 1]
     if not first.all():
         yield _pack(1, d[~first], owner[~first].view(np.uint64), h[~first], d[~first], buckets)
@@ -155,7 +155,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     `factors` are (start, length, document) in words; every word that one covers is removed. A run of `words`
     words is removed where the same run also starts in a document with a smaller id, judged on the input;
-    runs are told apart by 128 bits over cryptographic hashes of their words. Null and blank texts have no words and stay empty. Rows that repeat an id are
+    runs are told apart by 128 bits, made of 64 of each word. Null and blank texts have no words and stay empty. Rows that repeat an id are
     one document; a row without an id keeps all its words and is no reference. Other columns are not returned.
     """
     spark = docs.sparkSession
