@@ -1,35 +1,43 @@
 """Nearest neighbours by a block matrix join.
 
-Queries and candidates are dealt into blocks, and every tile of one block of each is one small matrix product over
-8-bit vectors. The lengths of the rounding errors bound how far such a product can be from the true one; what can
-still be among the nearest is computed again in double precision, and the tiles' lists are merged by heaps.
-The result is exact.
+Queries and candidates are packed into blocks of 8-bit vectors with their scales and the lengths of their rounding errors,
+and only those blocks travel: every tile of one block of each is one small matrix product, whose errors the lengths
+bound. What can still be among the nearest of a query over all its tiles is computed again in double precision from
+the original vectors, and the lists are merged by heaps. The result is exact.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.base import query, table
+from framewright.llm.base import partitions, query, table
+from framewright.sources.shared import materialise
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192  # vectors; bounds what a task holds
 STRIPE = 256  # queries multiplied at once
 EXACT_SUM = 1 << 24  # integers below this are exact in single precision
+UNIT = 16  # powers of two that bounds stay below the largest number, so that sums of them do not overflow
+
+
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by powers of two so that their largest component is below 1, and the powers."""
+    power = np.frexp(np.abs(x).max(1))[1]
+    return np.ldexp(x, -power[:, None]), power
 
 
 def quantised(x: np.ndarray):
-    """8-bit vectors (as single precision), scales, lengths of the errors and of the rounded vectors."""
+    """8-bit vectors, scales, lengths of the errors and of the rounded vectors."""
     scale = np.maximum(np.abs(x).max(1) / 127, 1e-300)
     q = np.rint(x / scale[:, None])
     rounded = q * scale[:, None]
-    kind = np.float32 if x.shape[1] * 127 * 127 < EXACT_SUM else np.float64
-    return q.astype(kind), scale, np.linalg.norm(x - rounded, axis=1), np.linalg.norm(rounded, axis=1)
+    return q.astype(np.int8), scale, np.linalg.norm(x - rounded, axis=1), np.linalg.norm(rounded, axis=1)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -40,12 +48,6 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids in order, their vectors, and the rows that either stands for."""
-    order = np.argsort(pdf.id.to_numpy(), kind="stable")
-    return pdf.id.to_numpy()[order], np.stack(pdf.vector.to_list()).astype(np.float64)[order], pdf.times.to_numpy(np.int64)[order]
-
-
 def _first(k: int, query_id: np.ndarray, vec_id: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Places of the k best of each query id, in order."""
     order = np.lexsort((vec_id, -score, query_id))
@@ -53,46 +55,76 @@ def _first(k: int, query_id: np.ndarray, vec_id: np.ndarray, score: np.ndarray)
     return order[np.arange(len(order)) - np.searchsorted(ordered, ordered) < k]
 
 
-def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows divided by powers of two so that their largest component is below 1, and the powers."""
-    power = np.frexp(np.abs(x).max(1))[1]
-    return np.ldexp(x, -power[:, None]), power
+#: What a block has for each of its vectors, and the kinds of numbers: the place of its row, its id, how many equal rows it
+#: stands for, its power of two, scale, lengths of its error, of the rounded and of the scaled vector, and the 8 bits of each component.
+FIELDS = {"row": np.int64, "id": np.int64, "times": np.int64, "power": np.int64, "scale": float, "error": float, "rounded": float, "length": float, "bits": np.int8}
+PACKED = "block int, dim int, " + ", ".join(f"{c} binary" for c in FIELDS)
+PAIRS = "query_row long, query_id long, row long, vec_id long, lower double, upper double, times long"
 
 
-def tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest candidates of each query id of the tile, ties to the smaller id, and how many pairs of rows each is."""
-    kinds = {"query_id": "int64", "vec_id": "int64", "score": "float64", "times": "int64"}
-    out = pd.DataFrame({c: pd.Series(dtype=kind) for c, kind in kinds.items()})
-    if not len(queries) or not len(candidates):
-        return out
-    (qi, q, qn), (ci, c, cn) = _matrix(queries), _matrix(candidates)
-    # Bounds are compared for one query at a time, so its own scale does not matter; the candidates' are relative to
-    # the largest of them. Nothing overflows, and what underflows is rounded the same way on both sides.
-    (qx, _), (cx, power) = scaled(q), scaled(c)
-    unit = np.ldexp(1.0, power - power.max())
-    q8, qs, qe, _ = quantised(qx)
-    c8, cs, ce, cr = quantised(cx)
-    length = np.linalg.norm(qx, axis=1)
-    parts = [out]
-    for s in range(0, len(qi), STRIPE):
-        e = min(s + STRIPE, len(qi))
-        near = (q8[s:e] @ c8.T).astype(np.float64) * qs[s:e, None] * cs[None, :]
+def block_of(row: np.ndarray, ids: np.ndarray, times: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
+    """The vectors of a block without their components in full precision."""
+    x, power = scaled(vectors)
+    bits, scale, error, rounded = quantised(x)
+    values = (row, ids, times, power, scale, error, rounded, np.linalg.norm(x, axis=1), bits)
+    return {c: np.ascontiguousarray(v, kind) for (c, kind), v in zip(FIELDS.items(), values, strict=True)}
+
+
+def tile(queries: dict[str, np.ndarray], candidates: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
+    """Pairs of a query and a candidate that may be among the query's k nearest of this tile, with bounds of their product.
+
+    A query's own scale is left out, so bounds are for comparing the candidates of one query only. What overflows
+    nowhere may underflow, but is rounded the same way on both sides.
+    """
+    q, c = queries, candidates
+    parts = []
+    kind = np.float32 if q["bits"].shape[1] * 127 * 127 < EXACT_SUM else np.float64
+    right, unit = c["bits"].astype(kind).T, np.ldexp(1.0, c["power"] - UNIT)
+    for s in range(0, len(q["id"]), STRIPE):
+        e = min(s + STRIPE, len(q["id"]))
+        near = (q["bits"][s:e].astype(kind) @ right).astype(np.float64) * q["scale"][s:e, None] * c["scale"]
         # |xy - x'y'| <= |x - x'| |y'| + |x| |y - y'|, and a little for the rounding of the sums themselves
-        slack = qe[s:e, None] * cr[None, :] + length[s:e, None] * (ce + 1e-12 * cr)[None, :]
-        own = qi[s:e, None] == ci[None, :]
+        slack = q["error"][s:e, None] * c["rounded"] + q["length"][s:e, None] * (c["error"] + 1e-12 * c["rounded"])
+        own = q["id"][s:e, None] == c["id"][None, :]
         lower = np.where(own, -np.inf, (near - slack) * unit)
         upper = np.where(own, -np.inf, (near + slack) * unit)
         least = np.full(e - s, -np.inf)
-        if len(ci) > k:
-            least = np.partition(lower, len(ci) - k, axis=1)[:, len(ci) - k]
-        row, column = np.nonzero((upper >= least[:, None]) & ~own)
-        score = products(q[s:e][row], c[column])
-        best = _first(k, qi[s:e][row], ci[column], score)
-        row, column, score = row[best], column[best], score[best]
-        times = np.minimum(qn[s:e][row] * cn[column], k)  # a list has no place for more
-        parts.append(pd.DataFrame({"query_id": qi[s:e][row], "vec_id": ci[column], "score": score, "times": times}))
-    out = pd.concat(parts, ignore_index=True)
-    return out.iloc[_first(k, out.query_id.to_numpy(), out.vec_id.to_numpy(), out.score.to_numpy())]
+        if len(c["id"]) > k:
+            least = np.partition(lower, len(c["id"]) - k, axis=1)[:, len(c["id"]) - k]
+        i, j = np.nonzero((upper >= least[:, None]) & ~own)
+        parts.append((q["row"][s + i], q["id"][s + i], c["row"][j], c["id"][j], lower[i, j], upper[i, j], np.minimum(q["times"][s + i] * c["times"][j], k)))
+    names = [x.split()[0] for x in PAIRS.split(", ")]
+    return {n: np.concatenate(x) for n, x in zip(names, zip(*parts, strict=True), strict=True)}
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Rows in pieces that hold all rows of each of their keys; they come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = [batch.column(c)[batch.num_rows - 1] for c in keys]
+        same = np.logical_and.reduce([np.asarray(pa.compute.equal(batch.column(c), x)) for c, x in zip(keys, last, strict=True)])
+        start = int(np.argmax(same))
+        if start or (held and [held[-1].column(c)[held[-1].num_rows - 1] for c in keys] != last):
+            yield pa.Table.from_batches([*held, batch.slice(0, start)], batch.schema)
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of vectors to one row for each block."""
+    for piece in _whole_groups(batches, "block", "dim"):
+        blocks, dims = (piece.column(c).to_numpy() for c in ("block", "dim"))
+        cuts = np.flatnonzero((np.diff(blocks, prepend=-1) != 0) | (np.diff(dims, prepend=-1) != 0)).tolist()
+        for s, e in zip(cuts, [*cuts[1:], len(blocks)], strict=True):
+            part = piece.slice(s, e - s)
+            vectors = part.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(e - s, -1)
+            made = block_of(*(part.column(c).to_numpy() for c in ("row", "id", "times")), vectors.astype(np.float64))
+            cells = [pa.array([x.tobytes()], pa.binary()) for x in made.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([blocks[s]], pa.int32()), pa.array([dims[s]], pa.int32()), *cells], ["block", "dim", *FIELDS])
 
 
 def nearest(
@@ -109,13 +141,13 @@ def nearest(
     no part, and vectors meet only those of their own length. Ties go to the smaller id. With `every_row`, every row is
     a candidate and every asking row asks, however often its id or its vector is repeated: a query id has one list over
     all its rows. Without it, rows that repeat an id (and a length) count once, with the smallest of their vectors, and
-    ask if one of them does. With fewer than k candidates all are returned; an empty table gives no rows.
+    ask if one of them does. With fewer than k candidates all are returned; an empty table gives no rows. Vectors may be of any
+    magnitude; a product that is no finite number has that value, or none (null) where infinities cancel out.
     """
     bad = F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(
         F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("vector"), F.size(vector).alias("dim"), is_query.alias("asks"), bad.alias("bad")
     ).filter("id is not null and vector is not null and not bad and exists(vector, x -> x <> 0)")
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asking")).first()
     if every_row:
         # Only equal rows are combined, and counted: many rows of one id are dealt to all blocks.
         rows = rows.groupBy("id", "dim", "vector").agg(F.count(F.lit(1)).alias("there"), F.count_if("asks").alias("asking"))
@@ -124,45 +156,88 @@ def nearest(
         rows = rows.groupBy("id", "dim").agg(
             F.min("vector").alias("vector"), F.lit(1).cast("long").alias("there"), F.bool_or("asks").cast("long").alias("asking")
         )
+    exact = F.transform("vector", lambda x: x.cast("double"))
+    rows = rows.select("id", "dim", exact.alias("vector"), "there", "asking", F.monotonically_increasing_id().alias("row"))
+    rows = materialise(rows, "vectors")
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("asking") > 0).alias("asking")).first()
     across = max(1, math.ceil(counts["asking"] / QUERY_BLOCK))
     down = max(1, math.ceil(counts["n"] / CANDIDATE_BLOCK))
+    deals = partitions(vectors.sparkSession)
 
-    def dealt(df: DataFrame, times: str, own: str, n: int, other: str, m: int) -> DataFrame:
-        """Rows in their own block, once for each block of the other side."""
-        block = F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
-        others = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        return df.select("id", "vector", "dim", F.col(times).alias("times"), block.alias(own), others.alias(other))
+    def packed(df: DataFrame, times: str, n: int, own: str, other: str, m: int) -> DataFrame:
+        """The blocks of one side, each once for every block of the other."""
+        block = F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("block")
+        dealt = df.select("row", "id", "dim", "vector", F.col(times).alias("times"), block).repartition(deals, "block", "dim")
+        blocks = materialise(dealt.sortWithinPartitions("block", "dim", "row").mapInArrow(_pack, PACKED), "blocks")
+        copies = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(f"{own}_{other}")
+        renamed = [F.col(c).alias(f"{own}_{c}") for c in FIELDS]
+        return blocks.select(F.col("block").alias(f"{own}_{own}"), copies, F.col("dim").alias(f"{own}_dim"), *renamed)
 
-    asked = dealt(rows.filter("asking > 0"), "asking", "q", across, "c", down).withColumn("asks", F.lit(True))
-    there = dealt(rows, "there", "c", down, "q", across).withColumn("asks", F.lit(False))
+    asked = packed(rows.filter("asking > 0"), "asking", across, "q", "c", down)
+    there = packed(rows, "there", down, "c", "q", across)
+    meeting = (F.col("q_q") == F.col("c_q")) & (F.col("q_c") == F.col("c_c")) & (F.col("q_dim") == F.col("c_dim"))
+    tiles = asked.join(there, meeting).repartition(deals, "q_q", "q_c", "q_dim")
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        return tile(pdf[pdf.asks], pdf[~pdf.asks], k).assign(q=pdf.q.iat[0])
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                dim = batch.column("q_dim")[at].as_py()
+                sides = []
+                for side in "qc":
+                    one = {c: np.frombuffer(batch.column(f"{side}_{c}")[at].as_py(), kind) for c, kind in FIELDS.items()}
+                    sides.append(one | {"bits": one["bits"].reshape(-1, dim)})
+                found = tile(*sides, k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found.values()], list(found))
 
-    lists = "query_id long, vec_id long, score double, times long, q int"
-    tiles = asked.unionByName(there).groupBy("q", "c", "dim").applyInPandas(split, lists)
+    def still_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of all tiles of a query: the pairs whose upper bound reaches the k-th largest lower one."""
+        for piece in _whole_groups(batches, "query_row"):
+            row, lower = piece.column("query_row").to_numpy(), piece.column("lower").to_numpy()
+            order = np.lexsort((-lower, row))
+            starts = np.flatnonzero(np.diff(row[order], prepend=-1))
+            sizes = np.diff([*starts, len(row)])
+            least = np.where(sizes >= k, lower[order][np.minimum(starts + k, len(row)) - 1], -np.inf)
+            group = np.empty(len(row), np.int64)
+            group[order] = np.repeat(np.arange(len(starts)), sizes)
+            kept = piece.column("upper").to_numpy() >= least[group]
+            yield from piece.filter(pa.array(kept)).select(["query_row", "query_id", "row", "vec_id", "times"]).combine_chunks().to_batches()
 
-    def shorten(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The k best of a query id in one block of queries: many rows of one id meet in short lists only."""
-        return pdf.iloc[_first(k, pdf.query_id.to_numpy(), pdf.vec_id.to_numpy(), pdf.score.to_numpy())]
+    pairs = tiles.mapInArrow(multiply, PAIRS).repartition(deals, "query_row").sortWithinPartitions("query_row")
+    pairs = pairs.mapInArrow(still_near, "query_row long, query_id long, row long, vec_id long, times long")
+    left = rows.select(F.col("row").alias("query_row"), F.col("vector").alias("x"))
+    both = pairs.join(rows.select("row", F.col("vector").alias("y")), "row").join(left, "query_row").select("query_id", "vec_id", "times", "x", "y")
+    lists = "query_id long, vec_id long, score double, times long"
 
-    if every_row:
-        tiles = tiles.groupBy("query_id", "q").applyInPandas(shorten, lists)
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One heap over the lists of a query's tiles: at most k rows from each."""
-        best = heapq.nsmallest(k, zip(-pdf.score, pdf.vec_id, pdf.times, strict=True))
-        best = [(s, i) for s, i, n in best for _ in range(n)][:k]
-        return pd.DataFrame(
-            {
-                "query_id": pdf.query_id.iat[0],
-                "rank": np.arange(1, len(best) + 1, dtype=np.int32),
-                "vec_id": [i for _, i in best],
-                "score": [-s for s, _ in best],
-            }
-        )
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Products of the original vectors; of those at hand the k best of a query."""
+        for batch in batches:
+            sizes = np.asarray(pa.compute.list_value_length(batch.column("x")))
+            for dim in np.unique(sizes):
+                part = batch.filter(pa.array(sizes == dim))
+                x, y = (part.column(c).flatten().to_numpy().reshape(-1, dim) for c in ("x", "y"))
+                with np.errstate(over="ignore", invalid="ignore"):
+                    value = products(x, y)
+                ids, others, times = (part.column(c).to_numpy() for c in ("query_id", "vec_id", "times"))
+                best = _first(k, ids, others, value)
+                yield pa.RecordBatch.from_arrays([pa.array(c[best]) for c in (ids, others, value, times)], ["query_id", "vec_id", "score", "times"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One heap over the lists of a query."""
+        for piece in _whole_groups(batches, "query_id"):
+            ids = piece.column("query_id").to_numpy()
+            others, scores, times = (piece.column(c).to_pylist() for c in ("vec_id", "score", "times"))
+            cuts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)).tolist()
+            out: list[tuple] = []
+            for s, e in zip(cuts, [*cuts[1:], len(ids)], strict=True):
+                best = heapq.nsmallest(k, ((np.isnan(v), -v, i, n) for v, i, n in zip(scores[s:e], others[s:e], times[s:e], strict=True)))
+                best = [(i, -v) for _, v, i, n in best for _ in range(n)][:k]
+                out += [(int(ids[s]), rank, i, None if np.isnan(v) else v) for rank, (i, v) in enumerate(best, 1)]
+            kinds = (("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64()))
+            columns = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
 
-    return tiles.groupBy("query_id").applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
+    scored = both.mapInArrow(score, lists).repartition(deals, "query_id").sortWithinPartitions("query_id")
+    return scored.mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
 
 
 @query(
