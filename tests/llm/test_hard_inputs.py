@@ -9,13 +9,14 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.llm import substrings
-from framewright.llm.ann import nearest, tile
+from framewright.llm import ann
+from framewright.llm.ann import nearest
 from framewright.llm.lines import line_dedup
 from framewright.llm.near import near_duplicates
 from framewright.llm.quality import classify
 from framewright.llm.secrets import find_secrets
 from framewright.llm.substrings import substring_dedup
+from framewright.llm.words import word_hashes
 
 HEX = "0123456789abcdef"
 ALPHABETS = {
@@ -46,11 +47,19 @@ def test_words_built_to_share_a_hash(docs, by_id):
     assert [got[i].component_id for i in (1, 2, 3, 4)] == [1, 2, 3, 4]
 
 
-def test_runs_around_one_common_anchor_are_spread():
-    rng = np.random.default_rng(1)
-    a, h, d = np.full(5000, 7, np.uint64), rng.integers(0, 2**63, 5000).astype(np.uint64), np.arange(5000)
-    (packed,) = substrings._merged(a, h, d, 64)
-    assert packed.num_rows == 64 and max(len(x) for x in packed.column("h").to_pylist()) < 8 * 200
+def test_hashes_of_words():
+    """Against one word at a time; words of up to eight bytes never share a hash, blanks of all kinds part them."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijkl\u00e9\u65e5", k=rng.randint(1, 24))) for _ in range(5000)] + ["a" * n for n in range(1, 40)]
+    words += [w + "\0" for w in words[:50]]
+    texts = [" ".join(words[:2000]), "", "\t\n\x0b\x0c\r ", "\r\n".join(words[2000:])]
+    found, counts = word_hashes([t.encode() for t in texts])
+    assert counts.tolist() == [2000, 0, 0, len(words) - 2000]
+    alone = [int(word_hashes([w.encode()])[0][0]) for w in words]
+    assert found.tolist() == alone and len(set(alone)) == len(set(words))
+    assert len(word_hashes([])[0]) == len(word_hashes([b""])[0]) == 0
+    many = np.unique(word_hashes([" ".join(map(str, range(300_000))).encode()])[0])
+    assert len(many) == 300_000
 
 
 @pytest.mark.parametrize("power", [-160, -40, 0, 100, 160])
@@ -72,19 +81,35 @@ def test_nearest_of_large_and_tiny_vectors(spark, power):
             assert [v for _, v, _ in mine] == order
 
 
-def test_nearest_of_mixed_magnitudes():
-    import pandas as pd
-
+def test_nearest_of_mixed_magnitudes(spark, monkeypatch):
+    """Candidates of all magnitudes in several blocks, against all products."""
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(ann, "CANDIDATE_BLOCK", 30)
     rng = np.random.default_rng(9)
     x = rng.normal(size=(200, 6)) * 10.0 ** rng.integers(-140, 140, (200, 1)).astype(float)
-    frame = lambda rows: pd.DataFrame({"id": rows, "vector": list(x[rows]), "times": 1})
-    got = tile(frame(np.arange(0, 200, 10)), frame(np.arange(200)), 20)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(df, F.col("vec_id") % 10 == 0, k=20).collect()
+    assert len(got) == 400
     for q in range(0, 200, 10):
         score = np.zeros(200)
         for k in range(6):
             score += x[q, k] * x[:, k]
         order = sorted((i for i in range(200) if i != q), key=lambda i: (-score[i], i))[:20]
-        assert got[got.query_id == q].vec_id.tolist() == order
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == order
+
+
+def test_bounds_hold():
+    """The true product lies between the bounds, in the unit of the query, and nothing of the nearest is left out."""
+    rng = np.random.default_rng(10)
+    x, y = rng.normal(size=(40, 16)), rng.normal(size=(300, 16)) * 2.0 ** rng.integers(-6, 6, (300, 1))
+    ones = lambda n: np.ones(n, np.int64)
+    q, c = ann.block_of(np.arange(40), np.arange(1000, 1040), ones(40), x), ann.block_of(np.arange(300), np.arange(300), ones(300), y)
+    got = ann.tile(q, c, 10)
+    true = (x @ y.T)[got["query_row"], got["row"]] * np.ldexp(1.0, -q["power"][got["query_row"]] - ann.UNIT)
+    assert (got["lower"] <= true + 1e-18).all() and (true <= got["upper"] + 1e-18).all()
+    kept = set(zip(got["query_row"].tolist(), got["row"].tolist(), strict=True))
+    assert all((i, j) in kept for i in range(40) for j in np.argsort(-(x @ y.T)[i])[:10].tolist())
+    assert len(kept) < 40 * 40 and q["bits"].dtype == np.int8
 
 
 @pytest.mark.parametrize("length", [20, 24, 32, 40])
