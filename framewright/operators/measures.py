@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.config import DEFAULTS, QualityParams
+from framewright.functions import features as ft
 from framewright.functions import photometry as ph
 from framewright.functions import pixels as px
 from framewright.functions import scoring as sc
@@ -48,6 +49,12 @@ PIXEL_STATS: tuple[tuple[str, T.DataType], ...] = (
 )
 
 
+#: What `functions.features` finds in an image, packed in one row.
+FEATURE_TYPES = tuple(
+    (name, T.BinaryType() if name == "descriptors" else T.ArrayType(T.FloatType())) for name in ft.FEATURES
+)
+
+
 # Which part of the pixel pass each measure needs; parts nobody asks for are not computed.
 PARTS = {
     "laplacian_variance": ("laplacian",),
@@ -91,6 +98,8 @@ def _measure(bgr: np.ndarray, parts: set[str], p: QualityParams) -> dict:
     bgr = px.area_downsample(bgr, p.analysis_dim)
     green = np.ascontiguousarray(bgr[:, :, 1])
     out = {"is_error": False, "stat_height": green.shape[0], "stat_width": green.shape[1]}
+    if "keypoints" in parts:
+        out |= ft.packed_keypoints(green, p.sift_n_features)
     if "histograms" in parts:
         for name, channel in (("blue", 0), ("green", 1), ("red", 2)):
             out[f"cdf_{name}"] = px.cumulative_counts(bgr[:, :, channel])
@@ -129,18 +138,19 @@ def _measure(bgr: np.ndarray, parts: set[str], p: QualityParams) -> dict:
 
 
 def pixel_stats(
-    df: DataFrame, carry: list[str], orientation: str | None = None, p: QualityParams = DEFAULTS, wanted=MEASURES
+    df: DataFrame, carry: list[str], orientation: str | None = None, p: QualityParams = DEFAULTS, wanted=MEASURES, keypoints: bool = False
 ) -> DataFrame:
-    """Rasters (columns height, width, n_channels, data) -> carried columns and PIXEL_STATS.
+    """Rasters (columns height, width, n_channels, data) -> carried columns and PIXEL_STATS, with `keypoints` also FEATURE_TYPES.
 
     Rows without pixels become error rows. The pixels are dropped in the same stage.
     """
-    parts = _needed_parts(wanted, p)
+    parts = _needed_parts(wanted, p) | ({"keypoints"} if keypoints else set())
+    made = PIXEL_STATS + (FEATURE_TYPES if keypoints else ())
     columns = [*carry, *RASTER] + ([orientation] if orientation else [])
     schema = T.StructType(
-        [df.schema[c] for c in carry] + [T.StructField(name, kind) for name, kind in PIXEL_STATS]
+        [df.schema[c] for c in carry] + [T.StructField(name, kind) for name, kind in made]
     )
-    names = [name for name, _ in PIXEL_STATS]
+    names = [name for name, _ in made]
 
     def one_pass(batches):
         for batch in batches:

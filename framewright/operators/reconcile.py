@@ -227,6 +227,9 @@ def build_name(stem: Column, plan: TransferPlan) -> Column:
     return F.when(name == "", stem).otherwise(name)
 
 
+_TARGET = ["__folder", "__stem", "__suffix"]
+
+
 def collision_number(
     requests: DataFrame, taken: DataFrame, order: list[str], number="number", settled: str | None = None
 ) -> DataFrame:
@@ -234,38 +237,51 @@ def collision_number(
 
     Requests count up from 0 in `order`; numbers whose name already exists in `taken` (folder, stem,
     suffix), or which another row asks for as its own natural name, are skipped. Names compare without
-    case. A popular name does not end in one task: both counts run in range-partitioned chunks.
-    Rows whose boolean column `settled` is true keep number 0 and take no part.
+    case. Rows whose boolean column `settled` is true keep number 0 and take no part.
+
+    Only rows that clash are ordered: a target with one request and no file keeps number 0, which one count of
+    the targets tells. A popular name does not end in one task: its rows are numbered in range-partitioned chunks.
     """
-    key = ["__folder", "__stem", "__suffix"]
-    lowered = lambda df: df.withColumns({k: F.lower(F.col(k.strip("_"))) for k in key})
-    asked, on_disk = lowered(requests), lowered(taken)
-    # A name 'x_3' occupies number 3 of 'x'; a name on disk also occupies number 0 of itself.
+    lowered = lambda df: df.withColumns({k: F.lower(F.col(k.strip("_"))) for k in _TARGET})
+    columns = requests.columns
+    asked, on_disk = lowered(requests), lowered(taken).select(*_TARGET)
+    active = F.lit(True) if settled is None else ~F.coalesce(F.col(settled), F.lit(False))
+    wanted = asked.filter(active).select(*_TARGET, F.lit(1).alias("__asks"), F.lit(0).alias("__there"))
+    there = on_disk.select(*_TARGET, F.lit(0).alias("__asks"), F.lit(1).alias("__there"))
+    totals = wanted.unionByName(there).groupBy(*_TARGET).agg(F.sum("__asks").alias("__asks"), F.max("__there").alias("__there"))
+    clashing = totals.filter("__asks > 1 or (__asks = 1 and __there = 1)").select(*_TARGET, F.lit(True).alias("__clash"))
+    marked = asked.withColumn("__active", active).join(clashing, _TARGET, "left")
+    contested = F.coalesce(F.col("__clash"), F.lit(False)) & F.col("__active")
+    easy = marked.filter(~contested).select(*columns, F.lit(0).cast("bigint").alias(number))
+    hard = marked.filter(contested).select(*columns, *_TARGET)
+    occupied = _occupied(asked.select(*_TARGET), on_disk).join(clashing.drop("__clash"), _TARGET, "left_semi")
+    return _numbered(hard, occupied, columns, order, number).unionByName(easy)
+
+
+def _occupied(asked: DataFrame, on_disk: DataFrame) -> DataFrame:
+    """Numbers of targets that are taken: a name 'x_3' occupies number 3 of 'x', a name on disk also number 0 of itself."""
     base, digits = (F.regexp_extract("__stem", r"^(.+)_([1-9][0-9]{0,17})$", i) for i in (1, 2))
     numbered = lambda df: df.filter(digits != "").select(
         "__folder", base.alias("__stem"), "__suffix", digits.cast("bigint").alias("__at")
     )
-    occupied = (
-        numbered(asked)
-        .unionAll(numbered(on_disk))
-        .unionAll(on_disk.select(*key, F.lit(0).cast("bigint").alias("__at")))
-        .distinct()
-    )
-    columns = requests.columns
-    none = lambda c: F.lit(None).cast(requests.schema[c].dataType).alias(c)
-    kind = F.lit(1) if settled is None else F.when(F.col(settled), 2).otherwise(1)
-    lined_up = asked.select(*columns, *key, kind.alias("__kind"), F.lit(0).cast("bigint").alias("__at")).unionByName(
-        occupied.select(*[none(c) for c in columns], *key, F.lit(0).alias("__kind"), "__at")
+    itself = on_disk.select(*_TARGET, F.lit(0).cast("bigint").alias("__at"))
+    return numbered(asked).unionAll(numbered(on_disk)).unionAll(itself).distinct()
+
+
+def _numbered(asked: DataFrame, occupied: DataFrame, columns: list[str], order: list[str], number: str) -> DataFrame:
+    """The requests with the free numbers of their target, in order."""
+    none = lambda c: F.lit(None).cast(asked.schema[c].dataType).alias(c)
+    lined_up = asked.select(*columns, *_TARGET, F.lit(1).alias("__kind"), F.lit(0).cast("bigint").alias("__at")).unionByName(
+        occupied.select(*[none(c) for c in columns], *_TARGET, F.lit(0).alias("__kind"), "__at")
     )
-    ranked = with_running_total(lined_up, [*key, "__kind"], ["__at", *order], F.lit(1).cast("bigint"), "__rank")
+    ranked = with_running_total(lined_up, [*_TARGET, "__kind"], ["__at", *order], F.lit(1).cast("bigint"), "__rank")
     # The i-th occupied number t leaves t - i free numbers below it: it pushes up every request from there on.
     placed = ranked.withColumn(
         "__place", F.when(F.col("__kind") == 0, F.col("__at") - F.col("__rank") + 1).otherwise(F.col("__rank") - 1)
     )
     pushes = F.when(F.col("__kind") == 0, 1).otherwise(0)
-    pushed = with_running_total(placed, key, ["__place", "__kind", "__at", *order], pushes, "__pushed")
-    free = F.when(F.col("__kind") == 1, F.col("__place") + F.col("__pushed")).otherwise(0)
-    return pushed.filter("__kind > 0").select(*columns, free.alias(number))
+    pushed = with_running_total(placed, _TARGET, ["__place", "__kind", "__at", *order], pushes, "__pushed")
+    return pushed.filter("__kind = 1").select(*columns, (F.col("__place") + F.col("__pushed")).alias(number))
 
 
 def resolve_destination(requests: DataFrame, listing: DataFrame, order: list[str]) -> DataFrame:

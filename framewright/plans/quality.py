@@ -13,12 +13,14 @@ from framewright.sources import files, tags
 from framewright.sources.shared import materialise
 
 
-def quality_rows(
-    rasters: DataFrame, carry: list[str], meta: DataFrame | None = None, orientation: str | None = None, p: QualityParams = DEFAULTS
+WANTED = ("blocks", *measures.MEASURES)
+
+
+def image_stats(
+    rasters: DataFrame, carry: list[str], orientation: str | None = None, p: QualityParams = DEFAULTS, keypoints: bool = False
 ) -> DataFrame:
-    """Rasters -> full result rows, one per image.
+    """The one pass over the pixels: carried columns, visible size and statistics of each image, with its keypoints if wanted.
 
-    `meta` (path, exif, md5, file_size, ...) is joined after the pixel stage, so only narrow rows travel.
     `orientation` names a raster column with the tag 1-8 (NULL counts as upright).
     """
     if orientation:
@@ -26,8 +28,14 @@ def quality_rows(
     else:
         width, height = F.col("width"), F.col("height")
     sized = rasters.withColumns({"shown_w": width, "shown_h": height})
-    wanted = ("blocks", *measures.MEASURES)
-    measured = measures.image_measures(sized, [*carry, "shown_w", "shown_h"], orientation, p, wanted)
+    return measures.pixel_stats(sized, [*carry, "shown_w", "shown_h"], orientation, p, WANTED, keypoints)
+
+
+def rows_of_stats(stats: DataFrame, carry: list[str], meta: DataFrame | None = None, p: QualityParams = DEFAULTS) -> DataFrame:
+    """Statistics of images -> full result rows. `meta` (path, exif, md5, file_size, ...) is joined here, to narrow rows only."""
+    measured = measures.derive_measures(stats, p, WANTED).select(
+        *carry, "shown_w", "shown_h", "is_error", "stat_height", "stat_width", *WANTED
+    )
     described = measured if meta is None else measured.join(meta, "path")
     if "exif" not in described.columns:
         described = described.withColumn("exif", F.lit(None).cast(EXIF))
@@ -35,6 +43,13 @@ def quality_rows(
     return with_missing_defaults(with_error_defaults(scored.drop("blocks", "stat_height", "stat_width")))
 
 
+def quality_rows(
+    rasters: DataFrame, carry: list[str], meta: DataFrame | None = None, orientation: str | None = None, p: QualityParams = DEFAULTS
+) -> DataFrame:
+    """Rasters -> full result rows, one per image."""
+    return rows_of_stats(image_stats(rasters, carry, orientation, p), carry, meta, p)
+
+
 def set_run(results: DataFrame, set_cols: list[str], p: QualityParams = DEFAULTS) -> DataFrame:
     """Result rows -> the same rows with duplicates and drift flags of their set."""
     flat = results.withColumns({"exif_iso": F.col("exif.iso"), "exif_aperture": F.col("exif.aperture")})
@@ -54,15 +69,18 @@ def file_facts(spark: SparkSession, paths, extensions=IMAGE_EXTENSIONS) -> DataF
 def quality_run(spark: SparkSession, paths, p: QualityParams = DEFAULTS, with_overlap: bool = False) -> DataFrame:
     """Files and folders -> checked result rows of one capture set.
 
-    Facts and measured rows are written to the shared folder: the set stage reads them several times
-    and must not decode an image again. Pixels are never shuffled or joined.
+    Each image is decoded once: its statistics and keypoints are written to the shared folder by one stage, and later
+    ones read the columns that they need. Only images of pairs that hardly match are decoded again, for the second detector.
     """
     facts = materialise(file_facts(spark, paths), "facts")
     pictures = files.load_rasters(spark, paths).drop("is_error")
-    rows = quality_rows(pictures, ["path", "load_note"], facts, "turn_tag", p).withColumn("set_id", F.lit(0))
-    rows = materialise(rows, "rows")
+    with_overlap = with_overlap and p.overlap_check
+    carry = ["path", "load_note"]
+    stats = materialise(image_stats(pictures, carry, "turn_tag", p, keypoints=with_overlap), "stats")
+    rows = materialise(rows_of_stats(stats, carry, facts, p).withColumn("set_id", F.lit(0)), "rows")
     checked = set_run(rows, ["set_id"], p)
-    if not (with_overlap and p.overlap_check):
+    if not with_overlap:
         return checked
     pairs = overlap.sequence_pairs(rows, ["set_id"], ["path"], is_error="is_error")
-    return overlap.attach_overlap(checked, overlap.pair_overlap(pairs, pictures, "path", p))
+    found = overlap.matched_overlap(pairs, overlap.features_of_stats(stats), pictures, orientation="turn_tag", p=p)
+    return overlap.attach_overlap(checked, found)

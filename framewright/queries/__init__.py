@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scores", "rasters", "sets", "reports", "files", "pairing", "inputs", "containers", "snapshots", "deep")
+MODULES = ("scores", "rasters", "sets", "reports", "files", "pairing", "inputs", "containers", "snapshots", "deep", "blobs")
 
 
 def load():

@@ -15,7 +15,9 @@ from framewright.sources import snapshots
 from framewright.sources.shared import shared_folder
 from framewright.streaming import continuous
 
-IDENT = F.regexp_extract("path", r"/([0-9]+)/[^/]*$", 1).cast("bigint")
+def ident():
+    """The document that a path of the tree stands for."""
+    return F.regexp_extract("path", r"/([0-9]+)/[^/]*$", 1).cast("bigint")
 
 
 @query(
@@ -27,9 +29,9 @@ def s9_snapshots(spark, sf):
     """A tree is written, then what a scan finds new, changed and deleted is applied; a reader of the first snapshot keeps it."""
     store = backup.tree_store(shared_folder(spark, "store"), "k1", "backup")
     everything = tree(spark, sf).withColumn("mtime", F.timestamp_seconds("mtime"))
-    first = snapshots.apply_changes(spark, store, everything.filter(IDENT % 5 != 0))
+    first = snapshots.apply_changes(spark, store, everything.filter(ident() % 5 != 0))
     before = snapshots.read(spark, store)
-    scan = everything.filter(IDENT % 7 != 0).withColumn("size", F.col("size") + F.when(IDENT % 3 == 0, 1).otherwise(0))
+    scan = everything.filter(ident() % 7 != 0).withColumn("size", F.col("size") + F.when(ident() % 3 == 0, 1).otherwise(0))
     changes = rc.sync_index(scan, before).filter("change <> 'same'")
     second = snapshots.apply_changes(spark, store, changes, deleted=F.col("change") == "deleted")
     rows = [snapshots.read(spark, store, m).withColumn("version", F.lit(m.version)) for m in (first, second)]

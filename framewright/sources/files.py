@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from framewright.functions.decode import decode_raster
 from framewright.functions.names import IMAGE_EXTENSIONS, has_extension
 from framewright.sources.tags import Ranges, header_tags
+from framewright.sources.walk import is_known, walk
 
 # Notes of rows that cannot be measured, or not as they are.
 NOTE_UNDECODABLE = "image could not be decoded"
@@ -28,12 +29,15 @@ def normal_path(path) -> Column:
     return F.regexp_replace(c, "^file:/+", "/")
 
 
-def catalog_from_listing(listing: DataFrame, extensions=IMAGE_EXTENSIONS, path="path") -> DataFrame:
-    """Listing rows with a wanted extension (any case), one row per path without case (the lowest)."""
+def catalog_from_listing(listing: DataFrame, extensions=IMAGE_EXTENSIONS, path="path", resolved: str | None = None) -> DataFrame:
+    """Listing rows with a wanted extension (any case), one row per path without case (the lowest).
+
+    `resolved` names the column of paths without links by which files are the same; without it the path itself counts.
+    """
     others = [c for c in listing.columns if c != path]
     return (
         listing.filter(has_extension(path, extensions))
-        .groupBy(F.lower(path).alias("__key"))
+        .groupBy(F.lower(resolved or path).alias("__key"))
         .agg(F.min_by(F.struct(path, *others), F.col(path)).alias("__row"))
         .select("__row.*")
         .select(*listing.columns)
@@ -106,9 +110,15 @@ def file_hashes(stale: DataFrame) -> DataFrame:
 
 
 def scan_media(spark: SparkSession, paths, recursive: bool = True, extensions=IMAGE_EXTENSIONS) -> DataFrame:
-    """Files and folders -> catalog (path, modificationTime, length)."""
-    listing = read_files(spark, paths, recursive).select("path", "modificationTime", "length")
-    return catalog_from_listing(listing, extensions)
+    """Files and folders -> catalog (path, modificationTime, length), one row per file however many links lead to it.
+
+    Folders are listed by tasks, level by level (see `walk`); patterns and file systems that only Spark knows by Spark's reader.
+    """
+    roots = [paths] if isinstance(paths, str) else list(paths)
+    if not all(map(is_known, roots)):
+        return catalog_from_listing(read_files(spark, roots, recursive).select("path", "modificationTime", "length"), extensions)
+    found = catalog_from_listing(walk(spark, roots, recursive), extensions, resolved="resolved")
+    return found.select("path", "modificationTime", "length")
 
 
 def _is_deep(head: bytes, found: dict[str, str]) -> bool:

@@ -20,4 +20,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from framewright.sources.shared import release
+
+    release(session)
     session.stop()

@@ -14,7 +14,7 @@ import rasters
 from framewright.config import QualityParams
 from framewright.operators import reconcile as rc
 from framewright.plans import backup, quality
-from framewright.sources import archive, files, index, lists, tags
+from framewright.sources import archive, files, index, lists, snapshots, tags
 from framewright.streaming import ingest
 
 
@@ -171,7 +171,7 @@ def test_unchanged_files_are_not_opened_and_deleted_ones_leave(spark, tmp_path):
     (tmp_path / "tree").mkdir()
     for name, body in {"a.jpg": b"1", "b.jpg": b"22"}.items():
         (tmp_path / "tree" / name).write_bytes(body)
-    read = lambda: {r.name_lower: r.sha256 for r in index.read_index(spark, location, "k", "import", index.INDEX_SCHEMA).collect()}
+    read = lambda: {r.name_lower: r.sha256 for r in snapshots.read(spark, backup.tree_store(location, "k", "import")).collect()}
     backup.refreshed_tree(spark, root, location, "k", "import")
     assert read()["a.jpg"] == hashlib.sha256(b"1").hexdigest()
     stat = (tmp_path / "tree" / "a.jpg").stat()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.config import DEFAULTS, QualityParams
-from framewright.functions import geometry, pixels
+from framewright.functions import features, geometry, pixels
 from framewright.operators import measures
 from framewright.schemas import EXIF
 
@@ -174,8 +174,8 @@ def test_partitioning_changes_nothing(spark, measured):
 def test_shifted_copy_gives_its_homography():
     big = np.kron(np.random.default_rng(0).integers(0, 256, (40, 80), dtype=np.uint8), np.ones((8, 8), np.uint8))
     a, b = big[:, :480], big[:, 120:600]
-    pa, _, da, _ = geometry.detect_keypoints(a, 1500)
-    pb, _, db, _ = geometry.detect_keypoints(b, 1500)
+    pa, *_, da = features.detect_keypoints(a, 1500)
+    pb, *_, db = features.detect_keypoints(b, 1500)
     near, dist = geometry.two_nearest(da, db)
     good = dist[:, 0] < 0.75 * dist[:, 1]
     h, inside = geometry.ransac_homography(pa[good], pb[near[good, 0]], 5.0, seed=1)

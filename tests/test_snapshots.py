@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.plans import backup
-from framewright.sources import snapshots
+from framewright.sources import shared, snapshots
 from framewright.sources.snapshots import Store
 from framewright.streaming import continuous
 
@@ -159,3 +159,12 @@ def test_failed_reads_are_not_cached(spark, tmp_path):
         }
         cached = snapshots.read(spark, backup.metadata_store(str(tmp_path / "index"), "k")).collect()
         assert [r.path.rsplit("/", 1)[1] for r in cached] == ["a.jpg"]
+
+
+def test_release_deletes_what_an_application_wrote(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "_run_folder", lambda _: str(tmp_path / "mine"))
+    (tmp_path / "other").mkdir()
+    kept = shared.materialise(rows(spark, ("a", 1)), "part")
+    assert kept.count() == 1 and (tmp_path / "mine").is_dir()
+    shared.release(spark)
+    assert not (tmp_path / "mine").exists() and (tmp_path / "other").is_dir()
