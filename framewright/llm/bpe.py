@@ -133,7 +133,7 @@ def bpe(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFra
 
     Null and empty texts have no tokens. The file at `path` must be there on every executor, as with an
     installed package. Rows are encoded one by one, so repeated rows and nulls elsewhere do not matter; input
-    columns with the three new names are replaced, others stay.
+    columns with the three new names are replaced, others stay. Very long texts are encoded whole; an empty table gives no rows.
     """
     path = path or public_tokenizers.path(RANKS)
     new = ("n_tokens", "ids", "decoded")

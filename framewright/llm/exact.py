@@ -167,7 +167,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Texts are equal when they are identical after deleting blanks; null counts as empty. The row with
     the most code points, then the smallest id stays. A repeated row counts as often as it occurs
     and all rows of the staying id are kept. Rows without an id are groups of their own text like any other,
-    ordered after all ids; other columns are not returned.
+    ordered after all ids; other columns are not returned. Very long texts are compared in all their bytes; an empty
+    table gives no rows.
     """
     narrow = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("id"),

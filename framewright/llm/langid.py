@@ -138,7 +138,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     """`docs` with `lang_pred` and `score` (0 to 1: the part of its n-grams that the language has).
 
     A text that is null or has no letter is `und` with score 0, as is every text if nothing was learned. Ties go to the
-    first language by code point. Each row is judged by its text alone; columns of the two new names are replaced.
+    first language by code point. Each row is judged by its whole text alone, so repeated rows and other columns do not
+    matter; columns of the two new names are replaced. An empty table gives no rows.
     """
     langs, masks = model
     shared = docs.sparkSession.sparkContext.broadcast(masks)  # of fixed size

@@ -35,7 +35,8 @@ def line_dedup(
     least `min_docs` documents are dropped, except in the smallest document holding the key.
     Null and empty texts are one empty line and come back as they are. Rows that repeat an id are one
     document. A row without an id is left as it is and counts for no other. Other columns are kept,
-    whatever their names, unless they are called `n_lines` or `n_dropped`, which are replaced.
+    whatever their names, unless they are called `n_lines` or `n_dropped`, which are replaced. Very long texts and lines
+    are read whole; an empty table gives no rows.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

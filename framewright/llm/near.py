@@ -255,6 +255,7 @@ def near_duplicates(
     words is empty and linked with nothing. Documents with 100 * common >= percent * united shingles are linked,
     and `component_id` is the smallest document reachable. Rows that repeat an id are one document: links of any of
     them count for all. Rows without an id have no component and are kept. Other columns are not returned.
+    Very long texts have all their shingles; an empty table gives no rows.
     """
     spark = docs.sparkSession
     registers = ROWS * bands_for(percent / 100)

@@ -304,7 +304,8 @@ def classify(
     documents with a label at most LABELLED of either are fitted on, each weighted for those it stands for; they come
     to the driver as numbers, never as texts. All without a label are pseudo-labelled in tasks, whose sums come to the
     driver, and every document is scored. The numbers are written once to the shared folder. Null and empty texts are scored
-    like any other; rows without an id are not fitted on. Input columns of the two new names are replaced.
+    like any other, very long ones whole; rows without an id are not fitted on. Input columns of the two new names are
+    replaced, others stay as they are. Without documents there are no rows, without labels every document is good.
     """
     marked = labels.filter(f"{label} in (0, 1) and {doc_id} is not null").groupBy(F.col(doc_id).alias("id")).agg(F.min(label).cast("int").alias("y"))
     names = {text: "text", source: "source", lang: "lang"}

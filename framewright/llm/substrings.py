@@ -157,6 +157,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     words is removed where the same run also starts in a document with a smaller id, judged on the input;
     runs are told apart by 128 bits, made of 64 of each word. Null and blank texts have no words and stay empty. Rows that repeat an id are
     one document; a row without an id keeps all its words and is no reference. Other columns are not returned.
+    Very long texts are read whole, one at a time in a task; an empty table gives no rows.
     """
     spark = docs.sparkSession
     buckets = PER_TASK * partitions(spark)
