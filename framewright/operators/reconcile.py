@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions import names
@@ -228,6 +229,7 @@ def build_name(stem: Column, plan: TransferPlan) -> Column:
 
 
 _TARGET = ["__folder", "__stem", "__suffix"]
+IN_ONE_TASK = 200_000  # rows of one target that a single window orders
 
 
 def collision_number(
@@ -239,23 +241,33 @@ def collision_number(
     suffix), or which another row asks for as its own natural name, are skipped. Names compare without
     case. Rows whose boolean column `settled` is true keep number 0 and take no part.
 
-    Only rows that clash are ordered: a target with one request and no file keeps number 0, which one count of
-    the targets tells. A popular name does not end in one task: its rows are numbered in range-partitioned chunks.
+    One count of the targets tells which rows clash. A target with one request and no file keeps number 0 without being
+    ordered. The rows of a target with up to IN_ONE_TASK requests and taken numbers are ordered by one window, those of a
+    larger one in range-partitioned chunks; where there is none of those, adaptive execution drops that branch.
     """
     lowered = lambda df: df.withColumns({k: F.lower(F.col(k.strip("_"))) for k in _TARGET})
     columns = requests.columns
     asked, on_disk = lowered(requests), lowered(taken).select(*_TARGET)
     active = F.lit(True) if settled is None else ~F.coalesce(F.col(settled), F.lit(False))
-    wanted = asked.filter(active).select(*_TARGET, F.lit(1).alias("__asks"), F.lit(0).alias("__there"))
-    there = on_disk.select(*_TARGET, F.lit(0).alias("__asks"), F.lit(1).alias("__there"))
-    totals = wanted.unionByName(there).groupBy(*_TARGET).agg(F.sum("__asks").alias("__asks"), F.max("__there").alias("__there"))
-    clashing = totals.filter("__asks > 1 or (__asks = 1 and __there = 1)").select(*_TARGET, F.lit(True).alias("__clash"))
+    occupied = _occupied(asked.select(*_TARGET), on_disk)
+    counts = lambda asks, there, numbers: [F.lit(n).alias(c) for n, c in ((asks, "__asks"), (there, "__there"), (numbers, "__numbers"))]
+    parts = asked.filter(active).select(*_TARGET, *counts(1, 0, 0)).unionByName(on_disk.select(*_TARGET, *counts(0, 1, 0)))
+    parts = parts.unionByName(occupied.select(*_TARGET, *counts(0, 0, 1)))
+    totals = parts.groupBy(*_TARGET).agg(
+        F.sum("__asks").alias("__asks"), F.max("__there").alias("__there"), F.sum("__numbers").alias("__numbers")
+    )
+    clashing = totals.filter("__asks > 1 or (__asks = 1 and __there = 1)").select(
+        *_TARGET, (F.col("__asks") + F.col("__numbers") > IN_ONE_TASK).alias("__hot")
+    )
     marked = asked.withColumn("__active", active).join(clashing, _TARGET, "left")
-    contested = F.coalesce(F.col("__clash"), F.lit(False)) & F.col("__active")
+    contested = F.col("__hot").isNotNull() & F.col("__active")
     easy = marked.filter(~contested).select(*columns, F.lit(0).cast("bigint").alias(number))
-    hard = marked.filter(contested).select(*columns, *_TARGET)
-    occupied = _occupied(asked.select(*_TARGET), on_disk).join(clashing.drop("__clash"), _TARGET, "left_semi")
-    return _numbered(hard, occupied, columns, order, number).unionByName(easy)
+    few = marked.filter(contested & ~F.col("__hot")).select(*columns, *_TARGET)
+    hot = clashing.filter("__hot").drop("__hot")
+    many = asked.filter(active).join(hot, _TARGET).select(*columns, *_TARGET)
+    for rows, keys, spread in ((few, clashing.filter("not __hot").drop("__hot"), False), (many, hot, True)):
+        easy = easy.unionByName(_numbered(rows, occupied.join(keys, _TARGET, "left_semi"), columns, order, number, spread))
+    return easy
 
 
 def _occupied(asked: DataFrame, on_disk: DataFrame) -> DataFrame:
@@ -268,19 +280,26 @@ def _occupied(asked: DataFrame, on_disk: DataFrame) -> DataFrame:
     return numbered(asked).unionAll(numbered(on_disk)).unionAll(itself).distinct()
 
 
-def _numbered(asked: DataFrame, occupied: DataFrame, columns: list[str], order: list[str], number: str) -> DataFrame:
+def _running(df: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    return df.withColumn(name, F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+
+
+def _numbered(asked: DataFrame, occupied: DataFrame, columns: list[str], order: list[str], number: str, spread: bool) -> DataFrame:
     """The requests with the free numbers of their target, in order."""
     none = lambda c: F.lit(None).cast(asked.schema[c].dataType).alias(c)
     lined_up = asked.select(*columns, *_TARGET, F.lit(1).alias("__kind"), F.lit(0).cast("bigint").alias("__at")).unionByName(
         occupied.select(*[none(c) for c in columns], *_TARGET, F.lit(0).alias("__kind"), "__at")
     )
-    ranked = with_running_total(lined_up, [*_TARGET, "__kind"], ["__at", *order], F.lit(1).cast("bigint"), "__rank")
+    total = with_running_total if spread else _running
+    if not spread:
+        lined_up = lined_up.repartition(*_TARGET)  # serves both windows
+    ranked = total(lined_up, [*_TARGET, "__kind"], ["__at", *order], F.lit(1).cast("bigint"), "__rank")
     # The i-th occupied number t leaves t - i free numbers below it: it pushes up every request from there on.
     placed = ranked.withColumn(
         "__place", F.when(F.col("__kind") == 0, F.col("__at") - F.col("__rank") + 1).otherwise(F.col("__rank") - 1)
     )
     pushes = F.when(F.col("__kind") == 0, 1).otherwise(0)
-    pushed = with_running_total(placed, _TARGET, ["__place", "__kind", "__at", *order], pushes, "__pushed")
+    pushed = total(placed, _TARGET, ["__place", "__kind", "__at", *order], pushes, "__pushed")
     return pushed.filter("__kind = 1").select(*columns, (F.col("__place") + F.col("__pushed")).alias(number))
 
 

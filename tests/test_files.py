@@ -55,6 +55,13 @@ def test_scan_and_load(spark, shoot):
     assert "file:" not in loaded["a1.png"].path
 
 
+def test_measures_and_keypoints_come_from_one_decoding_stage(spark, shoot):
+    stats = quality.image_stats(files.load_rasters(spark, shoot).drop("is_error"), ["path"], "turn_tag", keypoints=True)
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan image") == 1 and plan.count("Exchange") == 0
+    assert {"blocks", "cdf_green", "kp_x", "descriptors"} <= set(stats.columns)
+
+
 def test_scan_reads_no_content(spark, shoot):
     plan = files.scan_media(spark, shoot)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan

@@ -60,11 +60,17 @@ def test_camera_base(spark, name, base):
 @given(
     st.lists(st.sampled_from(["a", "A", "a_1", "a_2", "a_1_1", "b", "a_01"]), min_size=1, max_size=25),
     st.lists(st.sampled_from(["a", "a_1", "A_3", "a_1_1", "b_2", "c"]), max_size=6),
+    st.sampled_from([0, 4, 200_000]),
 )
-def test_numbered_names_are_free_and_unique(spark, wanted, there):
+def test_numbered_names_are_free_and_unique(spark, wanted, there, in_one_task):
+    """Whether targets are ordered by one window, in chunks, or some by either."""
     requests = spark.createDataFrame([("/d", s, ".x", f"p{i:03d}") for i, s in enumerate(wanted)], "folder string, stem string, suffix string, path string")
     taken = spark.createDataFrame([("/d", s, ".x") for s in there], "folder string, stem string, suffix string")
-    got = rc.collision_number(requests, taken, ["path"]).orderBy("path").collect()
+    known, rc.IN_ONE_TASK = rc.IN_ONE_TASK, in_one_task
+    try:
+        got = rc.collision_number(requests, taken, ["path"]).orderBy("path").collect()
+    finally:
+        rc.IN_ONE_TASK = known
     final = [(r.stem + (f"_{r.number}" if r.number else "")).lower() for r in got]
     occupied = {s.lower() for s in there}
     assert len(got) == len(wanted) and len(set(final)) == len(final) and not set(final) & occupied
