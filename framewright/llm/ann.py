@@ -114,15 +114,30 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of vectors to one row for each block."""
+def smallest_of_equal(vectors: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` smallest ids of each vector, in order."""
+    order = np.argsort(ids, kind="stable")
+    whole = np.ascontiguousarray(vectors[order] + 0.0).view(np.dtype((np.void, vectors.shape[1] * 8))).ravel()
+    _, group = np.unique(whole, return_inverse=True)
+    by_group = np.argsort(group, kind="stable")
+    rank = np.empty(len(group), np.int64)
+    rank[by_group] = np.arange(len(group)) - np.searchsorted(group[by_group], group[by_group])
+    return np.sort(order[rank < most])
+
+
+def _pack(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of vectors to one row for each block, of equal vectors with the `most` smallest ids only."""
     for piece in _whole_groups(batches, "block", "dim"):
         blocks, dims = (piece.column(c).to_numpy() for c in ("block", "dim"))
         cuts = np.flatnonzero((np.diff(blocks, prepend=-1) != 0) | (np.diff(dims, prepend=-1) != 0)).tolist()
         for s, e in zip(cuts, [*cuts[1:], len(blocks)], strict=True):
             part = piece.slice(s, e - s)
             vectors = part.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(e - s, -1)
-            made = block_of(*(part.column(c).to_numpy() for c in ("row", "id", "times")), vectors.astype(np.float64))
+            vectors, facts = vectors.astype(np.float64), [part.column(c).to_numpy() for c in ("row", "id", "times")]
+            if most is not None:
+                kept = smallest_of_equal(vectors, facts[1], most)
+                vectors, facts = vectors[kept], [x[kept] for x in facts]
+            made = block_of(*facts, vectors)
             cells = [pa.array([x.tobytes()], pa.binary()) for x in made.values()]
             yield pa.RecordBatch.from_arrays([pa.array([blocks[s]], pa.int32()), pa.array([dims[s]], pa.int32()), *cells], ["block", "dim", *FIELDS])
 
@@ -164,17 +179,22 @@ def nearest(
     down = max(1, math.ceil(counts["n"] / CANDIDATE_BLOCK))
     deals = partitions(vectors.sparkSession)
 
-    def packed(df: DataFrame, times: str, n: int, own: str, other: str, m: int) -> DataFrame:
+    def packed(df: DataFrame, times: str, n: int, own: str, other: str, m: int, most: int | None) -> DataFrame:
         """The blocks of one side, each once for every block of the other."""
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _pack(batches, most)
+
         block = F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("block")
         dealt = df.select("row", "id", "dim", "vector", F.col(times).alias("times"), block).repartition(deals, "block", "dim")
-        blocks = materialise(dealt.sortWithinPartitions("block", "dim", "row").mapInArrow(_pack, PACKED), "blocks")
+        blocks = materialise(dealt.sortWithinPartitions("block", "dim", "row").mapInArrow(pack, PACKED), "blocks")
         copies = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(f"{own}_{other}")
         renamed = [F.col(c).alias(f"{own}_{c}") for c in FIELDS]
         return blocks.select(F.col("block").alias(f"{own}_{own}"), copies, F.col("dim").alias(f"{own}_dim"), *renamed)
 
-    asked = packed(rows.filter("asking > 0"), "asking", across, "q", "c", down)
-    there = packed(rows, "there", down, "c", "q", across)
+    asked = packed(rows.filter("asking > 0"), "asking", across, "q", "c", down, None)
+    # Equal vectors tie, and ties go to the smaller ids: no list takes more than k of them besides the query's own.
+    there = packed(rows, "there", down, "c", "q", across, k + 1)
     meeting = (F.col("q_q") == F.col("c_q")) & (F.col("q_c") == F.col("c_c")) & (F.col("q_dim") == F.col("c_dim"))
     tiles = asked.join(there, meeting).repartition(deals, "q_q", "q_c", "q_dim")
 

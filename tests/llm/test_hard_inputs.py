@@ -98,6 +98,16 @@ def test_nearest_of_mixed_magnitudes(spark, monkeypatch):
         assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == order
 
 
+def test_a_vector_that_very_many_rows_share():
+    """Of equal vectors only the smallest ids that a list can take are kept in a block."""
+    rng = np.random.default_rng(2)
+    vectors = np.repeat(rng.normal(size=(30, 4)), [400] + [1] * 29, axis=0)
+    ids = rng.permutation(len(vectors))
+    kept = ann.smallest_of_equal(vectors, ids, 21)
+    assert len(kept) == 21 + 29 and set(ids[kept][ids[kept] < 10**9]) >= set(np.sort(ids[:400])[:21])
+    assert len(ann.smallest_of_equal(np.array([[0.0, 1.0], [-0.0, 1.0]]), np.array([5, 4]), 1)) == 1
+
+
 def test_bounds_hold():
     """The true product lies between the bounds, in the unit of the query, and nothing of the nearest is left out."""
     rng = np.random.default_rng(10)
